@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, neardup, packing, quality, tokens, warc
+from . import chat, mixing, neardup, packing, quality, repeats, tokens, warc
 from .common import table
 
 
@@ -49,12 +49,16 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op3_chat, op4_warc, op5_neardup, op6_quality, op8_tokens, op10_pack)}
+    return {f.__name__: f for f in (op1_mix, op3_chat, op4_warc, op5_neardup, op6_quality, op8_tokens, op9_repeats, op10_pack)}
 
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"
