@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, neardup, packing, quality, repeats, tokens, warc
+from . import chat, mixing, neardup, packing, personal, quality, repeats, tokens, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     pair = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))))
@@ -58,7 +62,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op3_chat, op4_warc, op5_neardup, op6_quality, op8_tokens, op9_repeats, op10_pack)}
+    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op8_tokens, op9_repeats, op10_pack)}
 
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"
