@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, neardup, packing, personal, quality, repeats, tokens, warc
+from . import chat, mixing, neardup, neighbours, packing, personal, quality, repeats, tokens, warc
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -62,7 +66,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op8_tokens, op9_repeats, op10_pack)}
+    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op7_nearest, op8_tokens, op9_repeats, op10_pack)}
 
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"
