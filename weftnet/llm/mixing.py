@@ -10,11 +10,18 @@ a seeded start.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut_lineage, word_count
+from .common import WORD, cut_lineage, word_count
+
+WORDS = re.compile(WORD)
 
 #: The registry of sources is held on the driver; its size is checked against this.
 MAX_SOURCES = 100_000
@@ -151,3 +158,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     part = F.when((F.col("size") > 0) & (F.col("rest_blocks") > 0), part).otherwise(F.lit(0)).cast("long")
     out = at.withColumn("taken", F.col("epochs") * F.col("size") + part)
     return out.select("doc_id", "size", "source_size", "target", "taken", *(["row"] if carry else []))
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for m in islice(WORDS.finditer(text), n):
+        end = m.end()
+    return text[:end]
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows of docs: each document as often as it is taken whole, and once more cut after the words taken beyond.
+
+    Columns are those of docs; n_chars, where there is one, follows the text. Documents of which nothing is taken are left out.
+    """
+    mixed = mix(docs, carry=True, **how).where("taken > 0").select("row", "size", "taken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, taken = (np.asarray(batch.column(c)) for c in ("size", "taken"))
+            whole, part = taken // size, taken % size
+            times = whole + (part > 0)
+            take = np.repeat(np.arange(len(size)), times)
+            texts = pc.struct_field(batch.column("row"), "text").take(pa.array(take)).to_pylist()
+            ends = times.cumsum() - 1
+            for i in np.flatnonzero(part).tolist():
+                texts[ends[i]] = first_words(texts[ends[i]], int(part[i]))
+            row = batch.column("row").take(pa.array(take))
+            columns = {f.name: row.field(j) for j, f in enumerate(row.type)} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    out = mixed.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

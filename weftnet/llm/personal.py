@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut_lineage, slices, stored
 
@@ -232,7 +233,7 @@ def masked(docs: DataFrame) -> DataFrame:
     """docs with all personal data replaced in text, and n_chars set to the new length; rows stay as they are otherwise."""
     found = find(docs).where(F.size("base") + F.size("found") > 0).select("doc_id", "text_hash", F.concat("base", "found").alias("spans"))
     found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
-    hashed = docs.mapInArrow(_hash_texts, docs.schema.add("weft_hash", "long"))
+    hashed = docs.mapInArrow(_hash_texts, StructType([*docs.schema.fields, StructField("weft_hash", LongType())]))
     wide = hashed.join(found.withColumnsRenamed({"doc_id": "weft_id"}), F.col("doc_id").eqNullSafe(F.col("weft_id")) & (F.col("weft_hash") == F.col("text_hash")), "left")
     wide = wide.select(*docs.columns, "spans").mapInArrow(_mask_texts, docs.schema)
     return wide.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else wide

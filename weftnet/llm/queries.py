@@ -65,8 +65,14 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op7_nearest, op8_tokens, op9_repeats, op10_pack)}
+    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op7_nearest, op8_tokens, op9_repeats, op10_pack, pipeline)}
 
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"
