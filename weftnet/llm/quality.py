@@ -39,10 +39,10 @@ RULES = (
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 20 * n_words"),
     Rule(5, "symbols", "100 * n_symbols > 10 * n_words"),
-    Rule(6, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(6, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule(7, "bullets", "100 * n_bullet_lines > 90 * n_lines"),
     Rule(8, "ellipses", "100 * n_ellipsis_lines > 30 * n_lines"),
-    Rule(9, "digits", "100 * n_digits > 30 * word_chars"),
+    Rule(9, "digits", "100 * n_digits > 50 * word_chars"),
 )
 
 #: Policies by version; "base" holds the two rules that every other version contains.

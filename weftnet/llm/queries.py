@@ -108,8 +108,8 @@ a AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT
   FROM m LEFT JOIN p USING (r) LEFT JOIN n USING (r)),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_words > 1000000)::BIGINT
   + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT + 32 * (100 * n_symbols > 10 * n_words)::BIGINT
-  + 64 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 128 * (100 * n_bullet > 90 * n_lines)::BIGINT
-  + 256 * (100 * n_ellipsis > 30 * n_lines)::BIGINT + 512 * (100 * n_digits > 30 * word_chars)::BIGINT AS fail_bits FROM a)
+  + 64 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 128 * (100 * n_bullet > 90 * n_lines)::BIGINT
+  + 256 * (100 * n_ellipsis > 30 * n_lines)::BIGINT + 512 * (100 * n_digits > 50 * word_chars)::BIGINT AS fail_bits FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 != 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
