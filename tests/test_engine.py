@@ -10,7 +10,7 @@ from weftnet import index as I, tensor as T
 from weftnet.functions import cross, quantics as Q
 from weftnet.index import Index
 from weftnet.operators import factorize as X, krylov as K
-from weftnet.plans import network as N, partition as P
+from weftnet.plans import network as N, partition as P, solvers as S
 from weftnet.sources import store
 from weftnet.streaming import increments
 
@@ -215,3 +215,32 @@ def test_storage_and_stream(spark, tmp_path):
     stream = spark.readStream.schema("a long, re double").option("maxFilesPerTrigger", 1).parquet(source)
     increments.accumulate(stream, (A,), str(tmp_path / "sums"), str(tmp_path / "state")).awaitTermination()
     assert increments.current(spark, (A,), str(tmp_path / "sums")).to_list() == [2.0, 7.0]
+
+
+def test_sweeps(spark):
+    x, z = np.array([[0.0, 1.0], [1.0, 0.0]]), np.diag([1.0, -1.0])
+    sites = N.fresh_sites([2] * 3)
+    operator = S.sum_of_local_terms(spark, sites, -0.5 * x, [(-z, z)])
+    eye = np.eye(2)
+    h = -np.kron(np.kron(z, z), eye) - np.kron(eye, np.kron(z, z)) - 0.5 * (np.kron(np.kron(x, eye), eye) + np.kron(np.kron(eye, x), eye) + np.kron(np.kron(eye, eye), x))
+    start = N.train([T.random(spark, list(t.indices), 3 + k) for k, t in N.constant_train(spark, sites).tensors.items()])
+    energy, state = S.dmrg(operator, start, sweeps=1, steps=4)
+    assert abs(energy - np.linalg.eigvalsh(h)[0]) < 1e-5
+    v = dense(start.to_tensor(), sites).ravel()
+    values, vectors = np.linalg.eigh(h)
+    later = S.time_step(operator, start, -0.2j, steps=8)
+    assert np.allclose(dense(later.to_tensor(), sites).ravel(), (vectors * np.exp(-0.2j * values)) @ vectors.T @ v, atol=1e-5)
+    solution = S.linear_solve(operator, start, start, sweeps=1, a0=5.0)
+    assert np.allclose(dense(solution.to_tensor(), sites).ravel(), np.linalg.solve(5 * np.eye(8) + h, v), atol=1e-4)
+    image = S.apply_truncated(operator, start, X.Truncation(rtol=1e-8))
+    assert np.allclose(dense(image.to_tensor(), sites).ravel(), h @ v, atol=1e-5) and abs(S.relative_residual(operator, start, image)) < 1e-5
+
+
+def test_elementwise_and_gradient(spark):
+    t, v = tensor(spark, [A, B])
+    u, w = tensor(spark, [A, B])
+    net, ci = cross.elementwise(lambda p, q: p * q + 1, [N.train_of(t, [A, B]), N.train_of(u, [A, B])], [A, B])
+    assert np.allclose(dense(net.to_tensor(), [A, B]), v * w + 1, atol=1e-6)
+    assert cross.estimate_error(net, ci, [A, B], 20) < 1e-6 and cross.global_pivots(net, ci, [A, B], 1e-4, 20) == []
+    assert np.array_equal(dense(S.gradient([t, u], 0), [A, B]), w)
+    assert tuple(t.argmax().values()) == np.unravel_index(np.argmax(np.abs(v).ravel(order="F")), v.shape, order="F")

@@ -31,6 +31,8 @@ class CachedFunction:
     dims: Sequence[int]
     seen: DataFrame | None = None
     evaluations: int = 0
+    #: Instead of function: a table of points to the same table with re.
+    batch: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -46,6 +48,8 @@ class CachedFunction:
         return code
 
     def eval_no_cache(self, points: DataFrame) -> DataFrame:
+        if self.batch is not None:
+            return self.batch(points)
         return points.withColumn("re", self.function(*map(F.col, self.columns)).cast("double"))
 
     def eval(self, points: DataFrame) -> DataFrame:
@@ -139,11 +143,11 @@ class CrossInterpolation:
         return train(cores)
 
 
-def cross_interpolate(spark: SparkSession, function: Function, sites: Sequence[Index], rtol: float = 1e-10, max_rank: int = 200, sweeps: int = 8, start: Sequence[int] | None = None) -> tuple[Network, CrossInterpolation]:
+def cross_interpolate(spark: SparkSession, function: Function | None, sites: Sequence[Index], rtol: float = 1e-10, max_rank: int = 200, sweeps: int = 8, start: Sequence[int] | None = None, batch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Network, CrossInterpolation]:
     """A train for function(x0, x1, ...) by two-site cross interpolation, from a first pivot, until the residual is small."""
     dims = [i.dim for i in sites]
     first = tuple(start or [0] * len(dims))
-    f = CachedFunction(spark, function, dims)
+    f = CachedFunction(spark, function, dims, batch=batch)
     ci = CrossInterpolation(f, [[first[:k]] for k in range(len(dims) + 1)], [[first[k:]] for k in range(len(dims) + 1)])
     last = None
     for k in range(sweeps):
@@ -155,6 +159,83 @@ def cross_interpolate(spark: SparkSession, function: Function, sites: Sequence[I
     return ci.to_train(sites), ci
 
 
+def elementwise(function: Callable[..., Column], trains: Sequence[Network], sites: Sequence[Index], **how) -> tuple[Network, CrossInterpolation]:
+    """A train for function(value of train 1, value of train 2, ...) at each point, by cross interpolation of the values."""
+    spark = trains[0].tensors[trains[0].root].spark
+    names = [f"x{k}" for k in range(len(sites))]
+
+    def batch(points: DataFrame) -> DataFrame:
+        numbered = cut_lineage(points.select(*names).withColumn("point", F.monotonically_increasing_id()))
+        named = numbered.select("point", *(F.col(n).alias(s.column) for n, s in zip(names, sites, strict=True)))
+        out = numbered
+        for k, t in enumerate(trains):
+            out = out.join(t.evaluate(named).select("point", F.col("re").alias(f"v{k}")), "point")
+        return out.select(*names, function(*(F.col(f"v{k}") for k in range(len(trains)))).cast("double").alias("re"))
+
+    return cross_interpolate(spark, None, sites, batch=batch, **how)
+
+
+def estimate_error(net: Network, ci: CrossInterpolation, sites: Sequence[Index], n_points: int = 200, seed: int = 1) -> float:
+    """The largest difference of function and train at seeded random points."""
+    names = ci.f.columns
+    draw = lambda k, d: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(d)).cast("long")
+    points = ci.f.spark.range(n_points).select(F.col("id").alias("point"), *(draw(k, s.dim).alias(n) for k, (n, s) in enumerate(zip(names, sites, strict=True))))
+    exact = ci.f.eval_no_cache(points.select(*names).distinct())
+    told = net.evaluate(points.select("point", *(F.col(n).alias(s.column) for n, s in zip(names, sites, strict=True))))
+    both = points.join(exact, names).join(told.withColumnRenamed("re", "told"), "point")
+    return both.agg(F.max(F.abs(F.col("re") - F.col("told")))).first()[0] or 0.0
+
+
+def global_pivots(net: Network, ci: CrossInterpolation, sites: Sequence[Index], rtol: float, n_points: int = 500, most: int = 5, seed: int = 2) -> list[tuple[int, ...]]:
+    """Seeded random points where the train is farthest off, at most `most` beyond the tolerance."""
+    names = ci.f.columns
+    draw = lambda k, d: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(d)).cast("long")
+    points = ci.f.spark.range(n_points).select(F.col("id").alias("point"), *(draw(k, s.dim).alias(n) for k, (n, s) in enumerate(zip(names, sites, strict=True))))
+    exact = ci.f.eval_no_cache(points.select(*names).distinct())
+    told = net.evaluate(points.select("point", *(F.col(n).alias(s.column) for n, s in zip(names, sites, strict=True))))
+    off = points.join(exact, names).join(told.withColumnRenamed("re", "told"), "point").withColumn("off", F.abs(F.col("re") - F.col("told")))
+    scale = off.agg(F.max(F.abs("re"))).first()[0] or 1.0
+    return [tuple(r[n] for n in names) for r in off.where(F.col("off") > rtol * scale).orderBy(F.desc("off"), *names).limit(most).collect()]
+
+
+@dataclass(frozen=True)
+class QuanticsTrain:
+    """A train over bits for a function on a grid of 2^R points in [a, b), most significant bit first."""
+
+    net: Network
+    sites: list[Index]
+    bounds: tuple[float, float]
+    cross: CrossInterpolation
+
+    def evaluate(self, xs: DataFrame) -> DataFrame:
+        """point, re for rows of (point, x), x a grid number."""
+        r = len(self.sites)
+        return self.net.evaluate(xs.select("point", *(F.shiftright("x", r - 1 - k).bitwiseAND(F.lit(1)).cast("long").alias(s.column) for k, s in enumerate(self.sites))))
+
+    def sum(self) -> float:
+        return float(self.net.sum())
+
+    def integral(self) -> float:
+        return self.sum() * (self.bounds[1] - self.bounds[0]) / (1 << len(self.sites))
+
+
+def quantics_cross_interpolate(spark: SparkSession, function: Callable[[Column], Column], n_bits: int, bounds: tuple[float, float] = (0.0, 1.0), **how) -> QuanticsTrain:
+    """A quantics train of function(x) on 2^n_bits grid points."""
+    from ..plans.network import fresh_sites
+
+    sites = fresh_sites([2] * n_bits)
+    a, b = bounds
+
+    def at(*bits: Column) -> Column:
+        x = F.lit(0).cast("long")
+        for k, bit in enumerate(bits):
+            x = x + bit * F.lit(1 << (n_bits - 1 - k))
+        return function(F.lit(a) + x * ((b - a) / (1 << n_bits)))
+
+    net, ci = cross_interpolate(spark, at, sites, **how)
+    return QuanticsTrain(net, sites, bounds, ci)
+
+
 def integrate(spark: SparkSession, function: Callable[..., Column], n_dims: int, order: int = 8, bounds: tuple[float, float] = (0.0, 1.0), **how) -> float:
     """Integral over a box by Gauss-Legendre nodes on each axis and a train of the values."""
     x, w = np.polynomial.legendre.leggauss(order)

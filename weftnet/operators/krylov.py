@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from ..index import Index
 from ..session import cut_lineage
-from ..tensor import Tensor
+from ..tensor import Tensor, contract_pair, from_dense
 
 Apply = Callable[[Tensor], Tensor]
 
@@ -20,31 +22,53 @@ def _held(t: Tensor) -> Tensor:
     return t._like(cut_lineage(t.df))
 
 
-def _combined(vectors: list[Tensor], weights) -> Tensor:
-    """The sum of vectors times weights: one union and one aggregation."""
-    out = None
-    for v, w in zip(vectors, weights, strict=True):
-        w = complex(w)
-        part = v.scale(w if w.imag else w.real)
-        out = part if out is None else out.add(part)
-    return out
+class _Basis:
+    """Checkpointed vectors side by side along an index, so that all products with them are one job."""
 
+    def __init__(self, first: Tensor, most: int) -> None:
+        self.index, self.most, self.vectors = Index("krylov", most), most, []
+        self.add(first)
 
-def _arnoldi(apply: Apply, start: Tensor, steps: int) -> tuple[list[Tensor], np.ndarray]:
-    norm = start.norm()
-    basis, h = [_held(start.scale(1 / norm))], np.zeros((steps + 1, steps), complex)
+    def add(self, v: Tensor) -> None:
+        self.vectors.append(v)
+
+    def table(self) -> Tensor:
+        rich = any(v.is_complex for v in self.vectors)
+        parts = [v.to_complex() if rich else v for v in self.vectors]
+        first, df = parts[0], None
+        for k, v in enumerate(parts):
+            part = first._as(v).withColumn(self.index.column, F.lit(k).cast("long"))
+            df = part if df is None else df.unionByName(part)
+        return Tensor(df, (*first.indices, self.index), rich)
+
+    def dots(self, w: Tensor) -> np.ndarray:
+        out = np.zeros(len(self.vectors), complex)
+        product = contract_pair(self.table().conj(), w)
+        for r in product.df.collect():
+            out[r[self.index.column]] = complex(r.re, r.im) if product.is_complex else r.re
+        return out
+
+    def combined(self, weights: np.ndarray) -> Tensor:
+        """The sum of the vectors times weights: one join with a few numbers and one aggregation."""
+        w = np.zeros(self.most, complex)
+        w[: len(weights)] = weights
+        values = w.tolist() if abs(w.imag).max() > 1e-300 else w.real.tolist()
+        return contract_pair(self.table(), from_dense(self.vectors[0].spark, [self.index], values))
+
+
+def _arnoldi(apply: Apply, start: Tensor, steps: int) -> tuple[_Basis, np.ndarray]:
+    basis, h = _Basis(_held(start.scale(1 / start.norm())), steps + 1), np.zeros((steps + 1, steps), complex)
     for j in range(steps):
-        w = _held(apply(basis[j]))
+        w = _held(apply(basis.vectors[j]))
         for _ in range(2):  # twice is enough
-            for i, v in enumerate(basis):
-                c = v.inner(w)
-                h[i, j] += c
-                w = w.axpby(1, v, -c if isinstance(c, complex) else -float(c))
-            w = _held(w)
+            c = basis.dots(w)
+            h[: j + 1, j] += c
+            w = _held(w.sub(basis.combined(c)))
         h[j + 1, j] = w.norm()
         if abs(h[j + 1, j]) < 1e-13 * max(1.0, abs(h).max()):
             return basis, h[: j + 1, : j + 1]
-        basis.append(_held(w.scale(1 / h[j + 1, j].real)))
+        if j < steps - 1:
+            basis.add(_held(w.scale(1 / h[j + 1, j].real)))
     return basis, h
 
 
@@ -63,7 +87,7 @@ def gmres(apply: Apply, b: Tensor, x0: Tensor | None = None, rtol: float = 1e-10
         rhs = np.zeros(h.shape[0], complex)
         rhs[0] = size
         y = np.linalg.lstsq(h, rhs, rcond=None)[0]
-        step = _combined(basis[:k], y if abs(y.imag).max() > 1e-300 else y.real)
+        step = basis.combined(y)
         x = _held(step if x is None else x.add(step))
         residual = _held(b.sub(apply(x)))
         size, last = residual.norm(), size
@@ -86,7 +110,7 @@ def lowest_eigenpair(apply: Apply, start: Tensor, steps: int = 30, rtol: float =
         small = h[:k, :k]
         values, vectors = np.linalg.eigh((small + small.conj().T) / 2)
         y = vectors[:, 0]
-        vector = _held(_combined(basis[:k], y if abs(y.imag).max() > 1e-14 else y.real))
+        vector = _held(basis.combined(np.where(abs(y.imag) > 1e-14, y, y.real)))
         if k < steps or (last is not None and abs(values[0] - last) <= rtol * max(1, abs(values[0]))):
             break
         last = values[0]
@@ -103,4 +127,4 @@ def expm_multiply(apply: Apply, vector: Tensor, t: complex, steps: int = 20) ->
     small = h[:k, :k]
     values, vectors = np.linalg.eigh((small + small.conj().T) / 2)
     y = norm * (vectors * np.exp(t * values)) @ vectors[0].conj()
-    return _combined(basis[:k], y if abs(y.imag).max() > 1e-300 else y.real)
+    return basis.combined(y)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import encode as E, tensor as T
@@ -15,7 +16,7 @@ from .encode import DAY, FLAG, MONTH, STATUS, table
 from .functions import cross, quantics as Q
 from .index import Index
 from .operators import factorize as X, krylov as K
-from .plans import network as N, partition as P
+from .plans import network as N, partition as P, solvers as S
 from .session import shared_dir
 from .sources import store
 
@@ -410,6 +411,42 @@ def tree_inner(spark, d):
     return number(spark, complex(star.inner(star)).real, 3)
 
 
+@query("SELECT flag, status, round(sqrt(sum(re)), 4) + 0.0 AS re FROM t GROUP BY ALL")
+def elementwise_square_root(spark, d):
+    sums = N.train_of(E.quantity(spark, d).sum_over([MONTH]), [FLAG, STATUS])
+    net, _ = cross.elementwise(lambda v: F.sqrt(F.greatest(v, F.lit(0.0))), [sums], [FLAG, STATUS])
+    return rows(net.to_tensor().permute([FLAG, STATUS]), 4)
+
+
+@query("SELECT flag, status, month, re::BIGINT AS re FROM t")
+def train_swap_neighbours(spark, d):
+    return rows(S.swap_neighbours(_train(spark, d), 0).to_tensor())
+
+
+@query("SELECT flag, status, month, (2 * re)::BIGINT AS re FROM t")
+def gradient_of_norm(spark, d):
+    """The derivative of sum(A * A) by A: twice that by one factor."""
+    t = E.quantity(spark, d)
+    return rows(S.gradient([t, t], 0) * 2)
+
+
+@query("SELECT flag, status, month, re::BIGINT AS re FROM t ORDER BY re DESC, month, status, flag LIMIT 1")
+def argmax(spark, d):
+    t = E.quantity(spark, d)
+    return rows(t.mask_index(t.argmax()))
+
+
+@query("SELECT round(-2.0, 5) + 0.0 AS re")
+def dmrg_ising(spark, d):
+    """-sum z z on a chain of three spins: the lowest energy is -2."""
+    z = np.diag([1.0, -1.0])
+    sites = N.fresh_sites([2] * 3)
+    operator = S.sum_of_local_terms(spark, sites, np.zeros((2, 2)), [(-z, z)])
+    start = N.train([T.random(spark, list(t.indices), 11 + k) for k, t in N.constant_train(spark, sites).tensors.items()])
+    energy, _ = S.dmrg(operator, start, sweeps=1, steps=3)
+    return number(spark, energy, 5)
+
+
 # -- quantics transforms --------------------------------------------------------------------------
 
 
@@ -520,6 +557,12 @@ def cached_function(spark, d):
     return spark.range(1).select(F.lit(f.evaluations).alias("evaluations"), F.lit(n).alias("n"), F.lit(f.is_cached(points.distinct()).where("cached").count()).alias("cached"))
 
 
+@query("WITH r AS (SELECT x FROM range(64) a(x)) SELECT x AS point, round(cos(3 * (x / 64.0)) + (x / 64.0), 5) + 0.0 AS re FROM r")
+def quantics_cross_interpolation(spark, d):
+    q = cross.quantics_cross_interpolate(spark, lambda x: F.cos(3 * x) + x, 6)
+    return q.evaluate(spark.range(64).select(F.col("id").alias("point"), F.col("id").alias("x"))).select("point", (F.round("re", 5) + 0.0).alias("re"))
+
+
 @query("SELECT round((exp(1) - 1) ** 2 * 0.5, 6) + 0.0 AS re")
 def integrate(spark, d):
     return number(spark, cross.integrate(spark, lambda x, y, z: F.exp(x) * F.exp(y) * z, 3, order=6))

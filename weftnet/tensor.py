@@ -236,6 +236,11 @@ class Tensor:
     def maxabs(self) -> float:
         return math.sqrt(self._reduced(F.max(self.abs2())))
 
+    def argmax(self) -> dict[Index, int]:
+        """Coordinates of the largest absolute value; on ties the first in column-major order."""
+        row = self.df.withColumn("weft_abs", self.abs2()).orderBy(F.desc("weft_abs"), *reversed(self.columns)).first()
+        return {i: int(row[i.column]) if row else 0 for i in self.indices}
+
     def inner(self, other: Tensor) -> complex:
         """Sum of conj(self) * other."""
         return contract_pair(self.conj(), other).only()
