@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, cut_lineage, word_count
+from .common import WORD, bounded_batches, cut_lineage, word_count
 
 WORDS = re.compile(WORD)
 
@@ -173,6 +173,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 
     Columns are those of docs; n_chars, where there is one, follows the text. Documents of which nothing is taken are left out.
     """
+    bounded_batches(docs.sparkSession)
     mixed = mix(docs, carry=True, **how).where("taken > 0").select("row", "size", "taken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 WINDOW = 4096
 END = 2
 #: Tokens that one run holds before it packs them (2 bytes each where the vocabulary allows).
-RUN_TOKENS = 6 << 20
+RUN_TOKENS = 4 << 20
+#: Text that is tokenized at once.
+TOKENIZED_BYTES = 2 << 20
 #: Words whose ids a Python worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: Characters that are sure to end a piece of letters for the tokenizer, so that head and tail have ids of their own.
 HEAD_TAIL = r"^(?P<head>[A-Za-z0-9À-ÖØ-öø-ÿ]+)(?P<tail>[.,#%&*$|]*)$"
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -276,6 +278,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     tokenized whole. Sequence ids are unique: the partition's number times 2^33 plus a counter.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = WordIds(tokenizer)
@@ -292,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             return packer.batch()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKENIZED_BYTES):
                 ids, sizes = words.encode(pc.fill_null(part.column("text"), ""))
                 ends = sizes.cumsum()
                 ids_held.append(np.insert(ids, ends, end_id))

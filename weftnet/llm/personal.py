@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut_lineage, slices, stored
+from .common import bounded_batches, cut_lineage, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The fixed rules, each in a form that reads a text once.
@@ -195,6 +195,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null texts are empty; rows of any number and with null or repeated ids are read each by itself; further columns are
     ignored; an empty table gives no rows. Found spans never overlap base spans.
     """
+    bounded_batches(docs.sparkSession)
     scanned = stored(scan(docs), "scanned")
     rows = scanned.where("row is not null")
     totals = scanned.where("row is null").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("hash")).agg(F.sum("w.counts").alias("total"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_arrow
+from .common import bounded_batches, map_arrow
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_digits")
 SYMBOLS = b"#*$%&|<>"
@@ -154,6 +154,7 @@ def keep(docs: DataFrame, version: str = "v1") -> DataFrame:
     The texts pass through Python once and come back beside their measurements, so that no join on ids is needed and
     repeated or null ids do no harm.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     schema = StructType([StructField("row", rows.schema["row"].dataType), *(StructField(m, LongType()) for m in MEASURES)])
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .suffixes import induced_sort, permuted_common_prefixes
 
 U = np.uint64
@@ -342,6 +342,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     get equal results. Further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets, n_parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(n_buckets))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 BLOCK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|br|hr|tr|table|section|article|nav|main|aside|header|footer|body|html|head|blockquote|pre|form)\b[^>]*>", re.I)
@@ -100,4 +100,5 @@ def derivatives(captures: DataFrame) -> DataFrame:
                 rows = [(r["page_id"], *x) for r in part.to_pylist() for x in derive(r["record_id"], r["target_uri"], r["date"], r["http"], r["payload"])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(names), schema, strict=True)], schema=schema)
 
+    bounded_batches(captures.sparkSession)
     return captures.select("page_id", *map(text, ("record_id", "target_uri", "date", "http", "payload"))).mapInArrow(run, SCHEMA)
