@@ -11,33 +11,35 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links each neighbour above a node to the smallest node around."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its neighbours below to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    lower = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    each = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+    return down.join(least, "a").select(F.explode(each).alias("e")).select("e.*").where("a > b").distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Does each node have one parent at most, and no node both a parent and a child? Then components are read off."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b: long); root is the smallest node that can be reached.
 
-    Self-links and repeated links do no harm, links with a null end are left out, no links give no rows. Both steps only
-    ever move links to smaller nodes; when neither changes the table it is a forest of stars.
+    Self-links and repeated links do no harm, links with a null end are left out, no links give no rows. Both steps keep
+    what hangs together and only ever move links to smaller nodes, until every component is a star.
     """
-    now = edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    nodes = now.where("a = b").select(F.col("a").alias("node"))
-    now = now.where("a <> b").distinct()
-    seen = None
-    while True:
+    whole = cut_lineage(edges.where("a is not null and b is not null").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    nodes = whole.where("a = b").select(F.col("a").alias("node"))
+    now = whole.where("a <> b")
+    while not _stars(now):
         now = cut_lineage(_small_star(_large_star(now)))
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node")).unionByName(nodes).distinct().withColumn("root", F.col("node"))
     return stars.unionByName(roots.join(stars.select("node"), "node", "left_anti"))

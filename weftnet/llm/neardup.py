@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, slices, stored
+from .common import bounded_batches, cut_lineage, slices, stored
 from .components import connected
 
 U = np.uint64
@@ -246,13 +246,14 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     full sets. Texts without words, nulls included, link with nothing. Rows with a null doc_id link with nothing, have a null
     component and are kept. Rows that share a doc_id count as one document. Further columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     sketches = stored(sketch(docs, how), "sketch")
     known = sketches.where("print is not null and doc_id is not null")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")).select("id", "print", "s.*"), "classes")
     rows = classes.select(F.explode("bands").alias("bucket"), "id")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = stored(rows.join(shared, "bucket"), "buckets")
-    signed = rows.join(classes.select("id", "signature"), "id").select("bucket", "id", "signature").dropDuplicates(["bucket", "id"])
+    rows = rows.join(shared, "bucket")
+    signed = stored(rows.join(classes.select("id", "signature"), "id").select("bucket", "id", "signature").dropDuplicates(["bucket", "id"]), "signed")
     least = -(-how.minima * (how.percent - SLACK) // 100)
     by_signature = lambda values: agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), least)
     maybe = linked(units(signed, "bucket", "signature", BUCKET_BLOCK, 4000), "signature", by_signature)
