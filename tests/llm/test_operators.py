@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftnet.llm import chat, components, mixing, neardup, neighbours, packing, personal, quality, repeats, suffixes, tokens, warc
+from weftnet.llm import chat, components, mixing, neardup, neighbours, packing, personal, quality, queries, repeats, suffixes, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -299,6 +299,29 @@ def test_token_counts_are_greedy(spark, odd):
     assert tokens.count_tokens(odd, path).count() == odd.count() and tokens.count_tokens(odd.limit(0), path).count() == 0
 
 
+def test_token_counts_spell_every_word(spark, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def greedy(word):
+        at, n, marked = 0, 0, "▁" + word
+        while at < len(marked):
+            size = next((k for k in range(min(64, len(marked) - at), 0, -1) if marked[at : at + k] in pieces), 0)
+            n += 1 if size else len(marked[at].encode())  # byte pieces
+            at += size or 1
+        return n
+
+    fixed = {"4380881557741609": 17, "172.242.194.228": 16, "ñción": 3, "": 0}
+    odd_words = ["▁", "▁▁the", "a▁the", "日本語の文章", "Привет,мир", "𐍈𐍈", "\x01x", "ßaß", "2024-01-31", "éa1"]
+    texts = [*fixed, None, *odd_words, " ".join(odd_words), *random_texts(30, 8)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in queries.op8_tokens(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(fixed))] == list(fixed.values())
+    assert got == {i: sum(map(greedy, WORD.findall(t or ""))) for i, t in enumerate(texts)}
+
+
 def test_induced_sort():
     rng = np.random.default_rng(0)
     for _ in range(300):

@@ -54,7 +54,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), spelled=True)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ position after another, and the counts are summed back by document.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +19,21 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow
 
 ROOT, INNER = 0, 1
+#: What sentencepiece puts before a word.
+MARK = "▁"
 
 
 @dataclass
 class Automaton:
     """step[node, byte] is the child or -1; fail[node] the failure link or -1; popped[node] the pieces it emits.
 
-    Node 0 starts a word, node 1 stands after a piece (where continuations begin).
+    Node 0 starts a word unless start says otherwise, node 1 stands after a piece (where continuations begin).
     """
 
     step: np.ndarray
     fail: np.ndarray
     popped: np.ndarray
+    start: int = ROOT
 
     def counts(self, words: pa.Array) -> np.ndarray:
         """Pieces of each word; a word that the vocabulary can't spell counts as one unknown piece."""
@@ -39,7 +42,7 @@ class Automaton:
         start, size = offsets[:-1], np.diff(offsets)
         order = np.argsort(-size, kind="stable")  # words that are still going on lie in front
         start, size = start[order], size[order]
-        node, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
+        node, count = np.full(len(size), self.start, np.int32), np.zeros(len(size), np.int64)
         dead = np.zeros(len(size), bool)
         live = len(size)
         for at in range(int(size[0]) if len(size) else 0):
@@ -115,44 +118,60 @@ def build(starts: Iterable[bytes], inner: Iterable[bytes]) -> Automaton:
     return Automaton(step, fail, popped)
 
 
-def sentencepiece_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Word pieces from a sentencepiece model: pieces marked as word starts, and all others as continuations."""
+def sentencepiece_pieces(path: str) -> list[str]:
+    """The pieces of a sentencepiece model with their marks, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    mark = "▁"
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
+def sentencepiece_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
+    """Word pieces from a sentencepiece model: pieces marked as word starts, and all others as continuations."""
     starts, inner = [], []
-    for i in range(model.get_piece_size()):
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
-            continue
-        piece = model.id_to_piece(i)
-        if piece.startswith(mark):
+    for piece in sentencepiece_pieces(path):
+        if piece.startswith(MARK):
             starts.append(piece[1:].encode())
         else:
             inner.append(piece.encode())
     return [p for p in starts if p], [p for p in inner if p]
 
 
-_loaded: dict[str, Automaton] = {}
+def spelling(pieces: Iterable[bytes]) -> Automaton:
+    """The automaton that matches the mark and the word over all pieces; bytes that no piece covers are pieces themselves.
+
+    One trie holds the pieces with their marks, and a word starts at the node behind the mark, so that the bare mark is
+    a piece like others and every word has a spelling. Pieces are whole characters, so a single byte is only taken of a
+    character that no piece begins with.
+    """
+    automaton = build((), [*pieces, *(bytes([b]) for b in range(256))])
+    node = INNER
+    for byte in MARK.encode():
+        node = int(automaton.step[node, byte])
+    return replace(automaton, start=node)
+
+
+_loaded: dict[tuple[str, bool], Automaton] = {}
 
 
-def load(path: str) -> Automaton:
+def load(path: str, spelled: bool = False) -> Automaton:
     """The automaton of a vocabulary file, built once in each Python worker (about 100,000 nodes)."""
-    if path not in _loaded:
-        _loaded[path] = build(*sentencepiece_vocabulary(path))
-    return _loaded[path]
+    if (path, spelled) not in _loaded:
+        _loaded[path, spelled] = spelling(p.encode() for p in sentencepiece_pieces(path)) if spelled else build(*sentencepiece_vocabulary(path))
+    return _loaded[path, spelled]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, spelled: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens for each row of docs: greedy longest-match pieces of its words.
 
     vocabulary is the path of a sentencepiece model, present on every executor. Words are runs of characters other than
     ASCII white space. Null and empty texts count 0; repeated rows are counted each; further columns are ignored; an
-    empty table gives no rows. A word that can't be spelled counts as one piece.
+    empty table gives no rows. If spelled, the mark and the word are matched over the full vocabulary, bytes included, so
+    that every word has its pieces; otherwise only marked pieces begin words, and one they can't spell counts as one piece.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = load(vocabulary)
+        automaton = load(vocabulary, spelled)
         text = pc.fill_null(batch.column("text"), "")
         words = pc.ascii_split_whitespace(text)
         flat = words.flatten()
