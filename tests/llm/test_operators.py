@@ -269,6 +269,26 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(table.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_nearest_neighbours_beyond_a_small_list(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([[[-1, 0.1, 0, 0]], [[0, 0, -1, 0.2]] * 3, rng.normal(size=(696, 4)) * 0.05 + [1, 0, 0, 0]]).astype(np.float32)
+    monkeypatch.setattr(neighbours, "balanced_centroids", lambda sample, k: neighbours.unit(vectors[[0, 1, 300][:k]].astype(np.float64)))
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 200)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 300)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(table, F.col("vec_id") % 100 < 2).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [i for i in range(700) if i % 100 < 2]
+    x = vectors.astype(np.float64)
+    norms = np.sqrt((x * x).sum(axis=1))
+    for q, found in got.items():
+        scores = (x * x[q]).sum(axis=1) / (norms * norms[q])
+        best = [i for i in np.lexsort((np.arange(700), -scores)).tolist() if i != q][:5]
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(s == scores[v] for _, v, s in found)
+        assert q > 1 or [v for _, v, _ in found] == best
+
+
 def test_token_counts_are_greedy(spark, odd):
     automaton = tokens.build([b"a", b"ab", b"abcd", b"b"], [b"c", b"b", b"ab", b"d", b"cda"])
     for word, n in {"abcd": 1, "abc": 2, "abcda": 2 + 0, "abab": 2, "x": 1, "ax": 1, "bcd": 3, "bcda": 2, "abb": 2}.items():

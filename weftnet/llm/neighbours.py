@@ -177,8 +177,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     parts = {r.list: -(-r.n // PART_ROWS) for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_CENTROIDS rows
     deal = F.broadcast(spark.createDataFrame(list(parts.items()), "list int, n_parts int"))
     posted = postings.join(deal, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).cast("int").alias("part"), "vec_id", "vector")
-    asked = _listed(rows.where(queries).dropDuplicates(["vec_id"]), index, BEAM, QUERY_RATIO)
-    asked = asked.join(deal, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    asked = stored(rows.where(queries).dropDuplicates(["vec_id"]), "asked")
 
     def compare(_, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -203,8 +202,19 @@ def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
         columns = list(zip(*found, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    by = ["list", "part"]
-    found = posted.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select(*(c.split()[0] for c in out.split(", ")))
+    def ranked(listed: DataFrame) -> DataFrame:
+        by = ["list", "part"]
+        dealt = listed.join(deal, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+        found = posted.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(compare, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+        return best.where(F.col("rank") <= k).select(*(c.split()[0] for c in out.split(", ")))
+
+    near = stored(ranked(_listed(asked, index, BEAM, QUERY_RATIO)), "near")
+    full = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1))
+    # lists that hold fewer than k others can be all lists of few queries only: at most k times the number of lists
+    short = stored(asked.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    wide = ranked(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1)))))
+    return near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(wide)
