@@ -209,6 +209,36 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in plain_components(list(enumerate(texts)), 3, 85).items() if i == c)
 
 
+def test_near_duplicate_units_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i, b"x" * 8) for i in range(200)] + [(k, 1000 + 2 * k + i, b"y" * 8) for k in range(2, 40) for i in (0, 1)], "key long, id long, value binary")
+    packs = defaultdict(lambda: defaultdict(set))
+    for r in neardup.units(rows, "key", "value", 10, 100).collect():
+        packs[r.pack, r["alone"]][r.key, r.low, r.high].add(r.id)
+    assert all(len(of) == 1 for of in packs.values() if any(key == 1 for key, _, _ in of))
+    assert max(len(ids) for of in packs.values() for ids in of.values()) < 60
+    met = {(a, b) for of in packs.values() for ids in of.values() for a in ids for b in ids}
+    assert {(a, b) for a in range(200) for b in range(200)} <= met and {(1004 + 2 * k, 1005 + 2 * k) for k in range(38)} <= met
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 80)
+    by_bytes = neardup.units(rows, "key", "value", 1000, 1000).where("key = 1").groupBy("pack").count()
+    assert by_bytes.count() > 100 and by_bytes.agg(F.max("count")).first()[0] < 60
+
+
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i:]])) for i in range(20)]
+    rows += [(7, rows[7][1])] * 60
+    sizes, real = [], neardup.units
+
+    def counted(dealt, key, *more):
+        sizes.append((key, dealt.count(), dealt.distinct().count()))
+        return real(dealt, key, *more)
+
+    monkeypatch.setattr(neardup, "units", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and {r.component_id for r in got} == {0}
+    assert [n == m for key, n, m in sizes if key == "root"] == [True]
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and neardup.near_duplicates(odd.limit(0)).count() == 0

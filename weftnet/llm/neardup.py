@@ -170,21 +170,25 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def units(rows: DataFrame, key: str, value: str, block: int, per_pack: int) -> DataFrame:
-    """rows (key, id, value) dealt into packs of units: pack, unit, side, id, value.
+    """rows (key, id, value) dealt into packs of units: pack, alone, key, low, high, id, value.
 
-    A key with up to block rows is one unit. A larger one is split into blocks by a hash of the id, and each pair of
-    blocks is a unit, so that no task gets more than two blocks of a hot key. Small units share packs.
+    A key with up to block rows and BLOCK_BYTES of values is one unit. A larger one is split into blocks by a hash of the
+    row, and each pair of blocks is a unit and a pack of its own, so that no call gets more than two blocks of a hot key.
+    Small units share packs of about per_pack rows and BLOCK_BYTES.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    n_packs = max(1, -(-rows.count() // per_pack))
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    other = F.sequence(F.lit(0), n_blocks - 1)
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), n_blocks).cast("int")
-    dealt = rows.join(counts, key).withColumn("mine", mine).withColumn("other", F.explode(other))
+    size = F.sum(F.octet_length(value))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"), size.alias("bytes")).where("n > 1")
+    n_blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    counts = counts.select(key, n_blocks.alias("n_blocks"), "n", "bytes")
+    small = counts.where("n_blocks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n_packs = max(1, -(-(small.n or 0) // per_pack), -(-(small.bytes or 0) // BLOCK_BYTES))
+    other = F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    mine = F.pmod(F.xxhash64("id", value, F.lit(1)), "n_blocks").cast("int")
+    dealt = rows.join(counts.select(key, "n_blocks"), key).withColumn("mine", mine).withColumn("other", F.explode(other))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    unit = F.xxhash64(key, low, high)
+    unit, alone = F.xxhash64(key, low, high), F.col("n_blocks") > 1
     # a block meets itself only in its own unit unless it stands alone
-    return dealt.select(F.pmod(unit, F.lit(n_packs)).alias("pack"), F.col(key).alias("key"), low.alias("low"), high.alias("high"), "id", value)
+    return dealt.select(F.when(alone, unit).otherwise(F.pmod(unit, F.lit(n_packs))).alias("pack"), alone.alias("alone"), F.col(key).alias("key"), low.alias("low"), high.alias("high"), "id", value)
 
 
 def linked(dealt: DataFrame, value: str, near) -> DataFrame:
@@ -205,7 +209,7 @@ def linked(dealt: DataFrame, value: str, near) -> DataFrame:
                 pairs += forest.kept
         return pa.Table.from_batches([_edges(pairs)])
 
-    return dealt.groupBy("pack").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("pack", "alone").applyInArrow(run, "a long, b long")
 
 
 def sketch(docs: DataFrame, how: Settings) -> DataFrame:
@@ -235,6 +239,8 @@ def sketch(docs: DataFrame, how: Settings) -> DataFrame:
 
 #: Rows of a bucket, and documents of a candidate group, that are compared at once.
 BUCKET_BLOCK, SET_BLOCK = 1024, 1024
+#: Signatures or full sets of a block, and of the small units that share a pack.
+BLOCK_BYTES = 32 << 20
 #: How far an estimate from the signature may lie below the threshold: over five standard deviations.
 SLACK = 25
 
@@ -266,7 +272,7 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
                 members = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([part.column("root"), part.column("id"), pa.array(members, pa.binary())], names=["root", "id", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups.withColumnRenamed("node", "id"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id", "text"])
     full = stored(texts.select("root", "id", "text").mapInArrow(sets, "root long, id long, members binary"), "sets")
     by_sets = lambda values: similar([np.frombuffer(v, U) for v in values], percent)
     links = linked(units(full, "root", "members", SET_BLOCK, 1000), "members", by_sets)
