@@ -124,6 +124,15 @@ def test_context_reveals_identifiers(spark):
     assert clean[8].n_chars == len(clean[8].text) and clean[9].text == texts[9] and clean[11].text is None
 
 
+def test_context_goes_on_until_it_settles(spark):
+    texts = [f"pone u{chr(97 + i)}@mail.example" for i in range(26)] + [f"pone aaaaa{1000 + j}" for j in range(3)]
+    for word, known, new, times in (("ptwo", "aaaaa", "bbbbb", 10), ("pthree", "bbbbb", "ccccc", 20), ("pfour", "ccccc", "ddddd", 40), ("pfive", "ddddd", "eeeee", 80)):
+        texts += [f"{word} {known}{1000 + j}" for j in range(3)] * times + [f"{word} {new}{1000 + j}" for j in range(3)]
+    texts.append("nothing fffff1000")
+    rows = {r.doc_id: r.found for r in personal.find(documents(spark, texts)).collect()}
+    assert all(bool(rows[i]) == ("@" not in t and "fffff" not in t) for i, t in enumerate(texts))
+
+
 def test_personal_odd_rows(spark, odd):
     assert personal.report(odd).count() == odd.count() and personal.report(odd.limit(0)).count() == 0
     assert sorted(map(str, personal.masked(odd).collect())) == sorted(map(str, odd.withColumn("n_chars", F.length("text").cast("long")).collect()))

@@ -35,7 +35,8 @@ EDGES = "\"'()[]{}<>.,;:!?*#&%$|=`"
 #: An identifier that context may reveal has so many characters and digits at least; context reaches so far.
 LEAST_LENGTH, LEAST_DIGITS, REACH = 6, 3, 256
 
-ROUNDS = 3
+#: Rounds end when no form crosses the threshold any more and no score rises by more than this.
+SETTLED = 1e-3
 LEAST_SUPPORT = 3
 PATTERN_CONFIDENCE = 0.6
 INSTANCE_CONFIDENCE = 0.6
@@ -162,8 +163,8 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
 
 
-def _bootstrap(found: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
-    """Instances (form, score) that patterns reveal, besides the seeds."""
+def _bootstrap(found: DataFrame, totals: DataFrame, rounds: int | None) -> DataFrame:
+    """Instances (form, score) that patterns reveal, besides the seeds. Scores only rise from round to round, so that rounds end."""
     sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("left", "right"))))
     each = found.select("form", "seed", sides.alias("p")).where("p.word is not null").select("form", "seed", "p.*")
     edges = each.groupBy("side", "word", "form").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
@@ -171,7 +172,7 @@ def _bootstrap(found: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
     hashed = edges.select("word").distinct().mapInArrow(_with_hash, "word string, hash long")
     edges = cut_lineage(edges.join(hashed.join(totals, "hash").select("word", "total"), "word"))
     scores = cut_lineage(edges.groupBy("form").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")))
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
         known = edges.drop("seed").join(scores.where(F.col("score") >= INSTANCE_CONFIDENCE), "form")
         patterns = (
             known.groupBy("side", "word").agg(F.countDistinct("form").alias("support"), F.sum(F.col("n") * F.col("score")).alias("hits"), F.max("total").alias("total"))
@@ -180,7 +181,13 @@ def _bootstrap(found: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
         )
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
         told = edges.select("side", "word", "form").join(patterns, ["side", "word"]).groupBy("form").agg((1 - F.exp(doubt)).alias("told"))
-        scores = cut_lineage(scores.join(told, "form", "left").select("form", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("score")))
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0)))
+        scores = cut_lineage(scores.join(told, "form", "left").select("form", "seed", score.alias("score"), F.col("score").alias("before")))
+        crossed = F.count_if((F.col("score") >= INSTANCE_CONFIDENCE) & (F.col("before") < INSTANCE_CONFIDENCE))
+        moved = scores.agg(crossed.alias("crossed"), F.max(F.col("score") - F.col("before")).alias("most")).first()
+        rounds = rounds and rounds - 1
+        if not moved.crossed and (moved.most or 0) <= SETTLED:
+            break
     return scores.where(~F.col("seed") & (F.col("score") >= INSTANCE_CONFIDENCE)).select("form", "score")
 
 
@@ -189,11 +196,11 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_hash(w) for w in batch.column(0).to_pylist()], pa.int64())], names=["word", "hash"])
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, text_hash, base and found (arrays of kind, start, end) for each row of docs.
 
     Null texts are empty; rows of any number and with null or repeated ids are read each by itself; further columns are
-    ignored; an empty table gives no rows. Found spans never overlap base spans.
+    ignored; an empty table gives no rows. Found spans never overlap base spans. Rounds go on until scores settle unless given.
     """
     bounded_batches(docs.sparkSession)
     scanned = stored(scan(docs), "scanned")
