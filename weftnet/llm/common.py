@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,17 +44,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of the stored tables that nobody has removed yet.
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: compressed, and read again column by column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftnet-{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes stored tables, those of all results of this driver unless since gives a number to keep from the start."""
+    jvm = spark.sparkContext._jvm
+    for path in _stored[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _stored[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that were stored inside; results that are still to be read must be written before."""
+    before = len(_stored)
+    yield
+    remove_stored(spark, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes, so that long texts don't add up in a Python worker and in the JVM's buffers."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches by bytes, so that long texts don't add up in a Python worker and in the JVM's buffers.
+
+    A plan reads the setting when it runs, so it stays; a smaller one of the user's is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(key))
+    except (TypeError, ValueError):  # unset, or written with a unit
+        now = 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
