@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,6 +181,59 @@ def test_warc_links_and_text(spark):
     assert [r.block for r in rows if r.page_id == 3 and r.record_type == "conversion"] == ["open"]
 
 
+def random_page(rnd):
+    """A page put together piece by piece, with what it should show and link to."""
+    page, shown, found = "", "", []
+    word = lambda: "".join(rnd.choices("abcxyzé", k=rnd.randint(1, 6)))
+    for _ in range(rnd.randint(0, 40)):
+        w, spaces = word(), rnd.choice(["", " ", " \n "])
+        kind = rnd.randrange(9)
+        if kind == 0:
+            page, shown = page + f"{w}{spaces}", shown + w + spaces
+        elif kind == 1:
+            tag = rnd.choice(["p", "DIV", "br", "li", "h2"])
+            page, shown = page + f"<{rnd.choice(['', '/'])}{tag}{rnd.choice(['', ' id=x', '/'])}>", shown + "\n"
+        elif kind == 2:
+            page += f"<!-- {w} <p> <a href=no> -->"
+        elif kind == 3:
+            tag = rnd.choice(["script", "Style", "template", "noscript"])
+            page += f"<{tag} type='a>b'>{w} < \"</p> <a href=no></{tag.upper()}{rnd.choice(['', ' '])}>"
+        elif kind == 4:
+            quote = rnd.choice(["'", '"', ""])
+            page, shown = page + f"<a title=\"x > y\" HREF = {quote}/{w}?a&amp;b{quote}>{w}</a>", shown + w
+            found.append((f"/{w}?a&b", "a/@href"))
+        elif kind == 5:
+            page += f"<img alt='>' src='{w}.png' src='no' href>"
+            found.append((f"{w}.png", "img/@src"))
+        elif kind == 6:
+            page, shown = page + f"{w} &lt;&amp; 1 < 2", shown + f"{w} <& 1 < 2"
+        elif kind == 7:
+            page += f"<b class={w}><i></i ><!doctype {w}><?xml {w}?>"
+        else:
+            page, shown = page + f"<td data-href='{w}'>" + w, shown + "\n" * 0 + w
+    lines = (re.sub("[ \t\r\f\v]+", " ", x).strip() for x in shown.split("\n"))
+    return page, "\n".join(x for x in lines if x), found
+
+
+def test_warc_reads_pages_that_are_known():
+    rnd = random.Random(14)
+    for _ in range(400):
+        page, shown, found = random_page(rnd)
+        assert warc.read_page(page) == (shown, None, found), page
+        for cut in (rnd.randrange(len(page) + 1), len(page)):  # what is open at the end ends there
+            warc.read_page(page[:cut] + "<title>a")
+
+
+def test_warc_is_linear(spark):
+    hostile = ["<a " * 350_000, "<a href=\"" * 100_000, "<!--" * 250_000, "</script " * 110_000, "<" * 1_000_000, "<a a=\"'" * 120_000, ("<a" + " " * 1000) * 1000, "<p =/=/" * 140_000]
+    for page in hostile:
+        start = time.perf_counter()
+        warc.read_page(page)
+        assert time.perf_counter() - start < 5
+    pages = spark.createDataFrame([(i, None, p, "x", 1) for i, p in enumerate(hostile[:2])], "page_id long, url string, html string, headers string, part int")
+    assert warc.derivatives(warc.responses(pages)).count() == 4
+
+
 def plain_components(docs, words, percent):
     sets = {}
     for i, t in docs:

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, slices
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BLOCK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|br|hr|tr|table|section|article|nav|main|aside|header|footer|body|html|head|blockquote|pre|form)\b[^>]*>", re.I)
-TAG = re.compile(r"<[!/?]?[A-Za-z][^>]*>|<![^>]*>")
-LINK = re.compile(r"<(a|area|link|img|iframe|script)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+#: Elements whose content is not shown; those that start a line; those that link, with the attributes that hold targets.
+HIDDEN = frozenset("script style template noscript title".split())
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd br hr tr table section article nav main aside header footer body html head blockquote pre form".split())
+LINKING, TARGETS = frozenset("a area link img iframe script".split()), frozenset(("href", "src"))
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+#: One attribute, or the end of its tag; a quote that never closes takes what is left.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(?P<end>>)|(?P<name>=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"?|'(?P<single>[^']*+)'?|(?P<bare>[^\s>]*+)))?)")
+CLOSES = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*+>?", re.I) for n in HIDDEN}
 GAPS = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -31,17 +34,64 @@ def derived_id(kind: str, source_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source_id}')}>"
 
 
+def read_page(page: str) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """What a page shows, its title, and the targets of its links with the element and attribute that hold them.
+
+    No scripts, styles, templates, comments or title are shown; blocks start lines; entities become characters. The page
+    is read once from left to right, so that the time is linear whatever the markup: what is open at the end, a comment,
+    a tag, a quote or a hidden element, ends with the page.
+    """
+    shown: list[str] = []
+    found: list[tuple[str, str]] = []
+    title = None
+    at, n = 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        shown.append(page[at:start])
+        follows = page[start + 1 : start + 2]
+        name = NAME.match(page, start)
+        if not name:
+            if follows in ("!", "?", "/"):
+                end = page.find("-->", start + 4) if page.startswith("<!--", start) else page.find(">", start)
+                at = n if end < 0 else page.index(">", end) + 1
+            else:
+                shown.append("<")
+                at = start + 1
+            continue
+        tag, at, seen = name[1].lower(), name.end(), set()
+        plain = page.startswith(">", at)  # most tags have no attributes
+        at += plain
+        while at < n and not plain:
+            m = ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m["end"]:
+                break
+            key = m["name"].lower()
+            if key in TARGETS and tag in LINKING and follows != "/" and key not in seen:
+                seen.add(key)
+                target = next((m[g] for g in ("double", "single", "bare") if m[g] is not None), None)
+                if target is not None:
+                    found.append((html.unescape(target).strip(), f"{tag}/@{key}"))
+        if tag in BLOCKS:
+            shown.append("\n")
+        elif tag in HIDDEN and follows != "/":
+            close = CLOSES[tag].search(page, at)
+            if tag == "title" and title is None:
+                title = GAPS.sub(" ", html.unescape(page[at : close.start() if close else n]).replace("\n", " ")).strip()
+            at = close.end() if close else n
+    shown.append(page[at:])
+    lines = (GAPS.sub(" ", html.unescape(x)).strip() for x in "".join(shown).split("\n"))
+    return "\n".join(x for x in lines if x), title, found
+
+
 def plain_text(page: str) -> str:
-    """What a page shows: no scripts, styles, comments or title; a line for each block; entities as characters."""
-    text = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub("", page)))
-    lines = (GAPS.sub(" ", html.unescape(x)).strip() for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(page)[0]
 
 
 def links(page: str) -> list[tuple[str, str]]:
-    """Targets of links in order, with the element and attribute that hold them."""
-    shown = re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S)
-    return [(html.unescape(m[3] or m[4] or m[5] or "").strip(), f"{m[1].lower()}/@{m[2].lower()}") for m in LINK.finditer(shown)]
+    return read_page(page)[2]
 
 
 def record(fields: list[tuple[str, str]]) -> str:
@@ -52,15 +102,15 @@ def derive(source_id: str, uri: str, date: str, http: str, page: str) -> list[tu
     """The metadata and the conversion record of one response, in that order."""
     payload = page.encode("utf-8", "surrogatepass")
     whole = http.encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload
-    title = TITLE.search(page)
+    shown, title, found = read_page(page)
     fields = [("source-record", source_id), ("source-block-digest", digest(whole)), ("source-payload-digest", digest(payload))]
     fields += [(f"source-http-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:]) if k.strip()]
     fields += [("source-http-status", http.split("\r\n")[0])] if http else []
-    fields += [("title", GAPS.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip())] if title else []
-    fields += [("outlink", f"{to} {where}") for to, where in links(page)]
+    fields += [("title", title)] if title is not None else []
+    fields += [("outlink", f"{to} {where}") for to, where in found]
     about = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields)
     out = []
-    for kind, content_type, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+    for kind, content_type, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", shown)):
         data = block.encode("utf-8", "surrogatepass")
         name = derived_id(kind, source_id)
         head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri), ("WARC-Date", date)]
@@ -87,8 +137,9 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 def derivatives(captures: DataFrame) -> DataFrame:
     """Two rows for each response record: its metadata and its plain-text conversion, headers and block as they are written.
 
-    Null fields count as empty, and an empty payload gives an empty conversion; markup that never ends is read as far as it
-    goes; repeated rows give repeated records with the same ids; an empty table gives no rows.
+    Null fields count as empty, and an empty payload gives an empty conversion; a null page_id stays null. Markup that never
+    ends is read as far as it goes, in linear time, so that pages of any length are read whole; repeated rows give repeated
+    records with the same ids; further columns, whatever their names, are ignored; an empty table gives no rows.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
