@@ -59,18 +59,59 @@ def docs_text(docs):
     return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
 
 
-def test_water_fill_and_quotients():
-    assert mixing.water_fill([10, 10], [5, 2]) == [20.0, 10.0]
-    assert mixing.water_fill([], []) == [] and mixing.water_fill([0, 4], [5, 2]) == [0.0, 6.0]
+def slow_quotients(votes, seats, caps):
+    out = [0] * len(votes)
+    for _ in range(seats):
+        free = [i for i, v in enumerate(votes) if v and out[i] < caps[i]]
+        out[max(free, key=lambda i: (votes[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def slow_fill(sizes, weights, share=1.5, most=2):
+    targets, free = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}
+    while free:
+        level = (share * sum(sizes) - sum(t for i, t in enumerate(targets) if i not in free)) / sum(weights[i] for i in free)
+        over = {i for i in free if level * weights[i] >= most * sizes[i]}
+        targets = [most * sizes[i] if i in over else level * weights[i] if i in free else t for i, t in enumerate(targets)]
+        if not over:
+            break
+        free -= over
+    return targets
+
+
+def test_water_fill_and_quotients(spark, monkeypatch):
     rnd = random.Random(5)
-    for _ in range(200):
-        votes = [rnd.choice([0, 1, 7, 30, 31.5, 400]) for _ in range(rnd.randint(1, 8))]
-        caps = [rnd.randint(0, 60) for _ in votes]
-        seats, slow = rnd.randint(0, sum(c for c, v in zip(caps, votes, strict=True) if v)), [0] * len(votes)
-        for _ in range(seats):
-            free = [i for i, v in enumerate(votes) if v and slow[i] < caps[i]]
-            slow[max(free, key=lambda i: (votes[i] / (2 * slow[i] + 1), -i))] += 1
-        assert mixing.highest_quotients(votes, seats, caps) == slow
+    cases = [([10, 10], [5, 2]), ([0, 4], [5, 2]), ([], []), ([0, 0], [5, 2])]
+    cases += [([rnd.choice([0, 3, 70, 900]) for _ in range(n)], [rnd.choice([5, 2, 1]) for _ in range(n)]) for n in (9, 40)]
+    for sizes, weights in cases:
+        table = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size long, weight double")
+        got = [r.target for r in mixing.water_fill(table, "size", "weight").orderBy("i").collect()]
+        assert got == pytest.approx(slow_fill(sizes, weights))
+    for many in (mixing.SORTED, 1):
+        monkeypatch.setattr(mixing, "SORTED", many)
+        for _ in range(3):
+            votes = [rnd.choice([0.0, 1.0, 7.0, 30.0, 31.5, 400.0]) for _ in range(rnd.randint(1, 12))]
+            caps = [rnd.randint(0, 60) for _ in votes]
+            seats = rnd.randint(0, sum(c for c, v in zip(caps, votes, strict=True) if v))
+            table = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(zip(votes, caps, strict=True))], "i int, votes double, cap long")
+            got = [r.seats for r in mixing.highest_quotients(table, "i", "votes", "cap", seats).orderBy("i").collect()]
+            assert got == slow_quotients(votes, seats, caps), (votes, seats, caps)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 10])
+def test_mix_many_sources(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    n = 100_000
+    docs = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % n != 7, F.format_string("s%06d", F.col("id") % n)).alias("source"), F.repeat(F.lit("w "), (1 + F.col("id") % 40).cast("int")).alias("text"))
+    start = time.perf_counter()
+    out = mixing.mix(docs).groupBy((F.col("doc_id") % n).alias("s")).agg(F.sum("size").alias("size"), F.first("source_size").alias("known"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert time.perf_counter() - start < 60
+    assert len(out) == n and all(r.known == r["size"] and r.over <= 0 and abs(r.taken - r.target) <= 2 for r in out)
+    sizes = {r.s: r["size"] for r in out}
+    order = [i for i in range(n) if i != 7] + [7]
+    expected = slow_fill([sizes[i] for i in order], [(5, 2, 1)[k % 3] for k in range(n)])
+    got = {r.s: r.target for r in out}
+    assert [got[i] for i in order] == pytest.approx(expected)
 
 
 def test_apportion_is_sainte_lague(spark):
@@ -79,7 +120,7 @@ def test_apportion_is_sainte_lague(spark):
     for g in range(6):
         votes, seats = [rnd.choice([1, 2, 3, 50]) for _ in range(rnd.randint(1, 9))], rnd.randint(0, 90)
         rows += [(g, i, v, seats) for i, v in enumerate(votes)]
-        expected |= {(g, i): n for i, n in enumerate(mixing.highest_quotients(votes, seats, [10**6] * len(votes)))}
+        expected |= {(g, i): n for i, n in enumerate(slow_quotients(votes, seats, [10**6] * len(votes)))}
     out = mixing.apportion(spark.createDataFrame(rows, "g int, i int, v long, seats long"), "g", "i", "v", "seats").collect()
     assert {(r.g, r.i): r.quota for r in out} == expected
 

@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Targets come from weights by water filling. Sources get seats, each worth one block of words, by highest quotients
-target / (2 k - 1). A source's documents are dealt over shards by a seeded hash; the source's seats are apportioned to
-its shards in the same way, which gives integer quotas. In a shard the documents lie end to end in seeded order, cut
+Targets come from weights by water filling: the level is found by a few sums over the table of sources. Sources get
+seats, each worth one block of words, by highest quotients target / (2 k - 1): sums narrow the quotient of the last seat
+down, and only quotients near it are sorted. A source's documents are dealt over shards by a seeded hash; the source's
+seats are apportioned to its shards in the same way, which gives integer quotas. In a shard the documents lie end to end in seeded order, cut
 into blocks of equal size; a quota takes the whole shard as often as it fits and the rest as evenly spaced blocks from
 a seeded start.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator, Sequence
 from itertools import islice
@@ -23,8 +23,10 @@ from .common import WORD, bounded_batches, cut_lineage, word_count
 
 WORDS = re.compile(WORD)
 
-#: The registry of sources is held on the driver; its size is checked against this.
-MAX_SOURCES = 100_000
+#: Sources up to which their table is broadcast; a larger one is joined by source and one of so many salts.
+BROADCAST_SOURCES, SALTS = 100_000, 32
+#: Divisors that one pass over the sources tries, and quotients that may be sorted.
+TRIES, SORTED = 48, 20_000
 BLOCK_WORDS = 256
 #: A corpus has so many blocks at least, and its smallest source too, so that small ones are mixed as closely as large ones.
 BLOCKS_LEAST = 100_000
@@ -35,45 +37,69 @@ MOST = 2
 TEXT = "text"
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: int = MOST) -> list[float]:
-    """Targets by weight that add up to share times all sizes, none above most times its source's size.
+def numbered(sources: DataFrame, name: str = "source") -> DataFrame:
+    """sources with source_id, their place in code-point order from 0, null last; ordered in parallel."""
+    parts = cut_lineage(sources.orderBy(F.col(name).asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    within = parts.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(F.col(name).asc_nulls_last())))
+    before, offsets = 0, []
+    for r in parts.groupBy("part").count().orderBy("part").collect():  # one row for each partition
+        offsets.append((r.part, before))
+        before += r["count"]
+    offset = F.broadcast(sources.sparkSession.createDataFrame(offsets, "part int, before long"))
+    return within.join(offset, "part").withColumn("source_id", F.col("before") + F.col("nth") - 1).drop("part", "nth", "before")
 
-    Where a target would be above, it stops there and the excess is shared again by weight.
+
+def water_fill(sources: DataFrame, size: str, weight: str, share: float = 1.5, most: int = MOST) -> DataFrame:
+    """sources with target: by weight, share times all sizes in sum, none above most times its source's size.
+
+    Where a target would be above, it stops there and the excess is shared again by weight. What is left over for a unit
+    of weight only rises while sources stop, so that it is found when none stops any more.
     """
-    total = share * sum(sizes)
-    target = [0.0] * len(sizes)
-    free = [i for i, n in enumerate(sizes) if n > 0]
-    while free:
-        left = total - math.fsum(t for i, t in enumerate(target) if i not in set(free))
-        weight = math.fsum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / weight >= most * sizes[i]]
-        if not over:
-            for i in free:
-                target[i] = left * weights[i] / weight
+    total = sources.agg(F.sum(size)).first()[0] or 0
+    level = -1.0
+    full = F.col(weight) * F.lit(level) >= most * F.col(size)
+    while True:
+        sums = sources.agg(F.sum(F.when(full, most * F.col(size))).alias("stopped"), F.sum(F.when(~full, F.col(weight))).alias("free")).first()
+        now = (share * total - (sums.stopped or 0)) / sums.free if sums.free else level
+        if now <= level:
             break
-        for i in over:
-            target[i] = float(most * sizes[i])
-        free = [i for i in free if i not in set(over)]
-    return target
+        level = now
+        full = F.col(weight) * F.lit(level) >= most * F.col(size)
+    return sources.withColumn("target", F.least(F.col(weight) * F.lit(max(level, 0.0)), (most * F.col(size)).cast("double")))
 
 
-def highest_quotients(votes: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
-    """Sainte-Laguë: seats by the highest votes / (2 k - 1), at most caps each; ties go to the earlier entry.
+def highest_quotients(items: DataFrame, key: str, votes: str, cap: str, seats: int) -> DataFrame:
+    """items with seats, dealt by the highest votes / (2 k - 1), at most cap each; ties go to smaller keys.
 
-    Only quotients near the last seat are compared: a seat count is within half a seat of votes / divisor, and the
-    divisor is known up to half a seat for each entry.
+    An item's seats at a quotient q are the whole part of (votes / q + 1) / 2. Sums over all items at many quotients at
+    once close in on the last seat's; the quotients between are sorted.
     """
-    total, n = math.fsum(votes), sum(v > 0 for v in votes)
-    if not total or seats <= 0:
-        return [0] * len(votes)
-    slack = n / 2 + sum(max(0.0, seats * v / total - c) for v, c in zip(votes, caps, strict=True))
-    low = [min(c, max(0, math.floor(v * (seats - slack) / total - 1))) for v, c in zip(votes, caps, strict=True)]
-    high = [min(c, math.ceil(v * (seats + n / 2) / total + 2) + math.ceil(slack)) if v else 0 for v, c in zip(votes, caps, strict=True)]
-    near = sorted((-v / (2 * k - 1), i) for i, v in enumerate(votes) for k in range(low[i] + 1, high[i] + 1))
-    out = low
-    for _, i in near[: max(0, seats - sum(low))]:
-        out[i] += 1
-    return out
+    v, c = F.col(votes), F.greatest(F.col(cap), F.lit(0))
+    at = lambda q: F.when(v > 0, F.least(c, F.floor((v / F.lit(q) + 1) / 2))).otherwise(0).cast("long")
+    known = items.agg(F.sum(F.when(v > 0, c).otherwise(0)).alias("most"), F.max(votes).alias("top"), F.sum(votes).alias("all"), F.count("*").alias("n")).first()
+    if not known.top or not known.top > 0 or seats <= 0:
+        return items.withColumn("seats", F.lit(0).cast("long"))
+    if (known.most or 0) <= seats:
+        return items.withColumn("seats", F.when(v > 0, c).otherwise(0).cast("long"))
+    high, low = known.top * 2, known.all / (2 * seats + known.n) / 2
+    while (items.agg(F.sum(at(low))).first()[0] or 0) < seats:
+        low /= 16
+    while True:
+        step = (high / low) ** (1 / (TRIES + 1))
+        tries = sorted({low, high, *(low * step**i for i in range(1, TRIES + 1))})
+        given = items.agg(*(F.sum(at(q)).alias(f"s{i}") for i, q in enumerate(tries))).first()
+        i = max(i for i, n in enumerate(given) if n >= seats)
+        narrower = tries[min(i + 1, len(tries) - 1)]
+        done = given[i] - given[min(i + 1, len(tries) - 1)] <= SORTED or (tries[i], narrower) == (low, high)
+        low, high = tries[i], narrower
+        if done:
+            break
+    first, last = F.greatest(at(high) - 1, F.lit(0)), F.least(at(low) + 1, F.greatest(c, F.lit(0)))
+    sure = cut_lineage(items.withColumn("sure", F.when(v > 0, first).otherwise(0).cast("long")).withColumn("upto", F.when(v > 0, last).otherwise(0).cast("long")))
+    left = seats - (sure.agg(F.sum("sure")).first()[0] or 0)
+    near = sure.where("upto > sure").select(key, votes, F.explode(F.sequence(F.col("sure") + 1, "upto")).alias("k"))
+    won = near.orderBy(F.desc(F.col(votes) / (2 * F.col("k") - 1)), key).limit(left).groupBy(key).agg(F.count("*").alias("won"))
+    return sure.join(won, key, "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).drop("sure", "upto", "won")
 
 
 def apportion(items: DataFrame, group: str, item: str, votes: str, seats: str) -> DataFrame:
@@ -108,36 +134,39 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     gives no rows; further columns are ignored unless carried. Blocks may begin and end within a document. Same seed and
     rows, same result.
     """
-    spark = docs.sparkSession
     keys = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(docs[TEXT]).alias("size")]
     sized = docs.select(*keys, *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []))
     sized = sized if carry else cut_lineage(sized)
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    per_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
-    sizes = [r.n for r in per_source]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share)
-    total = sum(sizes)
-    block = max(1, min(BLOCK_WORDS, total // BLOCKS_LEAST, min((n for n in sizes if n), default=0) // SOURCE_BLOCKS_LEAST))
-    shards = [max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS))) for n in sizes]
-    registry = spark.createDataFrame(
-        [(r.source, i, sizes[i], targets[i], shards[i]) for i, r in enumerate(per_source)],
-        "mix_source string, source_id int, source_size long, target double, n_shards int",
-    )
+    each = F.array(*(F.lit(float(w)) for w in weights))
+    sources = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = cut_lineage(sources.withColumn("weight", F.get(each, (F.col("source_id") % len(weights)).cast("int"))))
+    known = sources.agg(F.count("*").alias("n"), F.sum("source_size").alias("all"), F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).alias("least")).first()
+    total = known["all"] or 0
+    block = max(1, min(BLOCK_WORDS, total // BLOCKS_LEAST, (known.least or 0) // SOURCE_BLOCKS_LEAST))
+    n_shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
+    sources = cut_lineage(water_fill(sources, "source_size", "weight", share).withColumn("n_shards", n_shards))
+    registry = sources.select(F.col("source").alias("mix_source"), "source_id", "source_size", "target", "n_shards")
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
+    if known.n <= BROADCAST_SOURCES:
+        placed = sized.join(F.broadcast(registry), same)
+    else:
+        salted = registry.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = sized.join(salted, same & (F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int") == F.col("mix_salt")))
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int").alias("shard")
-    placed = sized.join(F.broadcast(registry), F.col("source").eqNullSafe(F.col("mix_source"))).select("*", shard)
+    placed = placed.select("doc_id", "size", *(["row"] if carry else []), "source_id", "source_size", "target", shard)
     cut = (
         placed.groupBy("source_id", "shard").agg(F.sum("size").alias("shard_size"))
         .withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / block)).cast("long"))
     )
     cut = cut_lineage(cut)
-    blocks = {r.source_id: r.n for r in cut.groupBy("source_id").agg(F.sum("n_blocks").alias("n")).collect()}
-    seats = highest_quotients(targets, round(math.fsum(targets) / block), [MOST * blocks[i] for i in range(len(sizes))])
+    blocks = sources.join(cut.groupBy("source_id").agg(F.sum("n_blocks").alias("blocks")), "source_id")
+    blocks = cut_lineage(blocks.select("source_id", "source_size", "target", "blocks", (MOST * F.col("blocks")).alias("cap")))
+    wanted = blocks.agg(F.sum("target")).first()[0] or 0.0
+    seats_of = highest_quotients(blocks, "source_id", "target", "cap", round(wanted / block))
     # a source's blocks are a little larger or smaller than the block: its own seats count in them
-    seats = [min(MOST * blocks[i], round(s * block * blocks[i] / sizes[i])) if sizes[i] else 0 for i, s in enumerate(seats)]
-    seats_of = spark.createDataFrame([(i, s) for i, s in enumerate(seats)], "source_id int, seats long")
-    quotas = apportion(cut.join(F.broadcast(seats_of), "source_id"), "source_id", "shard", "n_blocks", "seats").select(
+    own = F.when(F.col("source_size") > 0, F.least("cap", F.rint(F.col("seats") * block * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(0)
+    seats_of = seats_of.select("source_id", own.cast("long").alias("seats"))
+    quotas = apportion(cut.join(seats_of, "source_id"), "source_id", "shard", "n_blocks", "seats").select(
         "source_id", "shard", "shard_size", "n_blocks",
         F.expr("quota div n_blocks").alias("epochs"), F.expr("quota % n_blocks").alias("rest_blocks"),
         F.pmod(F.xxhash64(F.lit(seed), "source_id", "shard"), "n_blocks").alias("start"),
