@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -556,6 +557,32 @@ def test_packing_round_trip(spark, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+def test_packing_combinations_and_least_squares():
+    rng = np.random.default_rng(4)
+    for window in (16, 64):
+        for _ in range(20):
+            lengths = np.sort(rng.choice(np.arange(1, window), rng.integers(1, 12), replace=False))
+            counts = rng.integers(1, 6, len(lengths))
+            columns = packing.combinations(lengths, counts, window)
+            got = sorted(tuple(sorted([int(lengths[i])] * int(a) + [int(lengths[j])] * int(b))) for i, j, a, b in columns)
+            have = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+            shallow = {c for n in range(1, 5) for c in combinations_with_replacement(lengths.tolist(), n)}
+            assert got == sorted(c for c in shallow if sum(c) in (window, window // 2, window // 4) and len(set(c)) < 3 and all(c.count(x) <= have[x] for x in c))
+            if not len(columns):
+                continue
+            x = packing.non_negative_least_squares(columns, counts, 1e-7)
+            matrix = np.zeros((len(lengths), len(columns)))
+            np.add.at(matrix, (columns[:, 0], np.arange(len(columns))), columns[:, 2])
+            np.add.at(matrix, (columns[:, 1], np.arange(len(columns))), columns[:, 3])
+            gradient = matrix.T @ (matrix @ x - counts)  # optimal: no slope where x > 0, none downwards where x = 0
+            assert (x >= 0).all() and gradient.min() > -1e-4 and np.abs(gradient * (x > 1e-3)).max() < 1e-4
+            rests = np.repeat(lengths, counts)
+            groups, left = packing.plan(rests, window)
+            assert sorted(d for g in [*groups, left] for d in g) == list(range(len(rests)))
+            assert all(rests[g].sum() in (window, window // 2, window // 4) for g in groups)
+    assert packing.plan(np.empty(0, np.int64), 64) == ([], [])
+
+
 def test_word_ids_equal_the_tokenizer():
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(1)

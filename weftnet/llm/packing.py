@@ -2,9 +2,9 @@
 
 Each input partition packs what it reads, in runs of bounded size, so that nothing is shuffled and a lost task is simply
 run again. A document's full windows become sequences of their own. For the rests the histogram of lengths is known; the
-columns of a small matrix are shallow combinations of one to three lengths that fill a window exactly (or a power of two,
-which needs no padding); non-negative least squares gives how often to use each; the counts are rounded down. What is
-then left is packed greedily end to end, and cut where a window is full. At the end of a partition the last window is
+columns of a sparse matrix are shallow combinations, of one or two lengths repeated a few times, that fill a window exactly
+(or a power of two, which needs no padding); non-negative least squares, solved to a tolerance, gives how often to use
+each; the counts are rounded. What is then left is packed greedily end to end, and cut where a window is full. At the end of a partition the last window is
 cut at powers of two where padding would be larger than a threshold.
 """
 
@@ -130,68 +130,80 @@ class WordIds:
         return flat[at], np.diff(per_text)
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, limit: int = 2048) -> list[tuple[int, ...]]:
-    """Shallow combinations of lengths at hand that fill a window (or half or a quarter of it) exactly, commonest first.
+#: A combination holds so many documents at most, of two lengths at most.
+SHALLOW = 4
+#: Least squares is solved until no count, moved alone, would move by more than this.
+TOLERANCE = 0.02
 
-    limit bounds the columns of the least-squares problem; lengths that no column covers go to the greedy step, so that
-    it bounds work, not results.
+
+def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """All shallow combinations of lengths at hand that fill a window (or half or a quarter of it) exactly.
+
+    A row for each: i, j, how often i, how often j; i and j are places in lengths, and j is used 0 times where one length
+    is enough. Every combination of i < j documents whose numbers the histogram allows is listed.
     """
-    have = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    common = sorted(have, key=lambda x: (-have[x], x))[:64]
-    found: dict[tuple[int, ...], int] = {}
+    place = np.full(window + 1, -1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    nth = np.arange(len(lengths))
+    out = [np.empty((0, 4), np.int64)]
     for goal in (window, window // 2, window // 4):
-        if goal in have:
-            found[(goal,)] = have[goal]
-        for a in have:
-            b = goal - a
-            if b >= a and b in have:
-                found[(a, b)] = min(have[a], have[b]) if a != b else have[a] // 2
-        for a in common:
-            for b in have:
-                c = goal - a - b
-                if c >= b and c in have:
-                    key = tuple(sorted((a, b, c)))
-                    found[key] = min(have[x] // key.count(x) for x in key)
-    ranked = sorted((k for k in found if found[k] > 0), key=lambda k: (len(k), -found[k], k))
-    return ranked[:limit]
-
-
-def non_negative_least_squares(columns: list[tuple[int, ...]], lengths: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 that nearly minimises |A x - counts|, A[l, j] the times that column j uses length l.
-
-    A is sparse with at most three entries in a column, so multiplicative updates need no matrix: each round scales x by
-    (A' counts) / (A' A x).
+        for a in range(1, SHALLOW + 1):
+            alone = nth[(lengths * a == goal) & (counts >= a)]
+            out.append(np.stack([alone, alone, np.full(len(alone), a), np.zeros(len(alone), np.int64)], axis=1))
+            for b in range(1, SHALLOW - a + 1):
+                rest = goal - a * lengths
+                i = nth[(rest > 0) & (rest % b == 0) & (counts >= a)]
+                j = place[rest[i] // b]
+                fits = (j > i) & (counts[j] >= b)
+                i, j = i[fits], j[fits]
+                out.append(np.stack([i, j, np.full(len(i), a), np.full(len(i), b)], axis=1))
+    return np.concatenate(out)
+
+
+def non_negative_least_squares(columns: np.ndarray, counts: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """x >= 0 that minimises |A x - counts|, where A[l, c] is how often column c uses length l, two entries at most.
+
+    Accelerated projected gradients, started again whenever they turn back. Done when no variable, moved alone to where
+    it fits best, would move by more than the tolerance.
     """
-    place = {int(n): i for i, n in enumerate(lengths)}
-    rows = np.array([place[n] for c in columns for n in c], np.int64)
-    cols = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    i, j, a, b = columns.T
+    down = lambda x: np.bincount(i, a * x, len(counts)) + np.bincount(j, b * x, len(counts))
+    up = lambda r: a * r[i] + b * r[j]
     y = counts.astype(np.float64)
-    up = lambda v: np.bincount(cols, v[rows], len(columns))
-    down = lambda x: np.bincount(rows, x[cols], len(lengths))
-    target = up(y)
-    x = target / np.maximum(up(down(np.ones(len(columns)))), 1)
-    for _ in range(rounds):
-        x *= target / np.maximum(up(down(x)), 1e-9)
-    return x
+    scale = np.maximum(up(down(np.ones(len(columns)))), 1.0)  # row sums of A'A: as a diagonal they majorise it
+    x = ahead = np.zeros(len(columns))
+    pace, rounds = 1.0, 0
+    while True:
+        new = np.maximum(ahead - up(down(ahead) - y) / scale, 0)
+        if ((ahead - new) * (new - x)).sum() > 0:
+            pace = 1.0
+        following = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, x, pace, rounds = new + (pace - 1) / following * (new - x), new, following, rounds + 1
+        if rounds % 8 == 0 and np.abs(np.maximum(x - up(down(x) - y) / (a * a + b * b), 0) - x).max() < tolerance:
+            return x
 
 
 def plan(rests: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
-    """Groups of documents whose rests fill a window or a power of two exactly, and the documents left over."""
-    queue: dict[int, list[int]] = defaultdict(list)
-    for i, n in enumerate(rests.tolist()):
-        queue[n].append(i)
-    lengths = np.array(sorted(queue), np.int64)
-    counts = np.array([len(queue[n]) for n in lengths.tolist()], np.int64)
+    """Groups of documents whose rests fill a window or a power of two exactly, and the documents left over.
+
+    Solved counts are rounded to the nearest; the largest come first, and a column is used while its lengths last.
+    """
+    lengths, place = np.unique(rests, return_inverse=True)
+    counts = np.bincount(place, minlength=len(lengths))
     columns = combinations(lengths, counts, window)
     groups: list[list[int]] = []
-    if columns:
-        times = np.floor(non_negative_least_squares(columns, lengths, counts) + 1e-6).astype(int)
-        for again in (False, True):  # rounded counts first, then what rounding left over
-            for column, n in zip(columns, times.tolist(), strict=True):
-                while (again or n > 0) and all(len(queue[x]) >= column.count(x) for x in column):
-                    groups.append([queue[x].pop() for x in column])
-                    n -= 1
-    return groups, sorted(i for q in queue.values() for i in q)
+    queue: list[list[int]] = [[] for _ in lengths]
+    for d, k in enumerate(place.tolist()):
+        queue[k].append(d)
+    if len(columns):
+        solved = non_negative_least_squares(columns, counts)
+        times = np.floor(solved + 0.5).astype(np.int64)
+        used = np.flatnonzero(times)
+        for c in used[np.argsort(-solved[used], kind="stable")].tolist():
+            i, j, a, b = columns[c].tolist()
+            for _ in range(min(int(times[c]), len(queue[i]) // a, len(queue[j]) // b if b else len(rests))):
+                groups.append([queue[i].pop() for _ in range(a)] + [queue[j].pop() for _ in range(b)])
+    return groups, sorted(d for q in queue for d in q)
 
 
 class Packer:
