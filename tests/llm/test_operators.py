@@ -176,6 +176,74 @@ def test_context_goes_on_until_it_settles(spark):
     assert all(bool(rows[i]) == ("@" not in t and "fffff" not in t) for i, t in enumerate(texts))
 
 
+def plain_bootstrap(texts):
+    """Found forms by brute force: every pattern of every word, round after round."""
+    totals, near, seeds = Counter(), defaultdict(Counter), set()
+    for t in texts:
+        totals.update(w.lower() for w in (t or "").split())
+        for m in personal.mentions(t or "", personal.base_spans(t or "")):
+            if m["seed"]:
+                seeds.add(m["form"])
+            for side in ("left", "right"):
+                if m[side]:
+                    near[side, m[side]][m["form"]] += 1
+    forms = {f for c in near.values() for f in c}
+    score = {f: float(f in seeds) for f in forms}
+    while True:
+        told = defaultdict(list)
+        for (_, word), c in near.items():
+            known = {f: n for f, n in c.items() if score[f] >= 0.6}
+            hits = sum(n * score[f] for f, n in known.items())
+            if len(known) >= 3 and hits / max(totals[word], hits) >= 0.6:
+                for f in c:
+                    told[f].append(hits / max(totals[word], hits))
+        new = {f: 1.0 if f in seeds else 1 - float(np.prod([max(1 - x, 1e-6) for x in told[f]])) for f in forms}
+        settled = not any(new[f] >= 0.6 > score[f] for f in forms) and max((new[f] - score[f] for f in forms), default=0) <= 1e-3
+        score = new
+        if settled:
+            return {f for f in forms if f not in seeds and score[f] >= 0.6}
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rnd = random.Random(23)
+    texts = [None, ""]
+    data = {
+        "mail": lambda: f"u{rnd.randrange(30)}@m.example" if rnd.random() < 0.85 else f"AB-XY-{rnd.randrange(12)}",
+        "id:": lambda: f"AB-XY-{rnd.randrange(12)}" if rnd.random() < 0.9 else f"030 {rnd.randrange(6):04d} 77",
+        "(see": lambda: rnd.choice(["8.8.8.8", "word", f"{rnd.randrange(40):06d}"]),
+        "host": lambda: rnd.choice(["8.8.8.8", "9.9.9.9", "7.7.7.7", "AB-XY-3", "030 0001 77"]),
+        "lorem": lambda: rnd.choice(["ipsum", "dolor", "123456"]),
+    }
+    for _ in range(160):
+        words = [f"{m} {data[m]()}{rnd.choice(['', ',', ' fin'])}" for m in rnd.choices(list(data), k=rnd.randint(0, 9))]
+        texts.append(rnd.choice([" ", "  ", "\n"]).join(words))
+    expected, rows = plain_bootstrap(texts), {r.doc_id: r for r in personal.find(documents(spark, texts)).collect()}
+    got = {texts[i][s["start"] : s["end"]].lower() for i, r in rows.items() for s in r.found}
+    assert got == expected and expected
+    for i, t in enumerate(texts):
+        known = [(m["start"], m["end"]) for m in personal.mentions(t or "", personal.base_spans(t or "")) if not m["seed"] and m["form"] in expected]
+        assert sorted((s["start"], s["end"]) for s in rows[i].found) == sorted(known)
+
+
+def test_context_is_whole_words_and_groups():
+    long = "w" * 5000
+    text = f"{long} 030 1234567, {long}X (555 12 34) AB-XY-12\n12 34 56 78 9"
+    base = personal.base_spans(text)
+    got = {(text[m["start"] : m["end"]], m["left"], m["right"]) for m in personal.mentions(text, base)}
+    assert got == {("030 1234567", long, (long + "X").lower()), ("555 12 34", (long + "X").lower(), "ab-xy-12"), ("AB-XY-12", "34)", "12"), ("12 34 56 78 9", "ab-xy-12", None)}
+    for hostile in ("(1" * 300_000, "1 " * 300_000, "a@b.c," * 100_000, "!" * 300_000 + " 123456 " + "!" * 300_000, "12(" * 200_000 + " 5"):
+        start = time.perf_counter()
+        personal.mentions(hostile, personal.base_spans(hostile))
+        assert time.perf_counter() - start < 8
+
+
+def test_masking_keeps_any_columns(spark):
+    rows = [(1, "mail a@b.example now", 1, "s", 2, 3, 4), (1, "mail a@b.example now", 1, "s", 2, 3, 4), (None, "a@b.example", 5, None, 6, 7, 8), (None, None, 5, None, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, text_hash string, weft_hash int, weft_id int, row int")
+    got = sorted(map(tuple, personal.masked(docs).collect()), key=str)
+    assert got == sorted([(r[0], r[1] and r[1].replace("a@b.example", "[EMAIL]"), *r[2:]) for r in rows], key=str)
+
+
 def test_personal_odd_rows(spark, odd):
     assert personal.report(odd).count() == odd.count() and personal.report(odd.limit(0)).count() == 0
     assert sorted(map(str, personal.masked(odd).collect())) == sorted(map(str, odd.withColumn("n_chars", F.length("text").cast("long")).collect()))
@@ -364,8 +432,8 @@ def test_components(spark):
 
 
 def test_ledger_and_ablation(spark, odd):
-    assert quality.measure("a b c a b c\nx\nx\n- #y 1...") == (11, 15, 1, 1, 6, 4, 1, 1, 1)
-    assert quality.measure(None) == (0,) * 9
+    assert quality.measure("a b c a b c\nx\nx\n- #y 1...") == (11, 15, 1, 1, 6, 4, 1, 1, 1, 9)
+    assert quality.measure(None) == (0,) * 10
     entries = quality.ledger(odd)
     assert entries.count() == odd.count() and quality.ledger(odd.limit(0)).count() == 0
     rows = quality.apply_policy(entries, "v1").collect()
@@ -380,6 +448,14 @@ def test_ledger_and_ablation(spark, odd):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_quality_spares_long_texts_and_scripts_without_spaces(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=1_000_010)), "\n".join("".join(rnd.choices("日本語文章漢字仮名", k=40)) for _ in range(60)), "\n".join("".join(rnd.choices("abcdefgh", k=40)) for _ in range(60))]
+    got = {r.doc_id: (r.kept, r.fail_bits) for r in quality.apply_policy(quality.ledger(documents(spark, texts)), "v1").collect()}
+    assert got == {0: (True, 4), 1: (True, 0), 2: (False, 16)}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(3000, 8)).astype(np.float32)

@@ -9,8 +9,10 @@ patterns is right. Instances above a threshold become known and support further
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,8 +34,11 @@ DIGIT = re.compile("[0-9]")
 GAP = re.compile(r"[\x20\x09-\x0D]")
 SPACES = frozenset(" \t\n\v\f\r")
 EDGES = "\"'()[]{}<>.,;:!?*#&%$|=`"
-#: An identifier that context may reveal has so many characters and digits at least; context reaches so far.
-LEAST_LENGTH, LEAST_DIGITS, REACH = 6, 3, 256
+#: A token that context may reveal has so many characters and digits at least.
+LEAST_LENGTH, LEAST_DIGITS = 6, 2
+#: So may numbers written in groups, with so many digits in all; a line break ends them.
+GROUPED = re.compile(r"(?<![^\s\"'\[{<:;,=])[+(]?[0-9][0-9()./-]*+(?:\x20[0-9(][0-9()./-]*+)++")
+LEAST_GROUPED = 6
 
 #: Rounds end when no form crosses the threshold any more and no score rises by more than this.
 SETTLED = 1e-3
@@ -81,23 +86,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _words_around(text: str, start: int, end: int) -> tuple[str | None, str | None]:
-    """The words before and after a span, in lower case; none where letters or digits are glued to it."""
-    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
-    left, right = GAP.split(before), GAP.split(after)
-    sure = lambda glued: not any(map(str.isalnum, glued))
-    l_word = next((w for w in reversed(left[:-1]) if w), None) if sure(left[-1]) else None
-    r_word = next((w for w in right[1:] if w), None) if sure(right[0]) else None
-    return l_word and l_word.lower(), r_word and r_word.lower()
+    """The whole words before and after a span, in lower case; none where letters or digits are glued to it."""
+    left = right = None
+    s = start
+    while s and text[s - 1] not in SPACES and not text[s - 1].isalnum():
+        s -= 1
+    while s and text[s - 1] in SPACES:
+        s -= 1
+        left = s
+    if left:
+        reach, words = 32, [""]
+        while len(words) < 2 and reach < left:  # a longer word is looked for in twice the distance
+            reach *= 2
+            words = GAP.split(text[max(0, left - reach) : left])
+        left = (words if reach > 32 else GAP.split(text[:left]))[-1].lower()
+    n, e = len(text), end
+    while e < n and text[e] not in SPACES and not text[e].isalnum():
+        e += 1
+    while e < n and text[e] in SPACES:
+        e += 1
+        right = e
+    if right is not None and right < n:
+        gap = GAP.search(text, right)
+        right = text[right : gap.start() if gap else n].lower()
+    return left or None, right if isinstance(right, str) else None
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, and other tokens with digits that might be identifiers, with the words around them."""
+    """Seeds, and other tokens or groups of numbers that might be identifiers, with the words around them."""
     out = []
-    taken = sorted((s, e) for _, s, e in base)
-    for kind, s, e in base:
+    for _, s, e in base:
         left, right = _words_around(text, s, e)
         out.append({"start": s, "end": e, "form": text[s:e].lower(), "seed": True, "left": left, "right": right})
-    at = 0
+    spans = []
+    for m in GROUPED.finditer(text):
+        core = m[0].rstrip("()./-")
+        opens = core.startswith("(") and ")" not in core
+        if sum(map(str.isdigit, core)) >= LEAST_GROUPED:
+            spans.append((m.start() + opens, m.start() + len(core)))
+    at, grouped = 0, iter([*spans, (len(text) + 1, 0)])
+    next_start, next_end = next(grouped)
     while m := DIGIT.search(text, at):
         s, gap = m.start(), GAP.search(text, m.start())
         e = gap.start() if gap else len(text)
@@ -105,15 +133,21 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         while s > at and text[s - 1] not in SPACES:
             s -= 1
         at = at_end
+        while next_end and next_end <= s:
+            next_start, next_end = next(grouped)
+        if next_start < e:
+            continue  # part of a group
         core = text[s:e].strip(EDGES)
-        if len(core) < LEAST_LENGTH or len(DIGIT.findall(core)) < LEAST_DIGITS:
-            continue
-        s += len(text[s:e]) - len(text[s:e].lstrip(EDGES))
-        e = s + len(core)
-        if any(a < e and s < b for a, b in taken):
-            continue
+        if len(core) >= LEAST_LENGTH and len(DIGIT.findall(core)) >= LEAST_DIGITS:
+            s += len(text[s:e]) - len(text[s:e].lstrip(EDGES))
+            spans.append((s, s + len(core)))
+    taken = sorted((s, e) for _, s, e in base)
+    reach = [0, *accumulate((e for _, e in taken), max)]
+    for s, e in sorted(spans):
+        if reach[bisect_left(taken, (e,))] > s:
+            continue  # a base span that starts before e ends after s
         left, right = _words_around(text, s, e)
-        out.append({"start": s, "end": e, "form": core.lower(), "seed": False, "left": left, "right": right})
+        out.append({"start": s, "end": e, "form": text[s:e].lower(), "seed": False, "left": left, "right": right})
     return out
 
 
@@ -168,14 +202,16 @@ def _bootstrap(found: DataFrame, totals: DataFrame, rounds: int | None) -> DataF
     sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("left", "right"))))
     each = found.select("form", "seed", sides.alias("p")).where("p.word is not null").select("form", "seed", "p.*")
     edges = each.groupBy("side", "word", "form").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    # only words next to several known instances can become patterns; the others need no total
-    hashed = edges.select("word").distinct().mapInArrow(_with_hash, "word string, hash long")
-    edges = cut_lineage(edges.join(hashed.join(totals, "hash").select("word", "total"), "word"))
+    # a word whose instances, if all were known, would be too few or too small a share of it can never be a pattern
+    words = edges.groupBy("side", "word").agg(F.sum("n").alias("most"), F.count("*").alias("forms")).where(F.col("forms") >= LEAST_SUPPORT)
+    hashed = words.select("word").distinct().mapInArrow(_with_hash, "word string, hash long")
+    words = words.join(hashed.join(totals, "hash").select("word", "total"), "word").where(F.col("most") >= PATTERN_CONFIDENCE * F.greatest("total", "most"))
+    edges = cut_lineage(edges.join(words.select("side", "word", "total"), ["side", "word"]))
     scores = cut_lineage(edges.groupBy("form").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")))
     while rounds is None or rounds > 0:
         known = edges.drop("seed").join(scores.where(F.col("score") >= INSTANCE_CONFIDENCE), "form")
         patterns = (
-            known.groupBy("side", "word").agg(F.countDistinct("form").alias("support"), F.sum(F.col("n") * F.col("score")).alias("hits"), F.max("total").alias("total"))
+            known.groupBy("side", "word").agg(F.count("*").alias("support"), F.sum(F.col("n") * F.col("score")).alias("hits"), F.max("total").alias("total"))
             .where(F.col("support") >= LEAST_SUPPORT).select("side", "word", (F.col("hits") / F.greatest("total", "hits")).alias("confidence"))
             .where(F.col("confidence") >= PATTERN_CONFIDENCE)
         )
@@ -200,7 +236,9 @@ def find(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, text_hash, base and found (arrays of kind, start, end) for each row of docs.
 
     Null texts are empty; rows of any number and with null or repeated ids are read each by itself; further columns are
-    ignored; an empty table gives no rows. Found spans never overlap base spans. Rounds go on until scores settle unless given.
+    ignored; an empty table gives no rows; texts of any length are read whole, and so are the words around a span. Found
+    spans are tokens with two digits or more or numbers written in groups; names without digits are never found. They never
+    overlap base spans. Rounds go on until scores settle unless given.
     """
     bounded_batches(docs.sparkSession)
     scanned = stored(scan(docs), "scanned")
@@ -238,23 +276,30 @@ def mask(text: str, spans: list) -> str:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with all personal data replaced in text, and n_chars set to the new length; rows stay as they are otherwise."""
+    """docs with all personal data replaced in text, and n_chars set to the new length; rows stay as they are otherwise.
+
+    Null and empty texts stay; repeated rows and rows without an id are masked each; columns may have any names; an empty
+    table gives no rows.
+    """
     found = find(docs).where(F.size("base") + F.size("found") > 0).select("doc_id", "text_hash", F.concat("base", "found").alias("spans"))
     found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
-    hashed = docs.mapInArrow(_hash_texts, StructType([*docs.schema.fields, StructField("weft_hash", LongType())]))
-    wide = hashed.join(found.withColumnsRenamed({"doc_id": "weft_id"}), F.col("doc_id").eqNullSafe(F.col("weft_id")) & (F.col("weft_hash") == F.col("text_hash")), "left")
-    wide = wide.select(*docs.columns, "spans").mapInArrow(_mask_texts, docs.schema)
-    return wide.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else wide
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kind = rows.schema["row"].dataType
+    hashed = rows.mapInArrow(_hash_texts, StructType([StructField("row", kind), StructField("row_hash", LongType())]))
+    wide = hashed.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    out = wide.select("row", "spans").mapInArrow(_mask_texts, StructType([StructField("row", kind)])).select("row.*")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = pa.array([text_hash(t or "") for t in batch.column("text").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, "weft_hash"])
+        texts = pc.struct_field(batch.column("row"), "text").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([text_hash(t or "") for t in texts], pa.int64())], names=["row", "row_hash"])
 
 
 def _mask_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [mask(t, s) if t and s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        kept = [n for n in batch.schema.names if n != "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in kept], names=kept)
+        row = batch.column("row")
+        texts = [mask(t, s) if t and s else t for t, s in zip(pc.struct_field(row, "text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        columns = [pa.array(texts, f.type) if f.name == "text" else pc.struct_field(row, f.name) for f in row.type]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], names=["row"])
