@@ -17,8 +17,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, map_arrow
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_digits")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_digits", "n_letters")
 SYMBOLS = b"#*$%&|<>"
+DIGITS, LETTERS = b"0123456789", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BULLETS = ("-", "*", "•")
 ELLIPSES = ("...", "…")
 
@@ -37,7 +38,7 @@ RULES = (
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "too_many_words", "n_words > 1000000"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
-    Rule(4, "long_words", "word_chars > 20 * n_words"),
+    Rule(4, "long_words", "word_chars > 20 * n_words and 2 * n_letters > word_chars"),
     Rule(5, "symbols", "100 * n_symbols > 10 * n_words"),
     Rule(6, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule(7, "bullets", "100 * n_bullet_lines > 90 * n_lines"),
@@ -45,10 +46,12 @@ RULES = (
     Rule(9, "digits", "100 * n_digits > 50 * word_chars"),
 )
 
-#: Policies by version; "base" holds the two rules that every other version contains.
+#: Policies by version; "base" holds the two rules that every other version contains. Length alone rejects nothing in v1:
+#: too_many_words is only noted. long_words (n_letters: ASCII letters) spares scripts that write no spaces.
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
-    "v1": tuple(r.name for r in RULES),
+    "v1": tuple(r.name for r in RULES if r.name != "too_many_words"),
+    "strict": tuple(r.name for r in RULES),
     "lenient": ("too_few_words", "repeated_windows", "symbols"),
 }
 
@@ -80,7 +83,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # bytes split on ASCII white space only
     spaces = sum(map(text.count, " \t\n\v\f\r"))
-    symbols = sum(data.count(bytes([c])) for c in SYMBOLS)
+    symbols, digits, letters = (len(data) - len(data.translate(None, c)) for c in (SYMBOLS, DIGITS, LETTERS))
     seen: set[str] = set()
     repeated = lines = bullets = ellipses = 0
     for line in text.split("\n"):
@@ -91,8 +94,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             seen.add(line)
             bullets += bare.startswith(BULLETS)
             ellipses += bare.endswith(ELLIPSES)
-    digits = sum(data.count(bytes([c])) for c in b"0123456789")
-    return len(words), len(text) - spaces, symbols, repeated, _repeat_words(words), lines, bullets, ellipses, digits
+    return len(words), len(text) - spaces, symbols, repeated, _repeat_words(words), lines, bullets, ellipses, digits, letters
 
 
 def _measure_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -94,7 +94,8 @@ OP6_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
 m AS (SELECT r, doc_id, text, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '[0-9]')) AS n_digits FROM w),
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '[0-9]')) AS n_digits,
+  len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters FROM w),
 g AS (SELECT r, i, [words[i], words[i + 1], words[i + 2]] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h) GROUP BY r),
@@ -103,14 +104,14 @@ b AS (SELECT r, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x
 n AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bare[1] IN ('-', '*', '•')) AS n_bullet,
   count(*) FILTER (suffix(bare, '...') OR suffix(bare, '…')) AS n_ellipsis FROM b GROUP BY r),
 a AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_digits,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_digits, n_letters,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_bullet, 0) AS n_bullet, coalesce(n_ellipsis, 0) AS n_ellipsis
   FROM m LEFT JOIN p USING (r) LEFT JOIN n USING (r)),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_words > 1000000)::BIGINT
-  + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT + 32 * (100 * n_symbols > 10 * n_words)::BIGINT
+  + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words AND 2 * n_letters > word_chars)::BIGINT + 32 * (100 * n_symbols > 10 * n_words)::BIGINT
   + 64 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 128 * (100 * n_bullet > 90 * n_lines)::BIGINT
   + 256 * (100 * n_ellipsis > 30 * n_lines)::BIGINT + 512 * (100 * n_digits > 50 * word_chars)::BIGINT AS fail_bits FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 != 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 != 0 AS base_failed, fail_bits & 1019 = 0 AS kept, fail_bits FROM f
 """
 
 
