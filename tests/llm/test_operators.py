@@ -383,33 +383,58 @@ def test_near_duplicates(spark, monkeypatch):
 
 
 def test_near_duplicate_units_are_bounded(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, i, b"x" * 8) for i in range(200)] + [(k, 1000 + 2 * k + i, b"y" * 8) for k in range(2, 40) for i in (0, 1)], "key long, id long, value binary")
+    many = [(1, i, i, b"x" * 8) for i in range(200)]
+    mostly = [(2, i, 1000 if i < 1180 else i, b"x" * 8) for i in range(1000, 1200)]
+    rows = spark.createDataFrame(many + mostly + [(k, 2000 + 2 * k + i, 2000 + 2 * k + i, b"y" * 8) for k in range(3, 40) for i in (0, 1)] + [(99, 5000 + i, 5000, b"z" * 8) for i in range(50)], "key long, id long, comp long, value binary")
     packs = defaultdict(lambda: defaultdict(set))
-    for r in neardup.units(rows, "key", "value", 10, 100).collect():
-        packs[r.pack, r["alone"]][r.key, r.low, r.high].add(r.id)
-    assert all(len(of) == 1 for of in packs.values() if any(key == 1 for key, _, _ in of))
+    for r in neardup.units(rows, 10, 100).collect():
+        packs[r.pack, r["alone"]][r.key, r.low, r.high].add((r.id, r.comp))
+    assert all(len(of) == 1 for of in packs.values() if any(key < 3 for key, _, _ in of))
     assert max(len(ids) for of in packs.values() for ids in of.values()) < 60
-    met = {(a, b) for of in packs.values() for ids in of.values() for a in ids for b in ids}
-    assert {(a, b) for a in range(200) for b in range(200)} <= met and {(1004 + 2 * k, 1005 + 2 * k) for k in range(38)} <= met
+    met = {(a, b) for of in packs.values() for ids in of.values() for a, x in ids for b, y in ids if x != y}
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.key].append((r.id, r.comp))
+    expected = {(a, b) for ids in by.values() for a, x in ids for b, y in ids if x != y}
+    assert met == expected
+    dealt = Counter(key for of in packs.values() for (key, _, _), ids in of.items() for _ in ids)
+    assert dealt[99] == 0 and dealt[2] < 180 * 4 + 20 * 25 and dealt[1] > 200 * 10  # a main component meets only the others
     monkeypatch.setattr(neardup, "BLOCK_BYTES", 80)
-    by_bytes = neardup.units(rows, "key", "value", 1000, 1000).where("key = 1").groupBy("pack").count()
+    by_bytes = neardup.units(rows, 1000, 1000).where("key = 1").groupBy("pack").count()
     assert by_bytes.count() > 100 and by_bytes.agg(F.max("count")).first()[0] < 60
 
 
-def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+def test_near_duplicates_of_repeated_ids(spark):
     base = [f"w{i}" for i in range(80)]
+    other = [f"v{i}" for i in range(80)]
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i:]])) for i in range(20)]
     rows += [(7, rows[7][1])] * 60
-    sizes, real = [], neardup.units
-
-    def counted(dealt, key, *more):
-        sizes.append((key, dealt.count(), dealt.distinct().count()))
-        return real(dealt, key, *more)
-
-    monkeypatch.setattr(neardup, "units", counted)
+    rows += [(103, "a b c d e"), (105, "a b c d e"), (105, " ".join(other)), (107, " ".join(other)), (106, ""), (105, None)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 80 and {r.component_id for r in got} == {0}
-    assert [n == m for key, n, m in sizes if key == "root"] == [True]
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id < 100} == {0}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id >= 100 and r.n_shingles} == {(103, 103), (105, 103), (107, 103)}
+    assert {(r.doc_id, r.component_id) for r in got if not r.n_shingles} == {(106, 106), (105, 105)}
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_near_duplicates_in_hot_buckets(spark, monkeypatch, hot):
+    """Buckets with several components of different texts, split into blocks; hubs and nodes with many rows."""
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 6)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 4)
+    monkeypatch.setattr(components, "HOT_ROWS", hot)
+    rnd = random.Random(31)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for group in range(5):  # groups differ by more than the threshold allows, and share many bands all the same
+        own = list(base)
+        own[3 + 9 * group : 6 + 9 * group] = [f"g{group}a", f"g{group}b", f"g{group}c"]
+        for _ in range(14):
+            copy = list(own)
+            copy[rnd.randrange(50, 60)] = f"n{rnd.randrange(4)}"
+            texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == plain_components(list(enumerate(texts)), 3, 85)
 
 
 def test_near_duplicates_odd_rows(spark, odd):

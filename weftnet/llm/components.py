@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage
 
+#: A key with more rows than both of these is hot: a number, and this fraction of all rows, so that few keys can be.
+HOT_ROWS, HOT_KEYS = 1024, 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def with_totals(rows: DataFrame, key: str, n_rows: int, **totals: Column) -> DataFrame:
+    """rows with aggregates of their key's rows, without gathering a hot key's rows in one task.
+
+    Aggregates are combined before the shuffle. Hot keys, at most HOT_KEYS of them, get theirs by a broadcast join, in
+    which their rows stay where they are; the others by an ordinary join.
+    """
+    names = list(totals)
+    found = rows.groupBy(key).agg(F.struct(*(c.alias(n) for n, c in totals.items())).alias("totals"), F.count("*").alias("key_rows"))
+    hot = F.col("key_rows") > max(HOT_ROWS, n_rows // HOT_KEYS)
+    tagged = rows.join(F.broadcast(found.where(hot).drop("key_rows")), key, "left")
+    cold = tagged.where("totals is null").drop("totals").join(found.where(~hot).drop("key_rows"), key)
+    return tagged.where("totals is not null").unionByName(cold).select(*rows.columns, *(F.col(f"totals.{n}").alias(n) for n in names))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Links each neighbour above a node to the smallest node around."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    around = with_totals(both, "a", 2 * n, m=F.min("b"))
+    return around.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links each node and its neighbours below to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
     each = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
-    return down.join(least, "a").select(F.explode(each).alias("e")).select("e.*").where("a > b").distinct()
+    return with_totals(down, "a", n, m=F.min("b")).select(F.explode(each).alias("e")).select("e.*").where("a > b").distinct()
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -39,7 +55,8 @@ def connected(edges: DataFrame) -> DataFrame:
     nodes = whole.where("a = b").select(F.col("a").alias("node"))
     now = whole.where("a <> b")
     while not _stars(now):
-        now = cut_lineage(_small_star(_large_star(now)))
+        n = now.count()
+        now = cut_lineage(_small_star(cut_lineage(_large_star(now, n)), n))
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node")).unionByName(nodes).distinct().withColumn("root", F.col("node"))
     return stars.unionByName(roots.join(stars.select("node"), "node", "left_anti"))

@@ -1,9 +1,11 @@
 """Near-duplicate detection by MinHash: universal hash minima, banding, signature checks, components.
 
 Texts with equal shingle sets form a class and are handled once. Classes that share a band of their signatures are
-candidates. Within a band's bucket not all pairs are listed: in each round every class is compared with one hub of its
-bucket only, confirmed links are joined into components by alternating large-star and small-star, and a bucket is done
-when its classes lie in one component or all pairs of different components have been compared.
+candidates. First each is compared with its bucket's hub, the smallest class in it: if the signatures agree, the full sets
+decide, and the links that hold give components by alternating large-star and small-star. Most buckets then lie in one
+component and are done. In the others, classes of different components are compared: by signature within the bucket, and
+where these agree, by full sets within the groups that agreeing signatures hold together. Links between classes of one
+component are never looked at, so that a bucket's main component meets only the others.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, cut_lineage, slices, stored
-from .components import connected
+from .components import HOT_KEYS, connected, with_totals
 
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -169,49 +171,118 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
-def units(rows: DataFrame, key: str, value: str, block: int, per_pack: int) -> DataFrame:
-    """rows (key, id, value) dealt into packs of units: pack, alone, key, low, high, id, value.
+def _blocks(n: str, size: str, block: int) -> F.Column:
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
-    A key with up to block rows and BLOCK_BYTES of values is one unit. A larger one is split into blocks by a hash of the
-    row, and each pair of blocks is a unit and a pack of its own, so that no call gets more than two blocks of a hot key.
-    Small units share packs of about per_pack rows and BLOCK_BYTES.
+
+def units(rows: DataFrame, block: int, per_pack: int) -> DataFrame:
+    """rows (key, id, comp, value) dealt into packs of units: pack, alone, key, low, high, id, comp, value.
+
+    Only rows of different comp need to meet. A key with up to block rows and BLOCK_BYTES of values is one unit; small
+    units share packs of about per_pack rows and BLOCK_BYTES. A larger key is split: the rows of its main comp (that of
+    its smallest id) and the others each into blocks by a hash, and each block of others with each other block is a
+    unit and a pack of its own. Main rows don't meet each other, so that what is compared grows with main times others.
     """
-    size = F.sum(F.octet_length(value))
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), size.alias("bytes")).where("n > 1")
-    n_blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    counts = counts.select(key, n_blocks.alias("n_blocks"), "n", "bytes")
-    small = counts.where("n_blocks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    size, n = F.octet_length("value"), rows.count()
+    keyed = with_totals(rows, "key", n, main=F.min_by("comp", "id"), lo=F.min("comp"), hi=F.max("comp"), all_rows=F.count("*"), all_bytes=F.sum(size)).where("lo <> hi")
+    keyed = cut_lineage(keyed.withColumn("is_main", F.col("comp") == F.col("main")).drop("main", "lo", "hi"))
+    large = _blocks("all_rows", "all_bytes", block) > 1
+    small = keyed.where(~large).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
     n_packs = max(1, -(-(small.n or 0) // per_pack), -(-(small.bytes or 0) // BLOCK_BYTES))
-    other = F.sequence(F.lit(0), F.col("n_blocks") - 1)
-    mine = F.pmod(F.xxhash64("id", value, F.lit(1)), "n_blocks").cast("int")
-    dealt = rows.join(counts.select(key, "n_blocks"), key).withColumn("mine", mine).withColumn("other", F.explode(other))
+    pack = lambda *by: F.pmod(F.xxhash64(*by), F.lit(n_packs))
+    zero = F.lit(0).cast("int")
+    dealt = keyed.where(~large).select(pack("key").alias("pack"), F.lit(False).alias("alone"), "key", zero.alias("low"), zero.alias("high"), "id", "comp", "value")
+    if not (n_large := keyed.where(large).count()):
+        return dealt
+    parts = with_totals(
+        keyed.where(large).select("key", "id", "comp", "value", "is_main"), "key", n_large,
+        n_main=F.count_if("is_main"), n_other=F.count_if(~F.col("is_main")), b_main=F.coalesce(F.sum(F.when(F.col("is_main"), size)), F.lit(0)), b_other=F.coalesce(F.sum(F.when(~F.col("is_main"), size)), F.lit(0)),
+    ).withColumns({"mains": F.greatest(F.lit(1), _blocks("n_main", "b_main", block)), "others": F.greatest(F.lit(1), _blocks("n_other", "b_other", block))})
+    hashed = F.xxhash64("id", "value", F.lit(1))
+    parts = parts.withColumn("mine", F.when(F.col("is_main"), F.col("others") + F.pmod(hashed, "mains")).otherwise(F.pmod(hashed, "others")).cast("int"))
+    partners = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), F.col("mine")))
+    parts = parts.withColumn("other", F.explode(partners))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    unit, alone = F.xxhash64(key, low, high), F.col("n_blocks") > 1
-    # a block meets itself only in its own unit unless it stands alone
-    return dealt.select(F.when(alone, unit).otherwise(F.pmod(unit, F.lit(n_packs))).alias("pack"), alone.alias("alone"), F.col(key).alias("key"), low.alias("low"), high.alias("high"), "id", value)
+    return dealt.unionByName(parts.select(F.xxhash64("key", low, high).alias("pack"), F.lit(True).alias("alone"), "key", low.alias("low"), high.alias("high"), "id", "comp", "value"))
 
 
-def linked(dealt: DataFrame, value: str, near) -> DataFrame:
-    """Links (a, b) that hold together what near(values) finds similar within each unit."""
+def linked(dealt: DataFrame, near) -> DataFrame:
+    """Links (a, b) that hold together what near(values) finds similar within each unit, between different comps."""
 
     def run(table: pa.Table) -> pa.Table:
         frame = table.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
         marks = [np.asarray(frame.column(c).combine_chunks()) for c in ("key", "low", "high")]
-        ids = np.asarray(frame.column("id").combine_chunks())
+        ids, comp = (np.asarray(frame.column(c).combine_chunks()) for c in ("id", "comp"))
         change = np.any([m[1:] != m[:-1] for m in marks], axis=0) if len(ids) > 1 else np.empty(0, bool)
         at = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
-        values = frame.column(value)
+        values = frame.column("value")
         pairs: list[tuple[int, int]] = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b - a > 1:
                 forest = Forest(ids[a:b].tolist())
-                forest.link_where(near(values.slice(a, b - a).to_pylist()))
+                forest.link_where(near(values.slice(a, b - a).to_pylist()) & (comp[a:b, None] != comp[None, a:b]))
                 pairs += forest.kept
         return pa.Table.from_batches([_edges(pairs)])
 
     return dealt.groupBy("pack", "alone").applyInArrow(run, "a long, b long")
 
 
+def agreeing_hubs(signed: DataFrame, least: int) -> DataFrame:
+    """Pairs (hub, id) of a bucket's smallest class and others whose signature agrees with it in so many bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("hub_signature", "signature")]
+            near = pa.array((sides[0] == sides[1]).sum(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(near), batch.column("id").filter(near)], names=["hub", "id"])
+
+    met = with_totals(signed, "bucket", signed.count(), first=F.min(F.struct("id", "signature"))).where("id <> first.id")
+    return met.select(F.col("first.id").alias("hub"), F.col("first.signature").alias("hub_signature"), "id", "signature").mapInArrow(run, "hub long, id long").distinct()
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, id) whose full sets (id, n_bytes, value) are similar, as links a, b.
+
+    A hub's partners are split into blocks by a hash if they are many, and the hub's own sets go to each block, so that
+    the work grows with the number of pairs.
+    """
+    sized = pairs.join(sets.select("id", "n_bytes"), "id").groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    sized = cut_lineage(sized)
+    known = sized.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n, size = known.n or 0, known.bytes or 0
+    blocks = F.greatest(F.ceil(F.col("n") / max(SET_BLOCK, n // HOT_KEYS)), F.ceil(F.col("bytes") / max(BLOCK_BYTES, size // HOT_KEYS))).cast("int")
+    hot = sized.select("hub", blocks.alias("n_blocks")).where("n_blocks > 1")  # at most 2 * HOT_KEYS
+    n_packs = max(1, -(-n // SET_BLOCK), -(-size // BLOCK_BYTES))
+
+    def placed(rows: DataFrame, block) -> DataFrame:
+        some = rows.join(F.broadcast(hot), "hub", "left").withColumn("block", block(F.coalesce("n_blocks", F.lit(1))))
+        alone = F.col("n_blocks").isNotNull()
+        unit = F.xxhash64("hub", "block")
+        return some.select(F.when(alone, unit).otherwise(F.pmod(unit, F.lit(n_packs))).alias("pack"), alone.alias("alone"), *(F.col(c).alias(c) for c in ("hub", "id", "value")))
+
+    values = sets.select("id", "value")
+    left = placed(pairs.join(values, "id"), lambda k: F.pmod(F.xxhash64("id", F.lit(2)), k).cast("int"))
+    hubs = sized.select("hub").join(values.withColumnRenamed("id", "hub"), "hub").withColumn("id", F.col("hub"))
+    right = placed(hubs, lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
+
+    def run(others: pa.Table, hubs: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        for hub, value in zip(hubs.column("hub").to_pylist(), hubs.column("value").to_pylist(), strict=True):
+            of.setdefault(hub, []).append(np.frombuffer(value, U))
+        pairs = []
+        for hub, i, value in zip(*(others.column(c).to_pylist() for c in ("hub", "id", "value")), strict=True):
+            mine = np.frombuffer(value, U)
+            for theirs in of.get(hub, []):
+                at = np.searchsorted(theirs, mine)
+                common = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum()) if len(theirs) else 0
+                if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                    pairs.append((hub, i))
+                    break
+        return pa.Table.from_batches([_edges(pairs)])
+
+    return left.groupBy("pack", "alone").cogroup(right.groupBy("pack", "alone")).applyInArrow(run, "a long, b long")
+
+
 def sketch(docs: DataFrame, how: Settings) -> DataFrame:
     """doc_id, n_shingles, print (of the shingle set; null if empty), signature (a byte of each minimum), bands."""
 
@@ -250,40 +321,55 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
 
     Two documents are linked if their shingle sets have the asked share in common; every link that holds is confirmed on
     full sets. Texts without words, nulls included, link with nothing. Rows with a null doc_id link with nothing, have a null
-    component and are kept. Rows that share a doc_id count as one document. Further columns are ignored; an empty table gives no rows.
+    component and are kept. Rows that share a doc_id and have words are one document with several texts: all lie in one
+    component. Texts of any length are read whole; further columns are ignored; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     sketches = stored(sketch(docs, how), "sketch")
     known = sketches.where("print is not null and doc_id is not null")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")).select("id", "print", "s.*"), "classes")
-    rows = classes.select(F.explode("bands").alias("bucket"), "id")
+    rows = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = rows.join(shared, "bucket")
-    signed = stored(rows.join(classes.select("id", "signature"), "id").select("bucket", "id", "signature").dropDuplicates(["bucket", "id"]), "signed")
+    signed = stored(rows.join(shared, "bucket").join(classes.select("id", "signature"), "id").select("bucket", "id", "signature"), "signed")
     least = -(-how.minima * (how.percent - SLACK) // 100)
-    by_signature = lambda values: agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), least)
-    maybe = linked(units(signed, "bucket", "signature", BUCKET_BLOCK, 4000), "signature", by_signature)
-    groups = cut_lineage(connected(maybe))
     words, percent = how.words, how.percent
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 members = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("id"), pa.array(members, pa.binary())], names=["root", "id", "members"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id", "text"])
-    full = stored(texts.select("root", "id", "text").mapInArrow(sets, "root long, id long, members binary"), "sets")
-    by_sets = lambda values: similar([np.frombuffer(v, U) for v in values], percent)
-    links = linked(units(full, "root", "members", SET_BLOCK, 1000), "members", by_sets)
-    components = connected(links)
-    member = classes.select("print", "id").join(components.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component"))
+                sizes = pa.array(list(map(len, members)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(members, pa.binary())], names=["id", "n_bytes", "value"])
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+        return stored(texts.mapInArrow(sets, "id long, n_bytes long, value binary").where("n_bytes > 0"), "sets")
+
+    several = known.groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most").select("doc_id")
+    same = known.select("doc_id", "print").distinct().join(several, "doc_id", "left_semi").join(classes.select("print", "id"), "print").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    pairs = cut_lineage(agreeing_hubs(signed, least))
+    ends = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
+    links = cut_lineage(connected(hub_links(pairs, full_sets(ends), percent).unionByName(same)))
+    component = links.select(F.col("node").alias("id"), F.col("root").alias("comp"))
+    placed = signed.join(component, "id", "left").select(F.col("bucket").alias("key"), "id", F.coalesce("comp", "id").alias("comp"), F.col("signature").alias("value"))
+    by_signature = lambda values: agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), least)
+    maybe = cut_lineage(linked(units(placed, BUCKET_BLOCK, 4000), by_signature))
+    if not maybe.isEmpty():
+        groups = cut_lineage(connected(maybe)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+        full = full_sets(groups.select("id")).join(groups, "id").join(component, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "value")
+        by_sets = lambda values: similar([np.frombuffer(v, U) for v in values], percent)
+        more = linked(units(full, SET_BLOCK, 1000), by_sets)
+        links = connected(more.unionByName(links.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    member = classes.select("print", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print").join(member, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, how: Settings = Settings(words=5, percent=80, bands=28)) -> DataFrame:
-    """docs without those that another document of their component stands for, and without repeated rows."""
+    """docs without those that another document of their component stands for, and without repeated rows.
+
+    Null ids and texts without words stay; see near_duplicates for ties. Columns may have any names.
+    """
     gone = near_duplicates(docs, how).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
