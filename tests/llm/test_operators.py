@@ -525,6 +525,37 @@ def test_nearest_neighbours_beyond_a_small_list(spark, monkeypatch):
         assert q > 1 or [v for _, v, _ in found] == best
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_nearest_neighbours_in_split_lists(spark, monkeypatch, n):
+    """Lists that are split twice and more, a hot vector, repeated ids, and columns that clash."""
+    monkeypatch.setattr(neighbours, "MOST_CENTROIDS", 3)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 150)
+    monkeypatch.setattr(neighbours, "LIST_ENTRIES", 60)
+    monkeypatch.setattr(neighbours, "FAN", 8)
+    monkeypatch.setattr(neighbours, "MOST_FAN", 16)
+    rng = np.random.default_rng(n)
+    vectors = (rng.normal(size=(60, 12))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 12))).astype(np.float32)
+    vectors[rng.permutation(n)[: n // 3]] = vectors[0]
+    rows = [(i, v.tolist(), "a", 1) for i, v in enumerate(vectors)]
+    rows += [(50, vectors[0].tolist(), "a", 1), rows[100], rows[100]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list string, part int")
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    x = vectors.astype(np.float64)
+    norms, hit = np.sqrt((x * x).sum(axis=1)), 0
+    assert sorted(got) == list(range(0, n, 50))
+    for q, found in got.items():
+        assert len(found) == 5 and len({v for v, _ in found}) == 5 and q not in dict(found)
+        own = min(vectors[50].tolist(), vectors[0].tolist()) if q == 50 else x[q]
+        scores = (x * own).sum(axis=1) / (norms * np.sqrt((np.array(own) ** 2).sum()))
+        scores[50] = max(scores[50], (x[0] * own).sum() / (norms[0] * np.sqrt((np.array(own) ** 2).sum())))
+        best = [i for i in np.lexsort((np.arange(n), -scores)).tolist() if i != q][:5]
+        assert np.allclose([s for _, s in found], [scores[v] for v, _ in found])
+        hit += len(set(best) & {v for v, _ in found})
+    assert hit >= 0.9 * 5 * len(got), hit / 5 / len(got)
+
+
 def test_token_counts_are_greedy(spark, odd):
     automaton = tokens.build([b"a", b"ab", b"abcd", b"b"], [b"c", b"b", b"ab", b"d", b"cda"])
     for word, n in {"abcd": 1, "abc": 2, "abcda": 2 + 0, "abab": 2, "x": 1, "ax": 1, "bcd": 3, "bcda": 2, "abb": 2}.items():
