@@ -5,6 +5,10 @@ the smallest hash of its k-byte pieces, which is the same wherever the window st
 segments. Segments with an anchor found once hold no repeat. Of equal segments all but the earliest are repeats as a
 whole. Only where an anchor has different segments are their texts needed: these are gathered by anchor into shards,
 whose suffix arrays and permuted common prefixes show the windows that start earlier elsewhere.
+
+An anchor with very many different segments, as at the edges of a passage that a third of all documents share, would fill
+a shard by itself. Such anchors are found by counting first; their windows are dealt one by one, by a hash of the whole
+window, and the smallest place of each is found by reducing within document buckets and then within parts.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ LENGTH = 100
 PIECE = 32
 #: Bytes of text in a bucket of documents, for a part of anchors, and in a suffix-array shard.
 BUCKET_BYTES, PART_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 2 << 20
-#: Different segments of one anchor beyond which their windows are dealt once more, by a second anchor.
-MANY = 10_000
+#: Different segments of one anchor, and the share of all text's segments, beyond which its windows are dealt one by one.
+MANY, HOT_ANCHORS = 10_000, 200_000
+#: What a task reads of a shuffle.
+TASK_BYTES = 64 << 20
 #: Text that is hashed at once, and text after which a task hands on what it has found.
 CHUNK, HELD = 1 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -117,15 +123,24 @@ def _unpacked(table: pa.Table, fields: tuple = FIELDS) -> dict[str, np.ndarray]:
 
 SCHEMA = "kind int, key long, n_bytes long, " + ", ".join(f"{n} binary" for n, _ in FIELDS)
 ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n_bytes", pa.int64()), *((n, pa.binary()) for n, _ in FIELDS)])
-SEGMENT, REPEAT, REQUEST = 0, 1, 2
+SEGMENT, REPEAT, REQUEST, PLURAL, WINDOW = 0, 1, 2, 3, 4
 
 
-def _buckets(doc: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of each document id, as Spark's pmod(xxhash64(id), n) gives it."""
-    distinct, at = np.unique(doc, return_inverse=True)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    hashed = [(signed(xxhash.xxh64_intdigest(int(d).to_bytes(8, "little", signed=True), seed=42)) % n) for d in distinct.tolist()]
-    return np.array(hashed, np.int64)[at]
+def _buckets(doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each document (id and text hash), as Spark's pmod(xxhash64(id, hash), n) gives it."""
+    if not len(doc):
+        return np.empty(0, np.int64)
+    order = np.lexsort((row, doc))
+    d, r = doc[order].astype(np.int64), row[order].astype(np.int64)
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])])
+    out = []
+    for one, text in zip(d[new].tolist(), r[new].tolist(), strict=True):
+        seed = xxhash.xxh64_intdigest(one.to_bytes(8, "little", signed=True), seed=42)
+        h = xxhash.xxh64_intdigest(text.to_bytes(8, "little", signed=True), seed=seed)
+        out.append((h - (1 << 64) if h >> 63 else h) % n)
+    at = np.empty(len(doc), np.int64)
+    at[order] = np.array(out, np.int64)[np.cumsum(new) - 1]
+    return at
 
 
 def _joined(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -157,8 +172,8 @@ def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _row_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each text, to tell rows with the same id apart."""
-    return np.array([xxhash.xxh3_64_intdigest(data[a:b].tobytes()) & 0xFFFFFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
+    """32 bits of each text, to tell rows with the same id apart; Spark's xxhash64 gives the same."""
+    return np.array([xxhash.xxh64_intdigest(data[a:b].tobytes(), seed=42) & 0xFFFFFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -176,7 +191,9 @@ def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
         later = _later(order, same, columns["doc"], columns["start"])
         repeats = _joined({n: columns[n][order[later]] for n, _ in PLACES})
         kept = {n: c[np.sort(order[~later])] for n, c in columns.items()}
-        rows = _packed((_mix(kept["anchor"], 1) % U(n_parts)).astype(np.int64), kept, SEGMENT) + _packed(_buckets(repeats["doc"], n_buckets), repeats, REPEAT)
+        rows = _packed((_mix(kept["anchor"], 1) % U(n_parts)).astype(np.int64), kept, SEGMENT) + _packed(_buckets(repeats["doc"], repeats["row"], n_buckets), repeats, REPEAT)
+        anchor, times = np.unique(kept["anchor"], return_counts=True)
+        rows += [{"kind": PLURAL, "key": int(a.view(np.int64)), "n_bytes": int(n)} | {n_: b"" for n_, _ in FIELDS} for a, n in zip(anchor[times > 1], times[times > 1], strict=True)] if len(anchor) else []
         return pa.Table.from_pylist(rows, schema=ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +217,34 @@ def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def _apart(split: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
+    """split, with segments of hot anchors (sorted) taken out and asked for, by bucket; a mark in print tells them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                anchor = np.frombuffer(r["anchor"], "<u8")
+                at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                out = hot[at] == anchor
+                if r["kind"] != SEGMENT or not out.any():
+                    rows.append(r)
+                    continue
+                c = {n: np.frombuffer(r[n], t) for n, t in FIELDS}
+                asked = {n: x[out] for n, x in c.items()}
+                asked["print"] = np.ones(out.sum(), np.uint64)
+                rows += _packed(np.full((~out).sum(), r["key"]), {n: x[~out] for n, x in c.items()}, SEGMENT)
+                rows += _packed(_buckets(asked["doc"], asked["row"], n_buckets), asked, REQUEST)
+            yield from pa.Table.from_pylist(rows, schema=ARROW).to_batches()
+
+    return split.mapInArrow(run, SCHEMA)
+
+
 def _compare(split: DataFrame, n_buckets: int) -> DataFrame:
     """By bucket: repeats as a whole, and requests for the texts of different segments with one anchor."""
 
     def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows or table.column("kind")[0].as_py() == REPEAT:
+        if not table.num_rows or table.column("kind")[0].as_py() != SEGMENT:
             return table
         c = _unpacked(table)
         order = np.argsort(c["anchor"], kind="stable")
@@ -223,15 +263,35 @@ def _compare(split: DataFrame, n_buckets: int) -> DataFrame:
         asked = new & (kinds > 1)
         repeats = _joined({n: c[n][order[later]] for n, _ in PLACES})
         requests = {n: c[n][order[asked]] for n, _ in FIELDS}
-        requests["print"] = (kinds[asked] > MANY).astype(np.uint64)
-        rows = _packed(_buckets(repeats["doc"], n_buckets), repeats, REPEAT) + _packed(_buckets(requests["doc"], n_buckets), requests, REQUEST)
+        requests["print"] = np.zeros(asked.sum(), np.uint64)
+        rows = _packed(_buckets(repeats["doc"], repeats["row"], n_buckets), repeats, REPEAT) + _packed(_buckets(requests["doc"], requests["row"], n_buckets), requests, REQUEST)
         return pa.Table.from_pylist(rows, schema=ARROW)
 
     return split.groupBy("kind", "key").applyInArrow(run, SCHEMA)
 
 
-def _gather(bucketed: DataFrame, requests: DataFrame, n_shards: int) -> DataFrame:
-    """The texts of requested segments, by shard of their anchors."""
+def _windows(data: np.ndarray, at: np.ndarray, c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The windows of segments (at: where they start in data) one by one, told by two hashes of 64 bits."""
+    sizes = c["size"].astype(np.int64)
+    long = _rolling(data, 64)
+    i = np.repeat(np.arange(len(sizes)), sizes)
+    nth = np.arange(len(i)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    head, tail = long[at[i] + nth], long[at[i] + nth + LENGTH - 64]
+    hashes = {"anchor": _mix(head * U(3) + tail, 11), "print": _mix(head * U(5) + tail * U(0x9FB21C651E98DF25), 12)}
+    return hashes | {"doc": c["doc"][i], "row": c["row"][i], "start": c["start"][i].astype(np.int64) + nth, "size": np.ones(len(i), np.int64)}
+
+
+def _least_place(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Of entries with equal anchor and print the one at the smallest place, and runs of the others."""
+    order = np.lexsort((c["start"], c["doc"], c["print"], c["anchor"]))
+    a, p = c["anchor"][order], c["print"][order]
+    same = np.concatenate([[False], (a[1:] == a[:-1]) & (p[1:] == p[:-1])]) if len(order) else np.empty(0, bool)
+    later = _later(order, same, c["doc"], c["start"])
+    return {n: x[order[~later]] for n, x in c.items()}, _joined({n: c[n][order[later]] for n, _ in PLACES})
+
+
+def _gather(bucketed: DataFrame, requests: DataFrame, n_shards: int, n_parts: int, n_buckets: int) -> DataFrame:
+    """The texts of requested segments, by shard of their anchors; windows of hot anchors, by part, with repeats within a bucket told."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         c = _unpacked(asked)
@@ -240,23 +300,15 @@ def _gather(bucketed: DataFrame, requests: DataFrame, n_shards: int) -> DataFram
         place = {(d, r): i for i, (d, r) in enumerate(zip(ids.tolist(), _row_hashes(data, offsets).tolist(), strict=True))} if asked.num_rows else {}
         doc = np.array([place[k] for k in zip(c["doc"].tolist(), c["row"].tolist(), strict=True)], np.int64)
         at = offsets[doc] + c["start"] if len(doc) else np.empty(0, np.int64)
-        many = np.flatnonzero(c["print"])
-        if len(many):  # deal the windows of very common anchors once more
-            parts = []
-            for i in many.tolist():
-                again, leaves = anchors(data[at[i] : at[i] + c["size"][i] + LENGTH - 1], 16, 7)
-                s, n = runs_of(again, leaves, np.empty(0, np.int64))
-                parts.append((np.full(len(s), i), s, n, _mix(again[s] ^ c["anchor"][i], 3)))
-            i, s, n, anchor = map(np.concatenate, zip(*parts, strict=True))
-            rest = np.flatnonzero(c["print"] == 0)
-            pick = np.concatenate([rest, i])
-            more = np.concatenate([np.zeros(len(rest), np.int64), s])
-            size, anchor = np.concatenate([c["size"][rest], n]), np.concatenate([c["anchor"][rest], anchor])
-            at, c = at[pick] + more, {"doc": c["doc"][pick], "row": c["row"][pick], "start": c["start"][pick] + more, "size": size, "anchor": anchor}
-        rows = _packed((_mix(c["anchor"], 2) % U(n_shards)).astype(np.int64), c | {"print": at}, REQUEST)
+        hot = c["print"] > 0
+        cold = {n: x[~hot] for n, x in c.items()} | {"print": at[~hot]}
+        rows = _packed((_mix(cold["anchor"], 2) % U(n_shards)).astype(np.int64), cold, REQUEST)
         for r in rows:
             begins, sizes = np.frombuffer(r["print"], "<u8").astype(np.int64), np.frombuffer(r["size"], "<i4")
             r["print"] = b"".join(data[b : b + n + LENGTH - 1].tobytes() for b, n in zip(begins.tolist(), sizes.tolist(), strict=True))
+        if hot.any():
+            first, later = _least_place(_windows(data, at[hot], {n: x[hot] for n, x in c.items()}))
+            rows += _packed((_mix(first["anchor"], 4) % U(n_parts)).astype(np.int64), first, WINDOW) + _packed(_buckets(later["doc"], later["row"], n_buckets), later, REPEAT)
         return pa.Table.from_pylist(rows, schema=ARROW)
 
     asked = requests.select(F.col("key").alias("bucket"), *(n for n, _ in FIELDS))
@@ -287,15 +339,21 @@ def shard_repeats(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, size:
 
 def _sort_shards(gathered: DataFrame, n_buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py() if table.num_rows else REPEAT
+        if kind == REPEAT:
+            return table
+        if kind == WINDOW:
+            _, found = _least_place(_unpacked(table))
+            return pa.Table.from_pylist(_packed(_buckets(found["doc"], found["row"], n_buckets), found, REPEAT), schema=ARROW)
         c = _unpacked(table, (FIELDS[0], *PLACES))
         ends = (c["size"].astype(np.int64) + LENGTH - 1).cumsum()
         data = b"".join(table.column("print").to_pylist())
         texts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         segment, offset = shard_repeats(c["anchor"], c["doc"], c["start"], c["size"], texts)
         found = _joined({"doc": c["doc"][segment], "row": c["row"][segment], "start": c["start"][segment] + offset, "size": np.ones(len(segment), np.int64)})
-        return pa.Table.from_pylist(_packed(_buckets(found["doc"], n_buckets), found, REPEAT), schema=ARROW)
+        return pa.Table.from_pylist(_packed(_buckets(found["doc"], found["row"], n_buckets), found, REPEAT), schema=ARROW)
 
-    return gathered.groupBy("key").applyInArrow(run, SCHEMA)
+    return gathered.groupBy("kind", "key").applyInArrow(run, SCHEMA)
 
 
 def covered(n: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -339,16 +397,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a document with a smaller id, or further left
     in the same. Texts are judged as UTF-8 bytes of the input; null texts are empty; matches never cross documents. A null
     id counts as the largest. Rows that share an id count as one document, whose places are compared by start; equal rows
-    get equal results. Further columns are ignored; an empty table gives no rows.
+    get equal results. Texts of any length are read whole; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets, n_parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
-    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(n_buckets))
-    bucketed = docs.select("doc_id", "text", bucket.alias("bucket"))
-    told = stored(_compare(_split(docs, n_parts, n_buckets), n_buckets), "repeats")
+
+    def dealt(rows: DataFrame, size: int, *by: str) -> DataFrame:
+        """rows shuffled by key into as many tasks as their size asks for."""
+        return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)), *by)
+
+    text = F.coalesce("text", F.lit(""))
+    row = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), row), F.lit(n_buckets))
+    bucketed = dealt(docs.select("doc_id", "text", bucket.alias("bucket")), total, "bucket")
+    split = stored(_split(docs, n_parts, n_buckets), "segments")
+    plural = split.where(F.col("kind") == PLURAL).groupBy("key").agg(F.sum("n_bytes").alias("n"))
+    many = max(MANY, total // (37 * HOT_ANCHORS))  # a segment for each 37 bytes: at most HOT_ANCHORS anchors have more
+    hot = np.array(sorted(r.key % (1 << 64) for r in plural.where(F.col("n") > many).collect()), np.uint64)
+    split = split.where(F.col("kind") != PLURAL)
+    told = stored(_compare(dealt(_apart(split, hot, n_buckets) if len(hot) else split, total, "kind", "key"), n_buckets), "repeats")
     requests, repeats = told.where(F.col("kind") == REQUEST), told.where(F.col("kind") == REPEAT)
     asked = requests.agg(F.sum("n_bytes")).first()[0] or 0
-    more = _sort_shards(_gather(bucketed, requests, max(1, -(-asked // SHARD_BYTES))), n_buckets)
-    return _remove(bucketed, repeats.unionByName(more))
+    gathered = _gather(bucketed, dealt(requests, total, "key"), max(1, -(-asked // SHARD_BYTES)), max(1, -(-8 * asked // PART_BYTES)), n_buckets)
+    more = _sort_shards(dealt(gathered, 4 * asked, "kind", "key"), n_buckets)
+    return _remove(bucketed, dealt(repeats.unionByName(more), total, "key"))
