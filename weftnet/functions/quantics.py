@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, Window, functions as F
 
 from ..index import Index, new_index
-from ..tensor import Tensor, contract_pair
+from ..tensor import Tensor, contract_pair, whole
 
 PERIODIC, ANTIPERIODIC, OPEN = "periodic", "antiperiodic", "open"
 
@@ -49,11 +49,11 @@ def shift(t: Tensor, offsets: Mapping[Index, int], boundary: str | Mapping[Index
     for i, offset in offsets.items():
         how, n = boundary if isinstance(boundary, str) else boundary[i], i.dim
         to = F.col(i.column) - F.lit(offset)
-        turns = F.floor(to / n)
+        turns = whole(to, n)
         if how == OPEN:
             keep = keep & (to >= 0) & (to < n)
         elif how == ANTIPERIODIC:
-            factor = factor * F.when(turns % 2 == 0, 1.0).otherwise(-1.0)
+            factor = factor * F.when(F.pmod(turns, F.lit(2)) == 0, 1.0).otherwise(-1.0)
         elif how != PERIODIC:
             raise ValueError(f"unknown boundary {how}")
         new[i] = F.pmod(to, F.lit(n)).cast("long")
@@ -92,7 +92,7 @@ def triangle(t: Tensor, index: Index, lower: bool = True) -> Tensor:
     block = 1 << (n_bits(index) // 2)
     others = [i.column for i in t.indices if i != index]
     dense = t.densified()
-    df = dense.df.withColumn("weft_block", F.floor(F.col(index.column) / block))
+    df = dense.df.withColumn("weft_block", whole(F.col(index.column), block))
     order = lambda c: F.asc(c) if lower else F.desc(c)
     before = lambda parts, c: Window.partitionBy(*parts).orderBy(order(c)).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*others, "weft_block").agg(*(F.sum(v).alias(f"weft_{v}") for v in t.values))
@@ -119,7 +119,7 @@ def fourier(t: Tensor, index: Index, sign: int = -1, normalize: bool = True) ->
     df = c.df.select(*others, F.col(col).alias("weft_x"), F.lit(0).cast("long").alias("weft_k"), "re", "im")
     for j in range(r):
         half = 1 << (r - 1 - j)
-        top, rest = F.floor(F.col("weft_x") / half).cast("long"), F.col("weft_x") % half
+        top, rest = whole(F.col("weft_x"), half), F.col("weft_x") % half
         df = df.withColumn("weft_b", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("weft_top", top).withColumn("weft_rest", rest)
         # k gains bit j with value b: x = top * half + rest, phase of top with the bits known so far
         k = F.col("weft_k") + F.col("weft_b") * (1 << j)
@@ -143,11 +143,11 @@ def affine(t: Tensor, inputs: Sequence[Index], matrix: Sequence[Sequence], offse
         for a, x in zip(whole, inputs, strict=False):
             sum_ = sum_ + F.lit(a) * F.col(x.column)
         keep = keep & (F.pmod(sum_, F.lit(common)) == 0)
-        to = F.floor(sum_ / common).cast("long")
+        to = whole(sum_, common)
         if boundary == OPEN:
             keep = keep & (to >= 0) & (to < y.dim)
         elif boundary == ANTIPERIODIC:
-            turns = turns * F.when(F.pmod(F.floor(to / y.dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+            turns = turns * F.when(F.pmod(whole(to, y.dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
         new[y] = F.pmod(to, F.lit(y.dim)).cast("long")
     rest = [i for i in t.indices if i not in inputs]
     df = t.df.where(keep).select(*(c.alias(y.column) for y, c in new.items()), *(i.column for i in rest), *((F.col(v) * turns).alias(v) for v in t.values))

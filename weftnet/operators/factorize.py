@@ -1,8 +1,9 @@
 """Factorizations of tensors seen as matrices.
 
-A matrix has its rows distributed; its columns are the smaller side, whose dimension is checked against a limit. The Gram
-matrix of that side is one aggregation; its eigenvectors are computed on the driver, and multiplied back by a join. Small
-singular values are exact down to about 1e-8 of the largest, as the Gram matrix squares them.
+A matrix has its rows distributed; its columns are the smaller side, whose dimension is checked against a limit. Blocks of
+rows are factorized in tasks, and their triangles are joined and factorized again, a few at a time, until one is left (a
+tall-skinny QR by reduction). Its singular values are exact to machine precision; the isometric factor comes by a join, and
+by a second round where singular values lie so far apart that one leaves it skewed.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..index import Index, new_link, unique_inds
 from ..session import cut_lineage
 from ..tensor import Tensor, contract_pair, from_dense
 
-#: Largest dimension of the side whose Gram matrix is taken to the driver.
+#: Largest dimension of the smaller side: its triangle has to fit into a task, and goes to the driver.
 SMALL_SIDE = 2048
+#: Values of a block of rows that a task factorizes, triangles that are joined at a time, and singular values (in shares of
+#: the largest) that count as noise, or make a second round worth while.
+BLOCK_VALUES, FAN_IN, NOISE, SKEWED = 4 << 20, 16, 2e-15, 1e-5
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,7 @@ class Truncation:
     def rank(self, singular: np.ndarray) -> int:
         """How many of the descending singular values stay; one at least."""
         s = np.asarray(singular, float)
-        n = int((s > max(self.rtol, 1e-9) * s[0]).sum()) if len(s) and s[0] > 0 else 0
+        n = int((s > max(self.rtol, NOISE) * s[0]).sum()) if len(s) and s[0] > 0 else 0
         if self.cutoff and n:
             tail = np.cumsum((s**2)[::-1])[::-1]
             n = min(n, int((tail > self.cutoff * tail[0]).sum()))
@@ -78,32 +84,96 @@ def hermitian_eigen(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[::-1], vectors[:, ::-1]
 
 
+def triangle(t: Tensor, left: Sequence[Index]) -> np.ndarray:
+    """R of the QR factorization of t, rows left, in column-major order of the other indices."""
+    left, right = _sides(t, left)
+    m = math.prod(i.dim for i in right)
+    if m > SMALL_SIDE:
+        raise ValueError(f"the smaller side has {m} entries, more than {SMALL_SIDE}")
+    col, step = F.lit(0).cast("long"), 1
+    for i in right:
+        col, step = col + F.col(i.column) * F.lit(step), step * i.dim
+    rich = t.is_complex
+    n_rows = math.prod(i.dim for i in left)
+    n_blocks = int(max(1, min(1 << 20, -(-n_rows * m // max(BLOCK_VALUES, 4 * m * m)))))
+    keys = [i.column for i in left]
+    row = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    rows = t.df.select(F.pmod(row, F.lit(n_blocks)).alias("block"), (F.struct(*keys) if keys else row).alias("row"), col.alias("col"), "re", (F.col("im") if rich else F.lit(0.0)).alias("im"))
+    schema = "block long, tri binary"
+
+    def packed(block: int, a: np.ndarray) -> pa.Table:
+        r = np.linalg.qr(a, mode="r") if len(a) else a
+        return pa.table({"block": pa.array([block], pa.int64()), "tri": pa.array([np.ascontiguousarray(r, np.complex128).tobytes()], pa.binary())})
+
+    def first(table: pa.Table) -> pa.Table:
+        at = table.column("row").combine_chunks()
+        names = [np.asarray(at.field(k)) for k in range(at.type.num_fields)] if pa.types.is_struct(at.type) else [np.asarray(at)]
+        order = np.lexsort(names)
+        change = np.concatenate([[False], np.any([n[order][1:] != n[order][:-1] for n in names], axis=0)])
+        row = np.empty(len(order), np.int64)
+        row[order] = np.cumsum(change)
+        a = np.zeros((int(row.max()) + 1, m), np.complex128)
+        np.add.at(a, (row, np.asarray(table.column("col"))), np.asarray(table.column("re")) + 1j * np.asarray(table.column("im")))
+        return packed(table.column("block")[0].as_py(), a if rich else a.real)
+
+    def joined(table: pa.Table) -> pa.Table:
+        a = np.concatenate([np.frombuffer(x, np.complex128).reshape(-1, m) for x in table.column("tri").to_pylist()])
+        return packed(table.column("block")[0].as_py(), a if rich else a.real)
+
+    parts = rows.groupBy("block").applyInArrow(first, schema)
+    while n_blocks > 1:
+        parts = cut_lineage(parts)
+        n_blocks = -(-n_blocks // FAN_IN)
+        parts = parts.withColumn("block", F.pmod("block", F.lit(n_blocks))).groupBy("block").applyInArrow(joined, schema)
+    found = next(iter(parts.collect()), None)
+    r = np.frombuffer(found.tri, np.complex128).reshape(-1, m) if found else np.zeros((1, m))
+    return r if rich else r.real
+
+
+def _isometric(t: Tensor, right: Sequence[Index], vectors: np.ndarray, s: np.ndarray, bond: Index) -> tuple[Tensor, np.ndarray]:
+    """t V / s as columns that are orthonormal, and the small matrix by which they had to be changed."""
+    u = contract_pair(t, tensor_of(t, [*right, bond], vectors / np.where(s > 0, s, 1)))
+    if not len(s) or s[-1] > SKEWED * s[0] or s[0] == 0:
+        return u, np.eye(len(s))
+    u = u._like(cut_lineage(u.df))
+    skew = triangle(u, [i for i in u.indices if i != bond])
+    if skew.shape[0] < skew.shape[1]:
+        return u, np.eye(len(s))
+    turned = contract_pair(u, tensor_of(u, [bond, bond.prime()], np.linalg.inv(skew))).replace_indices((bond.prime(), bond))
+    return turned, skew
+
+
 def svd(t: Tensor, left: Sequence[Index], how: Truncation = Truncation()) -> tuple[Tensor, np.ndarray, Tensor]:
     """U (left, bond), singular values, V (bond, right) with t = U diag(s) V; the smaller side is solved."""
     left, right = _sides(t, left)
     if math.prod(i.dim for i in left) < math.prod(i.dim for i in right):
         v, s, u = svd(t, right, how)
         return u, s, v
-    values, vectors = hermitian_eigen(gram(t, right))
-    s = np.sqrt(np.maximum(values, 0))
+    _, s, rows = np.linalg.svd(triangle(t, left), full_matrices=False)
     n = how.rank(s)
-    s, vectors = s[:n], vectors[:, :n]
+    s, vectors = s[:n], rows[:n].conj().T
     bond = new_link(n)
-    v = tensor_of(t, [*right, bond], vectors)
-    u = contract_pair(t, tensor_of(t, [*right, bond], vectors / np.where(s > 0, s, 1)))
-    return u, s, v.conj()
+    u, skew = _isometric(t, right, vectors, s, bond)
+    if not np.array_equal(skew, np.eye(n)):  # fold the second round in, so that the middle is diagonal again
+        a, s, b = np.linalg.svd((skew * s) @ vectors.conj().T, full_matrices=False)
+        u = contract_pair(u, tensor_of(u, [bond, bond.prime()], a)).replace_indices((bond.prime(), bond))
+        vectors = b.conj().T
+    return u, s, tensor_of(t, [*right, bond], vectors.conj())
 
 
-def qr(t: Tensor, left: Sequence[Index], rtol: float = 1e-9) -> tuple[Tensor, Tensor]:
+def qr(t: Tensor, left: Sequence[Index], rtol: float = 1e-15) -> tuple[Tensor, Tensor]:
     """Q (left, bond) with orthonormal columns and R (bond, right) with t = Q R; dependent columns are left out."""
     left, right = _sides(t, left)
-    values, vectors = hermitian_eigen(gram(t, right))
-    s = np.sqrt(np.maximum(values, 0))
+    if math.prod(i.dim for i in left) < math.prod(i.dim for i in right):
+        u, s, v = svd(t, left, Truncation(rtol=rtol))
+        bond = next(i for i in u.indices if i in v.indices)
+        return u, contract_pair(tensor_of(t, [bond.prime(), bond], np.diag(s)), v).replace_indices((bond.prime(), bond))
+    _, s, rows = np.linalg.svd(triangle(t, left), full_matrices=False)
     n = Truncation(rtol=rtol).rank(s)
     bond = new_link(n)
-    s, vectors = s[:n], vectors[:, :n]
-    q = contract_pair(t, tensor_of(t, [*right, bond], vectors / np.where(s > 0, s, 1)))
-    return q, tensor_of(t, [bond, *right], (vectors * s).conj().T)
+    s, vectors = s[:n], rows[:n].conj().T
+    q, skew = _isometric(t, right, vectors, s, bond)
+    return q, tensor_of(t, [bond, *right], (skew * s) @ vectors.conj().T)
 
 
 def factorize(t: Tensor, left: Sequence[Index], how: Truncation = Truncation(), method: str = "svd", canonical: str = "left") -> tuple[Tensor, Tensor]:
@@ -151,8 +221,6 @@ def rank_revealing_lu(t: Tensor, left: Sequence[Index], max_rank: int | None = N
     Ties go to the first position in column-major order. The residual stays distributed; a round costs an argmax, two
     filters and a join. errors holds the pivots' absolute values, and last the residual that is left.
     """
-    import pyspark.sql.functions as F
-
     left, right = _sides(t, left)
     if t.has_nonfinite():
         raise ValueError("values are not finite")

@@ -87,23 +87,38 @@ class Partitioned:
     def norm(self) -> float:
         return math.sqrt(self.norm_squared())
 
+    @staticmethod
+    def summed(parts: Sequence[tuple[Projector, Tensor]]) -> Partitioned:
+        """Sums where regions meet: those that overlap become one patch, on the smallest region that holds them."""
+        out: list[tuple[Projector, Tensor]] = []
+        for p, t in parts:
+            t = t.mask_index(p.fixed)
+            while (k := next((k for k, (q, _) in enumerate(out) if not q.disjoint(p)), None)) is not None:
+                q, x = out.pop(k)
+                p, t = p.common_restriction(q), x.add(t)
+            out.append((p, t))
+        return Partitioned(tuple(out))
+
+    def append(self, other: Partitioned) -> Partitioned:
+        """The patches of both; regions must stay disjoint."""
+        return Partitioned.of([*self.patches, *other.patches])
+
+    def inner(self, other: Partitioned) -> complex:
+        """Sum of conj(self) * other; only patches that meet are joined."""
+        return sum(a.inner(b) for p, a in self.patches for q, b in other.patches if p.compatible(q))
+
     def add(self, other: Partitioned) -> Partitioned:
-        """Sums of patches on equal regions; other regions must be disjoint."""
-        out = dict(self.patches)
-        for p, t in other.patches:
-            out[p] = out[p].add(t) if p in out else t
-        return Partitioned.of(list(out.items()))
+        return Partitioned.summed([*self.patches, *other.patches])
 
     def contract(self, other: Partitioned) -> Partitioned:
-        """Products of compatible patches, summed where their regions on the remaining indices agree."""
-        out: dict[Projector, Tensor] = {}
+        """Products of compatible patches, summed where their regions on the remaining indices meet."""
+        parts = []
         for p, a in self.patches:
             for q, b in other.patches:
                 if p.compatible(q):
                     c = contract_pair(a, b)
-                    r = p.intersection(q).filter(c.indices)
-                    out[r] = out[r].add(c) if r in out else c
-        return Partitioned.of(list(out.items()))
+                    parts.append((p.intersection(q).filter(c.indices), c))
+        return Partitioned.summed(parts)
 
 
 def adaptive(t: Tensor, indices: Sequence[Index], most_rows: int) -> Partitioned:

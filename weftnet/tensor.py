@@ -19,6 +19,11 @@ from .index import Index, check_unique, common_inds, new_index, permutation, rep
 DRIVER_VALUES = 1_000_000
 
 
+def whole(x: Column, step: int) -> Column:
+    """The whole part, downwards, of a long over a positive number: exact over all 64 bits."""
+    return F.call_function("div", x - F.pmod(x, F.lit(step)), F.lit(step))
+
+
 @dataclass(frozen=True)
 class Tensor:
     df: DataFrame
@@ -124,7 +129,7 @@ class Tensor:
             raise ValueError("dimensions of the group don't fit the fused index")
         df, step = self.df, 1
         for i in group:
-            df = df.withColumn(i.column, F.floor(F.col(fused.column) / step).cast("long") % i.dim)
+            df = df.withColumn(i.column, whole(F.col(fused.column), step) % i.dim)
             step *= i.dim
         new = [x for i in self.indices for x in (group if i == fused else [i])]
         return self._like(df.select(*(i.column for i in new), *self.values), new)
@@ -294,7 +299,7 @@ def positions(spark: SparkSession, indices: Sequence[Index]) -> DataFrame:
     """A row for each coordinate, with its flat position pos; made on the executors."""
     df, step = spark.range(math.prod(i.dim for i in indices)).withColumnRenamed("id", "pos"), 1
     for i in indices:
-        df = df.withColumn(i.column, F.floor(F.col("pos") / step).cast("long") % i.dim)
+        df = df.withColumn(i.column, whole(F.col("pos"), step) % i.dim)
         step *= i.dim
     return df
 
@@ -308,9 +313,15 @@ def from_dense(spark: SparkSession, indices: Sequence[Index], values: Sequence[c
     if len(values) != math.prod(i.dim for i in indices):
         raise ValueError("the number of values doesn't fit the indices")
     rich = any(isinstance(v, complex) for v in values)
-    rows = [(k, float(v.real), float(v.imag)) for k, v in enumerate(values) if v != 0]
-    data = spark.createDataFrame(rows, "pos long, re double, im double")
-    t = Tensor(positions(spark, indices).join(F.broadcast(data) if len(values) <= DRIVER_VALUES else data, "pos").drop("pos"), tuple(indices), True)
+    rows = []
+    for k, v in enumerate(values):
+        if v != 0:
+            at, rest = [], k
+            for i in indices:
+                rest, c = divmod(rest, i.dim)
+                at.append(c)
+            rows.append((*at, float(v.real), float(v.imag)))
+    t = Tensor(spark.createDataFrame(rows, ", ".join([*(f"`{i.column}` long" for i in indices), "re double", "im double"])), tuple(indices), True)
     return t if rich else t.real_part()
 
 
