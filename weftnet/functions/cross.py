@@ -1,8 +1,8 @@
 """Functions given as code: cached evaluation, cross interpolation of tensors on chains, Chebyshev interpolation.
 
-A function takes coordinate columns and gives a column, so that points are evaluated on the executors. Pivots are small
-lists on the driver; a bond's matrix of pivot rows and columns is evaluated by Spark, and its size is checked before it
-comes to the driver to be pivoted.
+A function takes coordinate columns and gives a column, so that points are evaluated on the executors. Pivots are lists of
+bounded length on the driver. A bond's matrix of pivot rows and columns is built, evaluated and pivoted by Spark: blocks of
+rows choose their own pivot rows, winners meet in ever fewer blocks, and only the last winners' places come back.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..index import Index, new_link
 from ..plans.network import Network, train
 from ..session import cut_lineage
-from ..tensor import DRIVER_VALUES, from_dense
+from ..tensor import Tensor, contract_pair, from_dense, whole
 
 Function = Callable[..., Column]
 
@@ -87,6 +88,46 @@ def pivot_rows(a: np.ndarray, rtol: float, max_rank: int) -> tuple[list[int], li
         rest = rest - np.outer(rest[:, j], rest[i] / rest[i, j])
 
 
+#: Values of a block of rows that one task pivots.
+BLOCK_VALUES = 1 << 20
+
+
+def chosen_pivots(values: DataFrame, n_rows: int, n_cols: int, rtol: float, max_rank: int, block_values: int | None = None) -> tuple[list[int], list[int], list[float]]:
+    """Rows, columns and residuals of full-pivot elimination of values (i, j, re), by a tournament of blocks of rows.
+
+    With one block this is elimination itself. A block hands on its pivot rows only, at most max_rank of them.
+    """
+    rank = min(max_rank, n_rows, n_cols)
+    block = max(2 * rank, (block_values or BLOCK_VALUES) // n_cols, 1)
+    n_blocks = -(-n_rows // block)
+
+    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows, at = np.unique(np.asarray(table.column("i")), return_inverse=True)
+        a = np.zeros((len(rows), n_cols))
+        a[at, np.asarray(table.column("j"))] = np.asarray(table.column("re"))
+        return rows, a
+
+    def winners(table: pa.Table) -> pa.Table:
+        rows, a = matrix(table)
+        i, _, _ = pivot_rows(a, 0.0, rank)
+        i = np.array(sorted(i or [0]))
+        k, j = np.divmod(np.arange(len(i) * n_cols), n_cols)
+        return pa.table({"i": pa.array(rows[i][k], pa.int64()), "j": pa.array(j, pa.int64()), "re": pa.array(a[i].ravel())})
+
+    def last(table: pa.Table) -> pa.Table:
+        rows, a = matrix(table)
+        i, j, errors = pivot_rows(a, rtol, rank)
+        pad = len(errors) - len(i)
+        return pa.table({"i": pa.array([*rows[i].tolist(), *[None] * pad], pa.int64()), "j": pa.array([*j, *[None] * pad], pa.int64()), "error": pa.array(errors)})
+
+    while n_blocks > 1:
+        values = cut_lineage(values.withColumn("block", F.pmod("i", F.lit(n_blocks))).groupBy("block").applyInArrow(winners, "i long, j long, re double"))
+        n_blocks = -(-n_blocks * rank // block) if n_blocks * rank < n_rows else 1
+        n_rows = n_blocks * rank
+    found = values.groupBy(F.lit(0).alias("all")).applyInArrow(last, "i long, j long, error double").collect()  # a row for each pivot
+    return [r.i for r in found if r.i is not None], [r.j for r in found if r.j is not None], [r.error for r in found]
+
+
 @dataclass
 class CrossInterpolation:
     """Pivot lists of a tensor train: left[k] are values of the first k coordinates, right[k] of those after k."""
@@ -96,26 +137,33 @@ class CrossInterpolation:
     right: list[list[tuple[int, ...]]]
     errors: list[float] = field(default_factory=list)
 
-    def matrix(self, rows: Sequence[tuple[int, ...]], cols: Sequence[tuple[int, ...]]) -> np.ndarray:
-        """Values at all joined rows and columns."""
-        if len(rows) * len(cols) > DRIVER_VALUES:
-            raise ValueError("too many pivots for the driver")
-        spark, names = self.f.spark, self.f.columns
-        points = [(i, j, *r, *c) for i, r in enumerate(rows) for j, c in enumerate(cols)]
-        table = spark.createDataFrame(points, ", ".join(["i int", "j int", *(f"{n} long" for n in names)]))
-        out = np.zeros((len(rows), len(cols)))
-        for r in self.f.eval(table).select("i", "j", "re").collect():
-            out[r.i, r.j] = r.re
-        return out
+    def values(self, left: int, right: int, split: bool) -> DataFrame:
+        """i, j, re at all pivots of the first coordinates, the next one or two, and the pivots of those after them.
+
+        i numbers (pivot, coordinate), j (coordinate, pivot) if split, else the pivot. Coordinates are counted on the executors.
+        """
+        dims, names = self.f.dims, self.f.columns
+        cols = [list(map(int, c)) for c in self.right[right]]
+        spark = self.f.spark
+        table = spark.createDataFrame([(k, list(map(int, r)), cols) for k, r in enumerate(self.left[left])], "k long, l array<long>, cols array<array<long>>")
+        between = dims[left:right]
+        table = table.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(between[0] - 1).cast("long")))) if between else table.withColumn("s", F.lit(0).cast("long"))
+        i = F.col("k") * (between[0] if between else 1) + F.col("s")
+        table = table.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(between[1] - 1).cast("long"))) if split else F.lit(0).cast("long"))
+        table = table.select(i.alias("i"), "l", "s", "t", F.posexplode("cols").alias("c", "r"))
+        j = F.col("t") * len(cols) + F.col("c")
+        at = [*(F.get("l", n) for n in range(left)), *([F.col("s")] if between else []), *([F.col("t")] if split else []), *(F.get("r", n) for n in range(len(dims) - right))]
+        points = table.select("i", j.cast("long").alias("j"), *(x.alias(n) for x, n in zip(at, names, strict=True)))
+        return self.f.eval(points).select("i", "j", "re")
 
     def sweep(self, rtol: float, max_rank: int, forward: bool) -> float:
         """Two-site updates of all bonds; the largest relative residual."""
         n, worst = len(self.f.dims), 0.0
+        dims = self.f.dims
         for k in range(1, n) if forward else range(n - 1, 0, -1):
-            rows = [(*r, s) for r in self.left[k - 1] for s in range(self.f.dims[k - 1])]
-            cols = [(s, *c) for s in range(self.f.dims[k]) for c in self.right[k + 1]]
-            a = self.matrix(rows, cols)
-            i, j, errors = pivot_rows(a, rtol, max_rank)
+            rows = [(*r, s) for r in self.left[k - 1] for s in range(dims[k - 1])]
+            cols = [(s, *c) for s in range(dims[k]) for c in self.right[k + 1]]
+            i, j, errors = chosen_pivots(self.values(k - 1, k + 1, True), len(rows), len(cols), rtol, max_rank)
             self.left[k], self.right[k] = [rows[x] for x in i] or rows[:1], [cols[x] for x in j] or cols[:1]
             worst = max(worst, errors[-1] / (errors[0] or 1.0))
         self.errors.append(worst)
@@ -128,18 +176,23 @@ class CrossInterpolation:
                     self.left[k].append(tuple(p[:k])), self.right[k].append(tuple(p[k:]))
 
     def to_train(self, sites: Sequence[Index]) -> Network:
-        """Cores T_k P_k^-1 from values at pivots."""
+        """Cores T_k P_k^-1: values at pivots stay tables; the square P_k of a bond, pivots by pivots, is inverted on the driver."""
         n, spark = len(self.f.dims), self.f.spark
         links = [new_link(len(self.left[k])) for k in range(1, n)]
         cores = []
         for k in range(n):
-            rows = [(*r, s) for s in range(self.f.dims[k]) for r in self.left[k]]
-            a = self.matrix(rows, self.right[k + 1])
-            if k < n - 1:
-                a = a @ np.linalg.pinv(self.matrix(self.left[k + 1], self.right[k + 1]))
             around = [*links[max(0, k - 1) : k], sites[k], *links[k : k + 1]]
-            shape = [len(self.left[k]), self.f.dims[k], a.shape[1]]
-            cores.append(from_dense(spark, around, a.reshape(shape, order="F").ravel(order="F").tolist()))
+            d, right = self.f.dims[k], new_link(len(self.right[k + 1]))
+            at = ([(links[k - 1], whole(F.col("i"), d))] if k else []) + [(sites[k], F.pmod(F.col("i"), F.lit(d)))] + [(right, F.col("j"))]
+            t = Tensor(self.values(k, k + 1, False).select(*(c.alias(x.column) for x, c in at), "re"), tuple(x for x, _ in at))
+            if k == n - 1:
+                cores.append(t.sum_over([right]))
+                continue
+            square = np.zeros((len(self.left[k + 1]), len(self.right[k + 1])))
+            for r in self.values(k + 1, k + 1, False).collect():  # max_rank squared at most
+                square[r.i, r.j] = r.re
+            t = contract_pair(t, from_dense(spark, [right, links[k]], np.linalg.pinv(square).ravel(order="F").tolist()))
+            cores.append(t.permute(around)._like(cut_lineage(t.permute(around).df)))
         return train(cores)
 
 
