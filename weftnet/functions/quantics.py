@@ -138,9 +138,9 @@ def affine(t: Tensor, inputs: Sequence[Index], matrix: Sequence[Sequence], offse
     for row, b, y in zip(matrix, offset, outputs, strict=True):
         fractions = [Fraction(a) for a in row] + [Fraction(b)]
         common = math.lcm(*(f.denominator for f in fractions))
-        whole = [int(f * common) for f in fractions]
-        sum_ = F.lit(whole[-1]).cast("long")
-        for a, x in zip(whole, inputs, strict=False):
+        scaled = [int(f * common) for f in fractions]
+        sum_ = F.lit(scaled[-1]).cast("long")
+        for a, x in zip(scaled, inputs, strict=False):
             sum_ = sum_ + F.lit(a) * F.col(x.column)
         keep = keep & (F.pmod(sum_, F.lit(common)) == 0)
         to = whole(sum_, common)
