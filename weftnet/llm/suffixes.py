@@ -1,8 +1,9 @@
 """Suffix arrays of shards by induced sorting, and their permuted common prefixes.
 
-induced_sort classifies suffixes, sorts the leftmost-smaller substrings by induction, names them, recurses on the names
-and induces the whole array. A text of bytes is induced one character bucket at a time with NumPy, so that a step costs
-some tens of nanoseconds for each suffix; the names below are induced entry by entry.
+induced_sort classifies suffixes, sorts the leftmost-smaller substrings, names them, recurses on the names and induces the
+whole array. A text of bytes is induced one character bucket at a time with NumPy, its substrings likewise, so that a step
+costs some tens of nanoseconds for each suffix. Below, where almost every name has a bucket of its own, the substrings are
+ranked character by character with NumPy, and the array is induced entry by entry.
 """
 
 from __future__ import annotations
@@ -24,35 +25,65 @@ def _types(text: np.ndarray) -> np.ndarray:
     return smaller
 
 
+def _placed(text: np.ndarray, order: np.ndarray, ends: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """An array with sorted leftmost-smaller suffixes at the tails of their buckets and free elsewhere, and their numbers."""
+    out = np.full(len(text), free, np.int64)
+    first_of = np.bincount(text[order], minlength=len(ends))
+    out[np.repeat(ends - first_of, first_of) + np.arange(len(order)) - np.repeat(first_of.cumsum() - first_of, first_of)] = order
+    return out, first_of
+
+
 def _induce_by_entry(text: np.ndarray, smaller: np.ndarray, order: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The array induced from sorted leftmost-smaller suffixes, one entry after another."""
     n = len(text)
     ends = counts.cumsum()
-    tails = ends.copy()
-    chars, small = text.tolist(), smaller.tolist()
-    out = [-1] * n
-    tail = tails.tolist()
-    for j in order[::-1].tolist():
-        c = chars[j]
-        tail[c] -= 1
-        out[tail[c]] = j
+    # the bucket to which an entry sends the suffix before it: -1 if that is of the other kind, or if there is none
+    before = np.concatenate([[-1], text[:-1], [-1]])
+    kind = np.concatenate([[False], smaller[:-1], [False]])
+    larger = np.where(kind, -1, before).tolist()
+    small = np.where(kind, before, -1).tolist()
+    out = _placed(text, order, ends, n)[0].tolist()
     head = (ends - counts).tolist()
-    for i in range(n):
-        j = out[i] - 1
-        if j >= 0 and not small[j]:
-            c = chars[j]
-            out[head[c]] = j
-            head[c] += 1
+    for j in out:  # reads what it has just written further on
+        c = larger[j]
+        if c >= 0:
+            h = head[c]
+            out[h] = j - 1
+            head[c] = h + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = out[i] - 1
-        if j >= 0 and small[j]:
-            c = chars[j]
-            tail[c] -= 1
-            out[tail[c]] = j
+    for j in reversed(out):
+        c = small[j]
+        if c >= 0:
+            h = tail[c] - 1
+            out[h] = j - 1
+            tail[c] = h
     return np.array(out, np.int64)
 
 
+def _ranked_substrings(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks of the leftmost-smaller substrings at starts (ascending), equal ones alike: ties are broken character by character.
+
+    Of equal characters one that begins a larger suffix comes first, so that equal substrings are equally long.
+    """
+    lengths = np.diff(np.concatenate([starts, [len(text) - 1]])) + 1
+    keys = 2 * text + smaller
+    base, k = int(keys.max()) + 1, 0
+    rank, tied = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    while len(tied):  # rank is the number of smaller substrings, as far as the first k characters tell
+        told = rank[tied] * base + keys[starts[tied] + k]
+        order = np.argsort(told, kind="stable")
+        tied, told = tied[order], told[order]
+        new = np.concatenate([[True], told[1:] != told[:-1]])
+        group = rank[tied]
+        begin = np.concatenate([[True], group[1:] != group[:-1]])
+        nth = np.arange(len(tied)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        rank[tied] = group + nth[new][np.cumsum(new) - 1]
+        k += 1
+        sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(tied)]]))
+        tied = tied[np.repeat(sizes > 1, sizes) & (lengths[tied] > k)]
+    return rank
+
+
 def _spread(text: np.ndarray, found: np.ndarray, head: np.ndarray, out: np.ndarray, step: int) -> None:
     """Puts found, in order, at the heads (step 1) or tails (step -1) of the buckets of their characters."""
     chars = text[found]
@@ -74,10 +105,7 @@ def _induce_by_bucket(text: np.ndarray, smaller: np.ndarray, order: np.ndarray,
     """The same with whole buckets: what a bucket induces lies in later buckets, or in itself for a run of its character."""
     n = len(text)
     ends = counts.cumsum()
-    out = np.full(n, -1, np.int64)
-    first_of = np.bincount(text[order], minlength=len(counts))
-    place = np.repeat(ends - first_of, first_of) + np.arange(len(order)) - np.repeat(first_of.cumsum() - first_of, first_of)
-    out[place] = order  # sorted suffixes are grouped by first character
+    out, first_of = _placed(text, order, ends, -1)  # sorted suffixes are grouped by first character
     head = ends - counts
     for c in np.flatnonzero(counts).tolist():
         at, low = int(ends[c] - counts[c]), int(ends[c] - first_of[c])
@@ -140,14 +168,20 @@ def induced_sort(text: np.ndarray, alphabet: int) -> np.ndarray:
     smaller = _types(text)
     starts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     counts = np.bincount(text, minlength=alphabet)
-    induce = _induce_by_bucket if alphabet <= 512 else _induce_by_entry
-    rough = starts[np.argsort(text[starts], kind="stable")]
-    found = induce(text, smaller, rough, counts)
-    is_start = np.zeros(n, bool)
-    is_start[starts] = True
-    found = found[is_start[found]]
-    names = np.cumsum(~_same_substrings(text, found, starts)) - 1
-    if names[-1] + 1 < len(found):
+    if alphabet <= 512:
+        induce = _induce_by_bucket
+        found = induce(text, smaller, starts[np.argsort(text[starts], kind="stable")], counts)
+        is_start = np.zeros(n, bool)
+        is_start[starts] = True
+        found = found[is_start[found]]
+        names = np.cumsum(~_same_substrings(text, found, starts)) - 1
+    else:
+        induce = _induce_by_entry
+        rank = _ranked_substrings(text, smaller, starts)
+        order = np.argsort(rank, kind="stable")
+        found, rank = starts[order], rank[order]
+        names = np.cumsum(np.concatenate([[True], rank[1:] != rank[:-1]])) - 1 if len(rank) else rank
+    if len(names) and names[-1] + 1 < len(found):
         name_of = np.zeros(n, np.int64)
         name_of[found] = names
         found = starts[induced_sort(name_of[starts], int(names[-1]) + 1)]
