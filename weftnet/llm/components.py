@@ -7,42 +7,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut_lineage
 
 #: A key with more rows than both of these is hot: a number, and this fraction of all rows, so that few keys can be.
-HOT_ROWS, HOT_KEYS = 1024, 100_000
+HOT_ROWS, HOT_KEYS = 256, 100_000
 
 
-def with_totals(rows: DataFrame, key: str, n_rows: int, **totals: Column) -> DataFrame:
+def with_totals(rows: DataFrame, key: str, n_rows: int, most: int | None = None, **totals: Column) -> DataFrame:
     """rows with aggregates of their key's rows, without gathering a hot key's rows in one task.
 
     Aggregates are combined before the shuffle. Hot keys, at most HOT_KEYS of them, get theirs by a broadcast join, in
-    which their rows stay where they are; the others by an ordinary join.
+    which their rows stay where they are; the others by an ordinary join. most: rows of a key at most, where that is known.
     """
     names = list(totals)
     found = rows.groupBy(key).agg(F.struct(*(c.alias(n) for n, c in totals.items())).alias("totals"), F.count("*").alias("key_rows"))
-    hot = F.col("key_rows") > max(HOT_ROWS, n_rows // HOT_KEYS)
+    bound = max(HOT_ROWS, n_rows // HOT_KEYS)
+    if most is not None and most <= bound:
+        return rows.join(found.drop("key_rows"), key).select(*rows.columns, *(F.col(f"totals.{n}").alias(n) for n in names))
+    hot = F.col("key_rows") > bound
     tagged = rows.join(F.broadcast(found.where(hot).drop("key_rows")), key, "left")
     cold = tagged.where("totals is null").drop("totals").join(found.where(~hot).drop("key_rows"), key)
     return tagged.where("totals is not null").unionByName(cold).select(*rows.columns, *(F.col(f"totals.{n}").alias(n) for n in names))
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, most: int) -> DataFrame:
     """Links each neighbour above a node to the smallest node around."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = with_totals(both, "a", 2 * n, m=F.min("b"))
+    around = with_totals(both, "a", 2 * n, most, m=F.min("b"))
     return around.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, most: int) -> DataFrame:
     """Links each node and its neighbours below to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     each = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
-    return with_totals(down, "a", n, m=F.min("b")).select(F.explode(each).alias("e")).select("e.*").where("a > b").distinct()
+    return with_totals(down, "a", n, most, m=F.min("b")).select(F.explode(each).alias("e")).select("e.*").where("a > b").distinct()
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Does each node have one parent at most, and no node both a parent and a child? Then components are read off."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return counts.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+def _shape(edges: DataFrame) -> tuple[bool, int, int]:
+    """Is each node without a second parent and not both parent and child, so that components are read off? Links, and the most at a node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    found = counts.agg(F.count_if((F.col("up") > 0) & (F.col("n") > 1)).alias("odd"), F.sum("up").alias("links"), F.max("n").alias("most")).first()
+    return not found.odd, found.links or 0, found.most or 0
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -54,9 +58,12 @@ def connected(edges: DataFrame) -> DataFrame:
     whole = cut_lineage(edges.where("a is not null and b is not null").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     nodes = whole.where("a = b").select(F.col("a").alias("node"))
     now = whole.where("a <> b")
-    while not _stars(now):
-        n = now.count()
-        now = cut_lineage(_small_star(cut_lineage(_large_star(now, n)), n))
+    while True:
+        done, n, most = _shape(now)
+        if done:
+            break
+        # a node's links to smaller ones are no more after the first step than all its links before
+        now = cut_lineage(_small_star(_large_star(now, n, most), n, most))
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node")).unionByName(nodes).distinct().withColumn("root", F.col("node"))
     return stars.unionByName(roots.join(stars.select("node"), "node", "left_anti"))

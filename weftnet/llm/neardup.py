@@ -312,6 +312,8 @@ def sketch(docs: DataFrame, how: Settings) -> DataFrame:
 BUCKET_BLOCK, SET_BLOCK = 1024, 1024
 #: Signatures or full sets of a block, and of the small units that share a pack.
 BLOCK_BYTES = 32 << 20
+#: Candidates up to which their ids are broadcast to pick out texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: How far an estimate from the signature may lie below the threshold: over five standard deviations.
 SLACK = 25
 
@@ -341,24 +343,23 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
                 sizes = pa.array(list(map(len, members)), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(members, pa.binary())], names=["id", "n_bytes", "value"])
 
-    def full_sets(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
-        return stored(texts.mapInArrow(sets, "id long, n_bytes long, value binary").where("n_bytes > 0"), "sets")
-
+    candidates = cut_lineage(signed.select("id").distinct())
+    some = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id", "left_semi").dropDuplicates(["id", "text"])
+    full = stored(texts.mapInArrow(sets, "id long, n_bytes long, value binary").where("n_bytes > 0"), "sets")
     several = known.groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most").select("doc_id")
     same = known.select("doc_id", "print").distinct().join(several, "doc_id", "left_semi").join(classes.select("print", "id"), "print").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     pairs = cut_lineage(agreeing_hubs(signed, least))
-    ends = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
-    links = cut_lineage(connected(hub_links(pairs, full_sets(ends), percent).unionByName(same)))
+    links = cut_lineage(connected(hub_links(pairs, full, percent).unionByName(same)))
     component = links.select(F.col("node").alias("id"), F.col("root").alias("comp"))
     placed = signed.join(component, "id", "left").select(F.col("bucket").alias("key"), "id", F.coalesce("comp", "id").alias("comp"), F.col("signature").alias("value"))
     by_signature = lambda values: agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), least)
     maybe = cut_lineage(linked(units(placed, BUCKET_BLOCK, 4000), by_signature))
     if not maybe.isEmpty():
         groups = cut_lineage(connected(maybe)).select(F.col("node").alias("id"), F.col("root").alias("key"))
-        full = full_sets(groups.select("id")).join(groups, "id").join(component, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "value")
+        grouped = full.join(groups, "id").join(component, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "value")
         by_sets = lambda values: similar([np.frombuffer(v, U) for v in values], percent)
-        more = linked(units(full, SET_BLOCK, 1000), by_sets)
+        more = linked(units(grouped, SET_BLOCK, 1000), by_sets)
         links = connected(more.unionByName(links.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     member = classes.select("print", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print").join(member, "print", "left")
