@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_operators import DOCS, WORD, plain_components, plain_spans, random_texts
 
 import corpus_pipeline
@@ -66,3 +67,18 @@ def test_run(spark, sf_dir):
     for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
         at[r.sequence_id] = r.offset + r.length
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    """Null ids, texts and sources, repeated rows, no rows, and columns with names that stages use themselves."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    for name in ("row", "spans", "kept", "size", "taken", "fail_bits", "n_words", "text_hash"):
+        docs = docs.withColumn(name, F.lit(1))
+    odd = docs.withColumns({"doc_id": F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")), "source": F.when(F.col("doc_id") % 2 > 0, F.col("source"))})
+    odd = odd.unionByName(odd.limit(2)).unionByName(odd.limit(1).withColumn("text", F.lit(None).cast("string")))
+    for rows in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, sf_dir)
+            assert out.columns == docs.columns and (out.count() > 0) == (rows is odd)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir)
+        assert (pieces.count() > 0) == (rows is odd)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,12 +65,14 @@ def remove_stored(spark: SparkSession, since: int = 0) -> None:
     del _stored[since:]
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables that were stored inside; results that are still to be read must be written before."""
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make gives as a stored table; tables that were stored while it was made and written are removed."""
     before = len(_stored)
-    yield
+    out = stored(make(), label)
+    last = _stored.pop()
     remove_stored(spark, before)
+    _stored.append(last)
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:
