@@ -265,6 +265,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts_and_odd_columns(spark):
+    long = "<|im_end|>\n\\ é " * 60_000
+    rows = [(1, 0, "user", "hi", 7, "x", 1, "p"), (1, 1, "assistant", long, 7, "x", 1, "p"), (2, 0, "assistant", None, 7, None, 1, "p"), (2, 0, "assistant", None, 7, None, 1, "p")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int, kind string, copy int, formatted string")
+    out = {r.conv_id: r for r in chat.format_chats(turns).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [tuple(t) for t in out[1].turns] == [("user", "hi"), ("assistant", long)] and out[1].loss == long
+    assert [tuple(t) for t in out[2].turns] == [("assistant", "")] * 2 and out[2].loss == ""
+    log = spark.createDataFrame([(1, 0, 0, "delta", None, None, "y")], "conv_id long, seq long, turn long, kind string, role string, text string, log string")
+    assert [tuple(r) for r in chat.fold(log).collect()] == [(1, 0, "", "")] and chat.fold(log.limit(0)).count() == 0
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "He"), (1, 2, 1, "delta", None, "llo"), (1, 3, 2, "message", "user", "bye"),

@@ -29,7 +29,7 @@ def fold(events: DataFrame, *more: str) -> DataFrame:
     Events of a turn count in the order of seq, ties by kind, role and text. message, edit and regenerate set the text;
     delta appends; delete removes the turn until it is set again. A regeneration also removes all later turns whose
     events came before it. Null texts are empty; the role is the last one given, or empty; null keys form groups like
-    others.
+    others. Further columns are ignored, texts may have any length, and an empty log gives no messages.
     """
     key = ["conv_id", "turn", *more]
     of = events.select(*key, F.struct("seq", "kind", "role", "text").alias("e")).groupBy(*key).agg(F.sort_array(F.collect_list("e")).alias("log"))
@@ -94,5 +94,10 @@ def events_of(conversations: DataFrame) -> DataFrame:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) rendered through the event log; further columns are ignored."""
+    """Finished turns (conv_id, turn, role, text) rendered through the event log.
+
+    Null roles and texts are empty, null ids and turns form groups like others and come first; rows of one turn all stay, in
+    the order of role and text; texts of any length are rendered whole; further columns, whatever their names, are ignored; an
+    empty table gives no rows.
+    """
     return render(fold(events_of(conversations), "copy"), "copy")
