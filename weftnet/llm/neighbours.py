@@ -26,7 +26,7 @@ MOST_CENTROIDS, INDEX_BYTES = 4096, 64 << 20
 LIST_ROWS = 256
 DEGREE = 24
 COPIES, COPY_RATIO = 6, 1.15
-QUERY_RATIO = 1.3
+QUERY_RATIO = 1.22
 BEAM = 64
 #: Entries of a list that one task holds; a longer list is split into FAN to MOST_FAN lists of about LIST_ENTRIES entries.
 PART_ROWS, LIST_ENTRIES, FAN, MOST_FAN = 4096, 1536, 16, 256
