@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, neardup, neighbours, packing, personal, quality, repeats, tokens, warc
+from . import chat, fingerprints, mixing, neardup, neighbours, packing, personal, quality, repeats, spelling, structure, tokens, warc
 from .common import table
 
 
@@ -65,6 +65,18 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage=31), least=2)
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair(structure.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op7_nearest, op8_tokens, op9_repeats, op10_pack, pipeline)}
+    return {f.__name__: f for f in (op1_mix, op2_personal, op3_chat, op4_warc, op5_neardup, op6_quality, op7_nearest, op8_tokens, op9_repeats, op10_pack, op11_spelling, op12_structure, op13_fingerprints, pipeline)}
 
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"
@@ -128,5 +140,89 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda c, b: {bits}), 4294967295)"
+
+
+#: The same dynamic programme forwards, a row at a time; s0 to s3 hold the cheapest cost, edits and lines by last turn.
+OP12_SQL = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT *, {_crc32("name")} % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS said, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS q FROM o),
+g AS (SELECT *, bare = '' AS blank, bare <> '' AND said > 1 AS dup, bare <> '' AND said = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM f),
+e AS (SELECT conv_id, i, r, role || ':' || text AS line, text, blank OR dup AS must, CASE WHEN cut THEN 3 ELSE 0 END AS x FROM g),
+m AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (i > 1 AND q || r NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+s AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} AS s1,
+  {{'c': 3, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3 FROM m
+  UNION ALL
+  SELECT conv_id, i, n0, n1, m2, list_min([n3, {{'c': m2.c + 3, 'a': m2.a || 'I', 't': list_append(m2.t, 'assistant:')}}]) FROM (
+    SELECT *, list_min([n2, {{'c': n0.c + 3, 'a': n0.a || 'I', 't': list_append(n0.t, 'user:')}}, {{'c': n1.c + 3, 'a': n1.a || 'I', 't': list_append(n1.t, 'user:')}},
+      {{'c': n3.c + 3, 'a': n3.a || 'I', 't': list_append(n3.t, 'user:')}}]) AS m2 FROM (
+      SELECT s.conv_id, e.i, {{'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t}} AS n0,
+        list_min([{{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}}, {{'c': CASE WHEN must OR r <> 's' THEN 1000000000 ELSE s0.c + x END, 'a': s0.a || 'K', 't': list_append(s0.t, line)}}]) AS n1,
+        list_min(list_concat([{{'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}}],
+          list_transform([s0, s1, s3], lambda z: {{'c': CASE WHEN must OR r <> 'u' THEN 1000000000 ELSE z.c + x END, 'a': z.a || 'K', 't': list_append(z.t, line)}}),
+          list_transform([s0, s1, s3], lambda z: {{'c': CASE WHEN must THEN 1000000000 ELSE z.c + x + 3 END, 'a': z.a || 'R', 't': list_append(z.t, 'user:' || text)}}))) AS n2,
+        list_min([{{'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t}}, {{'c': CASE WHEN must OR r <> 'a' THEN 1000000000 ELSE s2.c + x END, 'a': s2.a || 'K', 't': list_append(s2.t, line)}},
+          {{'c': CASE WHEN must THEN 1000000000 ELSE s2.c + x + 3 END, 'a': s2.a || 'R', 't': list_append(s2.t, 'assistant:' || text)}}]) AS n3
+      FROM s JOIN e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.i = s.i + 1)))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT s.conv_id, list_min([s0, s3]) AS best FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.i) b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+#: Near words by what is left of them without one character: two words with the same rest there, or a word that is the rest.
+OP11_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, count(*) AS k FROM r GROUP BY ALL),
+h AS (SELECT run, k, {_crc32("name")} AS h FROM k),
+e AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS v, b.word AS w FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM d WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM d WHERE rest IN (SELECT word FROM w)),
+q AS (SELECT p.v, p.w, w.n, row_number() OVER (PARTITION BY p.v ORDER BY w.n DESC, p.w) AS i, count(*) OVER (PARTITION BY p.v) AS n_near FROM p JOIN w ON w.word = p.w),
+f AS (SELECT w.word, w.n, coalesce(q.n_near, 0)::BIGINT AS n_near, CASE WHEN q.n >= 10 * w.n THEN q.w END AS form, CASE WHEN q.n >= 10 * w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON q.v = w.word AND q.i = 1),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, form, t.at AS root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.next IS NULL
+"""
+
+#: Digests by unnesting every byte of both texts; which is 0 for the text and 1 for the edited one.
+OP13_SQL = """
+WITH o AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS i, count(*) OVER () AS n FROM documents),
+x AS (SELECT a.i, a.doc_id, a.text, b.i AS j, length(a.text) // 3 AS k, b.text AS more FROM o a JOIN o b ON b.i = a.i % a.n + 1),
+y AS (SELECT *, substr(text, 1, length(text) - k) || substr(more, 1, k) AS edited FROM x),
+t AS (SELECT i, 0 AS which, encode(text) AS data FROM y UNION ALL SELECT i, 1, encode(edited) FROM y),
+s AS (SELECT i, which, generate_subscripts(bytes, 1) AS pos, ('0x' || unnest(bytes))::BIGINT AS b FROM (SELECT i, which, regexp_extract_all(hex(data), '..') AS bytes FROM t)),
+l AS (SELECT i, which, b, lead(b, 1) OVER w AS b1, lead(b, 2) OVER w AS b2, lead(b, 3) OVER w AS b3, lead(b, 4) OVER w AS b4 FROM s WINDOW w AS (PARTITION BY i, which ORDER BY pos)),
+z AS (SELECT i, which, 65536 * b AS b, unnest([256 * b1 + b2, 256 * b1 + b3 + 16777216, 256 * b2 + b3 + 33554432, 256 * b1 + b4 + 50331648, 256 * b2 + b4 + 67108864, 256 * b3 + b4 + 83886080]) AS more FROM l),
+h AS (SELECT i, which, (((b + more) * 2654435761) % 4294967296) // 16777216 AS bucket, count(*) AS c FROM z WHERE more IS NOT NULL GROUP BY ALL),
+c AS (SELECT t.i, t.which, bucket, coalesce(h.c, 0) AS c FROM t CROSS JOIN (SELECT unnest(range(256)) AS bucket) LEFT JOIN h USING (i, which, bucket)),
+m AS (SELECT i, which, list(c ORDER BY c) AS r FROM c GROUP BY ALL),
+q AS (SELECT c.i, c.which, bucket, (c.c > r[64])::INT + (c.c > r[128])::INT + (c.c > r[192])::INT AS q FROM c JOIN m USING (i, which)),
+u AS (SELECT i, which, bucket // 4 AS g, sum(q * (64 >> (2 * (bucket % 4))))::BIGINT AS v FROM q GROUP BY ALL),
+g AS (SELECT i, which, string_agg(format('{:02x}', v), '' ORDER BY g) AS body FROM u GROUP BY ALL),
+n AS (SELECT i, which, octet_length(data) AS n, length(bin(greatest(octet_length(data), 1))) - 1 AS e FROM t),
+f AS (SELECT i, which, least(255, CASE WHEN n < 8 THEN n ELSE 8 * (e - 2) + ((n >> (e - 3)) & 7) END)::BIGINT AS len,
+  coalesce(r[64] * 15 // nullif(r[192], 0), 0)::BIGINT AS q1, coalesce(r[128] * 15 // nullif(r[192], 0), 0)::BIGINT AS q2, body FROM n JOIN m USING (i, which) JOIN g USING (i, which)),
+v AS (SELECT i, 0 AS kind, i AS a, 0 AS aw, i AS b, 1 AS bw FROM y UNION ALL SELECT i, 1, i, 0, j, 0 FROM y),
+k AS (SELECT v.i, v.kind, sum([0, 1, 2, 6][abs(p.q - r.q) + 1]) AS steps FROM v JOIN q p ON p.i = v.a AND p.which = v.aw JOIN q r ON r.i = v.b AND r.which = v.bw AND r.bucket = p.bucket GROUP BY ALL),
+d AS (SELECT v.i, v.kind, greatest(0, 1 - (steps + least(16, abs(p.len - r.len)) + abs(p.q1 - r.q1) + abs(p.q2 - r.q2))::DOUBLE / 448) AS near
+  FROM v JOIN k USING (i, kind) JOIN f p ON p.i = v.a AND p.which = v.aw JOIN f r ON r.i = v.b AND r.which = v.bw)
+SELECT y.doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, format('{:02x}{:02x}', p.len, 16 * p.q1 + p.q2) || p.body AS fingerprint,
+  format('{:02x}{:02x}', r.len, 16 * r.q1 + r.q2) || r.body AS edited_fingerprint, e.near AS near_edited, x.near AS near_next
+FROM y JOIN f p ON p.i = y.i AND p.which = 0 JOIN f r ON r.i = y.i AND r.which = 1 JOIN d e ON e.i = y.i AND e.kind = 0 JOIN d x ON x.i = y.i AND x.kind = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op5_neardup": OP5_SQL, "op6_quality": OP6_SQL}
+    return {"op3_chat": OP3_SQL, "op5_neardup": OP5_SQL, "op6_quality": OP6_SQL, "op11_spelling": OP11_SQL, "op12_structure": OP12_SQL, "op13_fingerprints": OP13_SQL}
