@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ..index import Index, new_index, new_link
 from ..plans.network import Network, train
+from ..plans.prefixes import exact_train
 from ..tensor import Tensor, contract_pair, from_dense, positions
 from .cross import chebyshev_nodes
 from .quantics import ANTIPERIODIC, OPEN, PERIODIC, bits
@@ -24,22 +25,6 @@ from .quantics import ANTIPERIODIC, OPEN, PERIODIC, bits
 Move = tuple[int, int, int, int, complex]
 
 
-def exact_train(t: Tensor, sites: Sequence[Index]) -> Network:
-    """A tensor as a train without any factorization: a bond numbers all coordinates to its left, and only stored values have rows."""
-    cores, link = [], None
-    for s in sites[:-1]:
-        left = [link] if link else []
-        right = new_link((link.dim if link else 1) * s.dim)
-        code = (F.col(link.column) * s.dim if link else F.lit(0)) + F.col(s.column)
-        grid = positions(t.spark, [*left, s]).drop("pos")
-        cores.append(Tensor(grid.withColumn(right.column, code.cast("long")).withColumn("re", F.lit(1.0)), (*left, s, right)))
-        link = right
-    if link is None:
-        return train([t])
-    last, _ = t.fuse_indices(list(sites[:-1])[::-1], link)
-    return train([*cores, last])
-
-
 def bit_train(t: Tensor, index: Index) -> tuple[Network, list[Index]]:
     """A tensor with one index of dimension 2^R as a train of bits, most significant first."""
     split, group = bits(t, index)
@@ -88,7 +73,8 @@ def _wrap(turns: int, boundary: str) -> float:
 def affine_operator(spark: SparkSession, pairs: Sequence[tuple[Index, Index]], matrix: Sequence[Sequence], offset: Sequence, boundary: str = PERIODIC) -> Network:
     """g(y) = sum of f(x) over all x with y = A x + b; the entries are rational.
 
-    A site's output index holds a bit of each output, the first running fastest, and its input index one of each input.
+    With the common denominator d of a row, that is d y = A' x + b' up to multiples of 2^R around a ring (of which odd ones
+    change the sign if it is antiperiodic), and exactly with open ends. So around a ring several y may belong to one x. A site's output index holds a bit of each output, the first running fastest, and its input index one of each input.
     The automaton carries what is left of d y - (A x + b), d the common denominator of a row, from bit to bit.
     """
     r = len(pairs)
@@ -114,11 +100,8 @@ def affine_operator(spark: SparkSession, pairs: Sequence[tuple[Index, Index]], m
         now = after
 
     def weight(carry: tuple[int, ...]) -> float:
-        out = 1.0
-        for c, (_, b, d) in zip(carry, rows, strict=True):
-            turns, rest = divmod(c + (b >> r), d)
-            out *= 0.0 if rest else _wrap(turns, boundary)
-        return out
+        """What is left of A x + b - d y is a multiple of 2^R; around the ring any multiple will do."""
+        return math.prod(_wrap(c + (b >> r), boundary) for c, (_, b, _) in zip(carry, rows, strict=True))
 
     number = {s: k for k, s in enumerate(sorted({s for own in moves for m in own for s in (m[0], m[3])}))}
     plain = [[(number[a], o, i, number[b], w) for a, o, i, b, w in own] for own in moves[::-1]]

@@ -214,6 +214,8 @@ def cross_interpolate(spark: SparkSession, function: Function | None, sites: Seq
 
 def elementwise(function: Callable[..., Column], trains: Sequence[Network], sites: Sequence[Index], **how) -> tuple[Network, CrossInterpolation]:
     """A train for function(value of train 1, value of train 2, ...) at each point, by cross interpolation of the values."""
+    if any(t.is_complex for net in trains for t in net.tensors.values()):
+        raise ValueError("trains of real values are asked for; take real_part and imag_part apart")
     spark = trains[0].tensors[trains[0].root].spark
     names = [f"x{k}" for k in range(len(sites))]
 

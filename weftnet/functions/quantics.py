@@ -133,24 +133,39 @@ def fourier(t: Tensor, index: Index, sign: int = -1, normalize: bool = True) ->
 
 
 def affine(t: Tensor, inputs: Sequence[Index], matrix: Sequence[Sequence], offset: Sequence, outputs: Sequence[Index], boundary: str = PERIODIC) -> Tensor:
-    """g(y) = sum of f(x) over all x with y = A x + b, entries rational; where y is not whole, x gives nothing."""
-    new, keep, turns = {}, F.lit(True), F.lit(1.0)
-    for row, b, y in zip(matrix, offset, outputs, strict=True):
+    """g(y) = sum of f(x) over all x with y = A x + b, entries rational.
+
+    With open ends, y is d y = A' x + b' divided by the common denominator d, where that is whole and on the grid. Around a
+    ring of N points d y need only be equal up to multiples of N (odd multiples change the sign if it is antiperiodic), so
+    that an x has gcd(d, N) solutions or none.
+    """
+    df, turns = t.df, F.lit(1.0)
+    for k, (row, b, y) in enumerate(zip(matrix, offset, outputs, strict=True)):
         fractions = [Fraction(a) for a in row] + [Fraction(b)]
-        common = math.lcm(*(f.denominator for f in fractions))
-        scaled = [int(f * common) for f in fractions]
+        d, n = math.lcm(*(f.denominator for f in fractions)), y.dim
+        scaled = [int(f * d) for f in fractions]
         sum_ = F.lit(scaled[-1]).cast("long")
         for a, x in zip(scaled, inputs, strict=False):
             sum_ = sum_ + F.lit(a) * F.col(x.column)
-        keep = keep & (F.pmod(sum_, F.lit(common)) == 0)
-        to = whole(sum_, common)
+        to = f"weft_y{k}"
         if boundary == OPEN:
-            keep = keep & (to >= 0) & (to < y.dim)
-        elif boundary == ANTIPERIODIC:
-            turns = turns * F.when(F.pmod(whole(to, y.dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        new[y] = F.pmod(to, F.lit(y.dim)).cast("long")
+            df = df.where(F.pmod(sum_, F.lit(d)) == 0).withColumn(to, whole(sum_, d)).where((F.col(to) >= 0) & (F.col(to) < n))
+            continue
+        if boundary not in (PERIODIC, ANTIPERIODIC):
+            raise ValueError(f"unknown boundary {boundary}")
+        g = math.gcd(d, n)
+        m = n // g
+        first = F.pmod(whole(sum_, g), F.lit(m))
+        if d // g != 1:
+            inverse = pow(d // g, -1, m) if m > 1 else 0
+            wide = "long" if m <= 1 << 31 else "decimal(19,0)"  # the product needs up to 38 digits
+            first = F.pmod(first.cast(wide) * F.lit(inverse).cast(wide), F.lit(m).cast(wide)).cast("long")
+        df = df.where(F.pmod(sum_, F.lit(g)) == 0)
+        df = df.withColumn(to, first) if g == 1 else df.withColumn(to, F.explode(F.array(*(first + j * m for j in range(g)))))
+        if boundary == ANTIPERIODIC:
+            turns = turns * F.when(F.pmod(whole(sum_ - F.col(to) * d, n), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     rest = [i for i in t.indices if i not in inputs]
-    df = t.df.where(keep).select(*(c.alias(y.column) for y, c in new.items()), *(i.column for i in rest), *((F.col(v) * turns).alias(v) for v in t.values))
+    df = df.select(*(F.col(f"weft_y{k}").cast("long").alias(y.column) for k, y in enumerate(outputs)), *(i.column for i in rest), *((F.col(v) * turns).alias(v) for v in t.values))
     return Tensor(df, (*outputs, *rest), t.is_complex).sum_over([])
 
 

@@ -150,7 +150,12 @@ def constant_operator(spark: SparkSession, pairs: Sequence[tuple[Index, Index]],
 def environments(a: Network, b: Network, upto: int, left: bool = True) -> Tensor:
     """All nodes of a chain's product before (or after) one, contracted over common indices, bonds open towards it."""
     b = b.sim_links()
-    nodes = [n for n in sorted(a.nodes) if (n < upto if left else n > upto)]
+    ends = [n for n in a.nodes if len(a.neighbours(n)) < 2]
+    order = a.path(ends[0], ends[-1])
+    if order[0] != 0 and order[-1] == 0:  # numbered chains run upwards
+        order = order[::-1]
+    at = order.index(upto)
+    nodes = order[:at] if left else order[at + 1 :]
     t = None
     for n in nodes if left else nodes[::-1]:
         t = a.tensors[n] if t is None else contract_pair(t, a.tensors[n])
@@ -158,6 +163,11 @@ def environments(a: Network, b: Network, upto: int, left: bool = True) -> Tensor
     return t
 
 
+def _inverse(values: np.ndarray) -> np.ndarray:
+    """Of singular values; that of 0, which a chain of zeros has, is 0."""
+    return np.divide(1.0, values, out=np.zeros_like(values), where=values > 0)
+
+
 @dataclass(frozen=True)
 class Vidal:
     """A chain as site tensors with the singular values of each bond between them."""
@@ -178,10 +188,10 @@ class Vidal:
             out[k], rest[k - 1] = (v, link), carried._like(cut_lineage(carried.df))
             values.append(s)
         values = values[::-1]
-        tensors = {0: _along(rest[0], out[1][1], 1 / values[0]) if values else rest[0]}
+        tensors = {0: _along(rest[0], out[1][1], _inverse(values[0])) if values else rest[0]}
         for k in range(1, len(rest)):
             v, _ = out[k]
-            tensors[k] = _along(v, out[k + 1][1], 1 / values[k]) if k + 1 in out else v
+            tensors[k] = _along(v, out[k + 1][1], _inverse(values[k])) if k + 1 in out else v
         return Vidal(Network(tensors), tuple(values))
 
     def bonds(self) -> list[Index]:
@@ -208,7 +218,7 @@ class InverseForm:
         out = dict(vidal.gammas.tensors)
         for k, (link, s) in enumerate(zip(vidal.bonds(), vidal.lambdas, strict=True)):
             out[k], out[k + 1] = _along(out[k], link, s), _along(out[k + 1], link, s)
-        return InverseForm(Network(out), tuple(1 / s for s in vidal.lambdas))
+        return InverseForm(Network(out), tuple(map(_inverse, vidal.lambdas)))
 
     def to_chain(self) -> Network:
         out = dict(self.tensors.tensors)

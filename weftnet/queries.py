@@ -602,7 +602,7 @@ def save_and_load(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_networks  # noqa: F401  registers its own
+    from . import queries_adaptive, queries_networks  # noqa: F401  register their own
 
     return dict(_queries)
 
