@@ -670,6 +670,41 @@ def test_repeats(spark, odd, monkeypatch, many):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_null_ids_with_one_hash(spark):
+    """Rows without an id whose texts agree in 32 bits of hash, and one with the largest id there is."""
+    import xxhash
+
+    seen = {}
+    for i in range(2_000_000):
+        text = f"{i:0>110}"
+        h = xxhash.xxh64_intdigest(text, seed=42) & 0xFFFFFFFF
+        if h in seen:
+            break
+        seen[h] = text
+    rows = [(None, text + "x" * 40), (None, seen[h]), (None, text), (2**63 - 1, "y" * 250), (None, "y" * 250), (3, text[:105] + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.remove_repeats(docs).collect())
+    assert sum(got.values()) == len(rows) and {k[0] for k in got} == {None, 2**63 - 1, 3}
+    largest = lambda i: 2**63 - 1 if i is None else i  # noqa: E731  what a null id counts as
+    assert Counter((largest(k[0]), *k[1:]) for k in got.elements()) == plain_removal([(largest(i), t) for i, t in rows])
+
+
+def test_repeats_find_hot_anchors_seen_once_a_task(spark, monkeypatch):
+    """A passage between different surroundings, one segment of an anchor in each hand-on."""
+    monkeypatch.setattr(repeats, "MANY", 20)
+    monkeypatch.setattr(repeats, "HELD", 1)
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(180)
+    texts = [word(150) + passage + word(150) for _ in range(120)]
+    docs = documents(spark, texts)
+    split = repeats._split(docs.select("doc_id", "text"), 3, 2)
+    assert repeats._hot(split.where(F.col("kind") == repeats.COUNT)).agg(F.sum("n")).first()[0] >= 2
+    for many in (200_000, 0):  # the list of hot anchors sent to all tasks, and joined
+        monkeypatch.setattr(repeats, "HOT_ANCHORS", many)
+        assert Counter(tuple(r) for r in repeats.remove_repeats(docs).collect()) == plain_removal(enumerate(texts))
+
+
 def test_packing_round_trip(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = packing.WordIds(path).tokenizer

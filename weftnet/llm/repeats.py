@@ -6,8 +6,8 @@ segments. Segments with an anchor found once hold no repeat. Of equal segments a
 whole. Only where an anchor has different segments are their texts needed: these are gathered by anchor into shards,
 whose suffix arrays and permuted common prefixes show the windows that start earlier elsewhere.
 
-An anchor with very many different segments, as at the edges of a passage that a third of all documents share, would fill
-a shard by itself. Such anchors are found by counting first; their windows are dealt one by one, by a hash of the whole
+An anchor with very many segments, as at the edges of a passage that a third of all documents share, would fill a shard by
+itself. Such anchors are found first, by counting a seeded share of all entries; their windows are dealt one by one, by a hash of the whole
 window, and the smallest place of each is found by reducing within document buckets and then within parts.
 """
 
@@ -30,8 +30,9 @@ LENGTH = 100
 PIECE = 32
 #: Bytes of text in a bucket of documents, for a part of anchors, and in a suffix-array shard.
 BUCKET_BYTES, PART_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 2 << 20
-#: Different segments of one anchor, and the share of all text's segments, beyond which its windows are dealt one by one.
-MANY, HOT_ANCHORS = 10_000, 200_000
+#: Entries of one anchor beyond which its windows are dealt one by one; both ways give the same results, so about this many
+#: will do, and one entry in COUNTED is counted. Hot anchors up to which their list goes to every task; beyond, it is joined.
+MANY, COUNTED, HOT_ANCHORS = 10_000, 64, 200_000
 #: What a task reads of a shuffle.
 TASK_BYTES = 64 << 20
 #: Text that is hashed at once, and text after which a task hands on what it has found.
@@ -100,7 +101,7 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return doc, start - begins[doc], size, window[start], _mix(print_)
 
 
-FIELDS = (("anchor", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i4"), ("size", "<i4"))
+FIELDS = (("anchor", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("mark", "<u8"), ("start", "<i4"), ("size", "<i4"))
 PLACES = FIELDS[2:]
 
 
@@ -123,7 +124,7 @@ def _unpacked(table: pa.Table, fields: tuple = FIELDS) -> dict[str, np.ndarray]:
 
 SCHEMA = "kind int, key long, n_bytes long, " + ", ".join(f"{n} binary" for n, _ in FIELDS)
 ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n_bytes", pa.int64()), *((n, pa.binary()) for n, _ in FIELDS)])
-SEGMENT, REPEAT, REQUEST, PLURAL, WINDOW = 0, 1, 2, 3, 4
+SEGMENT, REPEAT, REQUEST, COUNT, WINDOW = 0, 1, 2, 3, 4
 
 
 def _buckets(doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -145,12 +146,12 @@ def _buckets(doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 def _joined(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Runs of windows, those that touch within a document joined."""
-    order = np.lexsort((columns["start"], columns["row"], columns["doc"]))
-    doc, row, start, size = (columns[n][order] for n in ("doc", "row", "start", "size"))
+    order = np.lexsort((columns["start"], columns["mark"], columns["row"], columns["doc"]))
+    doc, row, mark, start, size = (columns[n][order] for n in ("doc", "row", "mark", "start", "size"))
     if not len(doc):
-        return {"doc": doc, "row": row, "start": start, "size": size}
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + size[:-1])])
-    return {"doc": doc[new], "row": row[new], "start": start[new], "size": np.add.reduceat(size, np.flatnonzero(new))}
+        return {"doc": doc, "row": row, "mark": mark, "start": start, "size": size}
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + size[:-1])])
+    return {"doc": doc[new], "row": row[new], "mark": mark[new], "start": start[new], "size": np.add.reduceat(size, np.flatnonzero(new))}
 
 
 def _later(order: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -171,9 +172,10 @@ def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _row_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each text, to tell rows with the same id apart; Spark's xxhash64 gives the same."""
-    return np.array([xxhash.xxh64_intdigest(data[a:b].tobytes(), seed=42) & 0xFFFFFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
+def _row_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each text, to tell rows with the same id apart: 32 as Spark's xxhash64 gives them, and 64 of another seed."""
+    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.array([xxhash.xxh64_intdigest(t, seed=42) & 0xFFFFFFFF for t in texts], np.uint32), np.array([xxhash.xxh64_intdigest(t, seed=7) for t in texts], np.uint64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -181,7 +183,8 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
-    """Segments by part of their anchors; repeats within what a task holds are already told, by bucket."""
+    """Segments by part of their anchors; repeats within what a task holds are already told, by bucket; some entries counted."""
+    share = _counted()
 
     def hand_on(held: list[tuple]) -> pa.Table:
         columns = {n: np.concatenate([h[i] for h in held]) for i, (n, _) in enumerate(FIELDS)} if held else {n: np.empty(0, t) for n, t in FIELDS}
@@ -192,8 +195,9 @@ def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
         repeats = _joined({n: columns[n][order[later]] for n, _ in PLACES})
         kept = {n: c[np.sort(order[~later])] for n, c in columns.items()}
         rows = _packed((_mix(kept["anchor"], 1) % U(n_parts)).astype(np.int64), kept, SEGMENT) + _packed(_buckets(repeats["doc"], repeats["row"], n_buckets), repeats, REPEAT)
-        anchor, times = np.unique(kept["anchor"], return_counts=True)
-        rows += [{"kind": PLURAL, "key": int(a.view(np.int64)), "n_bytes": int(n)} | {n_: b"" for n_, _ in FIELDS} for a, n in zip(anchor[times > 1], times[times > 1], strict=True)] if len(anchor) else []
+        drawn = _mix(kept["print"] ^ _mix(kept["doc"].astype(np.uint64), 5) ^ kept["mark"] ^ kept["start"].astype(np.uint64), 6) % U(share) == 0
+        anchor, times = np.unique(kept["anchor"][drawn], return_counts=True)
+        rows += _packed((_mix(anchor, 1) % U(n_parts)).astype(np.int64), {"anchor": anchor, "size": times}, COUNT)
         return pa.Table.from_pylist(rows, schema=ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +205,12 @@ def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
         for batch in batches:
             ids = _ids(batch.column("doc_id"))
             data, offsets = _text_bytes(batch.column("text"))
-            rows = _row_hashes(data, offsets)
+            rows, marks = _row_hashes(data, offsets)
             a = 0
             while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
                 doc, start, n, anchor, print_ = segments(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a])
-                held.append((anchor, print_, ids[a:b][doc], rows[a:b][doc], start, n))
+                held.append((anchor, print_, ids[a:b][doc], rows[a:b][doc], marks[a:b][doc], start, n))
                 size += int(offsets[b] - offsets[a])
                 a = b
                 if size >= HELD:
@@ -217,17 +221,38 @@ def _split(docs: DataFrame, n_parts: int, n_buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def _apart(split: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
-    """split, with segments of hot anchors (sorted) taken out and asked for, by bucket; a mark in print tells them."""
+def _counted() -> int:
+    """One entry in how many is counted: fewer where MANY is small, as in tests."""
+    return max(1, min(COUNTED, MANY // 128))
+
+
+def _hot(counts: DataFrame) -> DataFrame:
+    """kind, key, hot, n: for each part that has some, its anchors with more entries than MANY (about, where a share is counted)."""
+    share = _counted()
+    least = MANY if share == 1 else MANY // (2 * share)
+
+    def run(table: pa.Table) -> pa.Table:
+        c = _unpacked(table, (FIELDS[0], FIELDS[-1]))
+        anchor, at = np.unique(c["anchor"], return_inverse=True)
+        hot = anchor[np.bincount(at, weights=c["size"]) > least]
+        found = [{"kind": SEGMENT, "key": table.column("key")[0].as_py(), "hot": hot.astype("<u8").tobytes(), "n": len(hot)}] if len(hot) else []
+        return pa.Table.from_pylist(found, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("hot", pa.binary()), ("n", pa.int64())]))
+
+    return counts.groupBy("key").applyInArrow(run, "kind int, key long, hot binary, n long")
+
+
+def _apart(split: DataFrame, hot: DataFrame, n_buckets: int) -> DataFrame:
+    """split, with segments of its part's hot anchors (sorted) taken out and asked for, by bucket; a mark in print tells them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                own = r.pop("hot")
+                known = np.frombuffer(own or b"", "<u8")
                 anchor = np.frombuffer(r["anchor"], "<u8")
-                at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-                out = hot[at] == anchor
-                if r["kind"] != SEGMENT or not out.any():
+                out = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor if own else np.zeros(len(anchor), bool)
+                if not out.any():
                     rows.append(r)
                     continue
                 c = {n: np.frombuffer(r[n], t) for n, t in FIELDS}
@@ -237,7 +262,7 @@ def _apart(split: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
                 rows += _packed(_buckets(asked["doc"], asked["row"], n_buckets), asked, REQUEST)
             yield from pa.Table.from_pylist(rows, schema=ARROW).to_batches()
 
-    return split.mapInArrow(run, SCHEMA)
+    return split.join(hot, ["kind", "key"], "left").select(*split.columns, "hot").mapInArrow(run, SCHEMA)
 
 
 def _compare(split: DataFrame, n_buckets: int) -> DataFrame:
@@ -278,7 +303,7 @@ def _windows(data: np.ndarray, at: np.ndarray, c: dict[str, np.ndarray]) -> dict
     nth = np.arange(len(i)) - np.repeat(sizes.cumsum() - sizes, sizes)
     head, tail = long[at[i] + nth], long[at[i] + nth + LENGTH - 64]
     hashes = {"anchor": _mix(head * U(3) + tail, 11), "print": _mix(head * U(5) + tail * U(0x9FB21C651E98DF25), 12)}
-    return hashes | {"doc": c["doc"][i], "row": c["row"][i], "start": c["start"][i].astype(np.int64) + nth, "size": np.ones(len(i), np.int64)}
+    return hashes | {"doc": c["doc"][i], "row": c["row"][i], "mark": c["mark"][i], "start": c["start"][i].astype(np.int64) + nth, "size": np.ones(len(i), np.int64)}
 
 
 def _least_place(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -297,8 +322,8 @@ def _gather(bucketed: DataFrame, requests: DataFrame, n_shards: int, n_parts: in
         c = _unpacked(asked)
         ids = _ids(docs.column("doc_id").combine_chunks())
         data, offsets = _text_bytes(docs.column("text"))
-        place = {(d, r): i for i, (d, r) in enumerate(zip(ids.tolist(), _row_hashes(data, offsets).tolist(), strict=True))} if asked.num_rows else {}
-        doc = np.array([place[k] for k in zip(c["doc"].tolist(), c["row"].tolist(), strict=True)], np.int64)
+        place = {k: i for i, k in enumerate(zip(ids.tolist(), *(x.tolist() for x in _row_hashes(data, offsets)), strict=True))} if asked.num_rows else {}
+        doc = np.array([place[k] for k in zip(c["doc"].tolist(), c["row"].tolist(), c["mark"].tolist(), strict=True)], np.int64)
         at = offsets[doc] + c["start"] if len(doc) else np.empty(0, np.int64)
         hot = c["print"] > 0
         cold = {n: x[~hot] for n, x in c.items()} | {"print": at[~hot]}
@@ -350,7 +375,7 @@ def _sort_shards(gathered: DataFrame, n_buckets: int) -> DataFrame:
         data = b"".join(table.column("print").to_pylist())
         texts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         segment, offset = shard_repeats(c["anchor"], c["doc"], c["start"], c["size"], texts)
-        found = _joined({"doc": c["doc"][segment], "row": c["row"][segment], "start": c["start"][segment] + offset, "size": np.ones(len(segment), np.int64)})
+        found = _joined({"doc": c["doc"][segment], "row": c["row"][segment], "mark": c["mark"][segment], "start": c["start"][segment] + offset, "size": np.ones(len(segment), np.int64)})
         return pa.Table.from_pylist(_packed(_buckets(found["doc"], found["row"], n_buckets), found, REPEAT), schema=ARROW)
 
     return gathered.groupBy("kind", "key").applyInArrow(run, SCHEMA)
@@ -371,19 +396,19 @@ def _remove(bucketed: DataFrame, repeats: DataFrame, carry: bool = False) -> Dat
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         c = _unpacked(found, PLACES)
         data, offsets = _text_bytes(docs.column("text"))
-        ids, rows = _ids(docs.column("doc_id").combine_chunks()), _row_hashes(data, offsets)
-        by: dict[tuple[int, int], list[int]] = {}
-        for i, k in enumerate(zip(c["doc"].tolist(), c["row"].tolist(), strict=True)):
+        column = docs.column("doc_id").combine_chunks()
+        by: dict[tuple[int, int, int], list[int]] = {}
+        for i, k in enumerate(zip(c["doc"].tolist(), c["row"].tolist(), c["mark"].tolist(), strict=True)):
             by.setdefault(k, []).append(i)
         out = []
-        for i, key in enumerate(zip(ids.tolist(), rows.tolist(), strict=True)):
-            text, hits = data[offsets[i] : offsets[i + 1]], by.get(key)
+        for i, (doc_id, *key) in enumerate(zip(column.to_pylist(), _ids(column).tolist(), *(x.tolist() for x in _row_hashes(data, offsets)), strict=True)):
+            text, hits = data[offsets[i] : offsets[i + 1]], by.get(tuple(key))
             removed = spans = 0
             if hits:
                 gone = covered(len(text), c["start"][hits].astype(np.int64), c["size"][hits].astype(np.int64))
                 removed, spans = int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
                 text = text[~gone]
-            out.append((None if key[0] == NO_ID else key[0], int(offsets[i + 1] - offsets[i]), removed, spans, hashlib.sha256(text.tobytes()).hexdigest()))
+            out.append((doc_id, int(offsets[i + 1] - offsets[i]), removed, spans, hashlib.sha256(text.tobytes()).hexdigest()))
         names = [x.split()[0] for x in OUT.split(", ")]
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=names)
@@ -396,7 +421,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a document with a smaller id, or further left
     in the same. Texts are judged as UTF-8 bytes of the input; null texts are empty; matches never cross documents. A null
-    id counts as the largest. Rows that share an id count as one document, whose places are compared by start; equal rows
+    id counts as the largest there is, 2^63 - 1. Rows that share an id count as one document, whose places are compared by start; equal rows
     get equal results. Texts of any length are read whole; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -414,11 +439,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), row), F.lit(n_buckets))
     bucketed = dealt(docs.select("doc_id", "text", bucket.alias("bucket")), total, "bucket")
     split = stored(_split(docs, n_parts, n_buckets), "segments")
-    plural = split.where(F.col("kind") == PLURAL).groupBy("key").agg(F.sum("n_bytes").alias("n"))
-    many = max(MANY, total // (37 * HOT_ANCHORS))  # a segment for each 37 bytes: at most HOT_ANCHORS anchors have more
-    hot = np.array(sorted(r.key % (1 << 64) for r in plural.where(F.col("n") > many).collect()), np.uint64)
-    split = split.where(F.col("kind") != PLURAL)
-    told = stored(_compare(dealt(_apart(split, hot, n_buckets) if len(hot) else split, total, "kind", "key"), n_buckets), "repeats")
+    hot = stored(_hot(split.where(F.col("kind") == COUNT)), "hot-anchors")
+    n_hot = hot.agg(F.sum("n")).first()[0] or 0
+    split = split.where(F.col("kind") != COUNT)
+    if n_hot:
+        split = _apart(split, (F.broadcast(hot) if n_hot <= HOT_ANCHORS else hot).drop("n"), n_buckets)
+    told = stored(_compare(dealt(split, total, "kind", "key"), n_buckets), "repeats")
     requests, repeats = told.where(F.col("kind") == REQUEST), told.where(F.col("kind") == REPEAT)
     asked = requests.agg(F.sum("n_bytes")).first()[0] or 0
     gathered = _gather(bucketed, dealt(requests, total, "key"), max(1, -(-asked // SHARD_BYTES)), max(1, -(-8 * asked // PART_BYTES)), n_buckets)
