@@ -331,11 +331,15 @@ def random_page(rnd):
         elif kind == 7:
             page += f"<b class={w}><i></i ><!doctype {w}><?xml {w}?>"
         else:
-            page, shown = page + f"<td data-href='{w}'>" + w, shown + "\n" * 0 + w
+            page, shown = page + f"<td data-href='{w}'>" + w, f"{shown} {w}"
     lines = (re.sub("[ \t\r\f\v]+", " ", x).strip() for x in shown.split("\n"))
     return page, "\n".join(x for x in lines if x), found
 
 
+def test_warc_table_cells_stand_apart():
+    assert warc.plain_text("<table><tr><td>12</td><td>345</td></tr><tr><th>a</th><TD>b<td>c") == "12 345\na b c"
+
+
 def test_warc_reads_pages_that_are_known():
     rnd = random.Random(14)
     for _ in range(400):

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weftnet.llm import fingerprints, spelling, structure
+from weftnet.llm import chat, fingerprints, spelling, structure
 from weftnet.llm.structure import BLANK, COPY, CUT
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -196,3 +196,15 @@ def test_digest(monkeypatch):
     own = fingerprints.digest(text)
     assert fingerprints.likeness(own, own) == 1 and fingerprints.difference(own, fingerprints.digest("")) >= 0
     assert 1 > fingerprints.likeness(own, fingerprints.digest(text[:-90] + "x" * 90)) > fingerprints.likeness(own, fingerprints.digest(other)) >= 0
+
+
+def test_streamed_events_fold_back(spark):
+    rnd = random.Random(8)
+    texts = [None, "", "a", "日本", "<|im_end|>\n\\", "é" * 501]
+    rows = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, *range(4)]), rnd.choice([None, "user", "assistant", "x\ny"]), rnd.choice(texts), 7, "z") for _ in range(60)]
+    turns = spark.createDataFrame(rows + rows[:5], "conv_id long, turn long, role string, text string, seq int, kind string")
+    log = chat.streamed(turns)
+    assert log.count() == 6 * len(rows + rows[:5]) and {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    plain, through = (sorted(chat.format_chats(turns, of).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0)) for of in (chat.events_of, chat.streamed))
+    assert plain == through
+    assert chat.format_chats(turns.limit(0), chat.streamed).isEmpty()

@@ -7,6 +7,8 @@ marked by control strings; the same strings inside texts are escaped reversibly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, STOP, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -93,11 +95,26 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) rendered through the event log.
+def streamed(conversations: DataFrame) -> DataFrame:
+    """Finished turns as the log of how they might have come: each is drafted, regenerated, streamed, edited and streamed on.
+
+    A row becomes a draft in two parts, a regeneration, its first third, an edit to its first half and the other half, in this
+    order of seq; only the edit and what follows it stand in the end.
+    """
+    rows = events_of(conversations)
+    n = F.length(F.coalesce("text", F.lit("")))
+    half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    head = lambda size: F.substr("text", F.lit(1), size)
+    steps = (("message", F.lit("A draft")), ("delta", F.lit(" that is dropped.")), ("regenerate", F.lit("")), ("delta", head(third)), ("edit", head(half)), ("delta", F.substr("text", half + 1)))
+    each = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(k == 0), F.col("role")).alias("role"), text.alias("text")) for k, (kind, text) in enumerate(steps)))
+    return rows.select("conv_id", "turn", "copy", F.explode(each).alias("e")).select("conv_id", "turn", "copy", "e.*")
+
+
+def format_chats(conversations: DataFrame, log: Callable[[DataFrame], DataFrame] = events_of) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) rendered through the event log that log makes of them.
 
     Null roles and texts are empty, null ids and turns form groups like others and come first; rows of one turn all stay, in
     the order of role and text; texts of any length are rendered whole; further columns, whatever their names, are ignored; an
     empty table gives no rows.
     """
-    return render(fold(events_of(conversations), "copy"), "copy")
+    return render(fold(log(conversations), "copy"), "copy")

@@ -27,7 +27,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))))
     more = spark.range(1).select(F.explode(pair).alias("t")).select(F.lit(-1).alias("conv_id"), "t.turn", "t.role", F.lit(tricky).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = chat.format_chats(turns).withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    out = chat.format_chats(turns, chat.streamed).withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, slices
 
-#: Elements whose content is not shown; those that start a line; those that link, with the attributes that hold targets.
+#: Elements whose content is not shown; those that start a line; those that stand apart on it; those that link, with the attributes that hold targets.
 HIDDEN = frozenset("script style template noscript title".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd br hr tr table section article nav main aside header footer body html head blockquote pre form".split())
+CELLS = frozenset(("td", "th"))
 LINKING, TARGETS = frozenset("a area link img iframe script".split()), frozenset(("href", "src"))
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*+)")
 #: One attribute, or the end of its tag; a quote that never closes takes what is left.
@@ -37,7 +38,7 @@ def derived_id(kind: str, source_id: str) -> str:
 def read_page(page: str) -> tuple[str, str | None, list[tuple[str, str]]]:
     """What a page shows, its title, and the targets of its links with the element and attribute that hold them.
 
-    No scripts, styles, templates, comments or title are shown; blocks start lines; entities become characters. The page
+    No scripts, styles, templates, comments or title are shown; blocks start lines; table cells stand apart; entities become characters. The page
     is read once from left to right, so that the time is linear whatever the markup: what is open at the end, a comment,
     a tag, a quote or a hidden element, ends with the page.
     """
@@ -76,6 +77,8 @@ def read_page(page: str) -> tuple[str, str | None, list[tuple[str, str]]]:
                     found.append((html.unescape(target).strip(), f"{tag}/@{key}"))
         if tag in BLOCKS:
             shown.append("\n")
+        elif tag in CELLS:
+            shown.append(" ")
         elif tag in HIDDEN and follows != "/":
             close = CLOSES[tag].search(page, at)
             if tag == "title" and title is None:
