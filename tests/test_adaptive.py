@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftnet import tensor as T
-from weftnet.functions import adaptive as A, bitops as B, cross, evaluate as V, quantics as Q, treecross as C
+from weftnet.functions import adaptive as A, bitops as B, cross, evaluate as V, framecross as K, quantics as Q, search as S, treecross as C
 from weftnet.index import Index
 from weftnet.operators import factorize as X
 from weftnet.plans import network as N, patches as P
@@ -284,3 +284,63 @@ def test_factors_of_singular_chains(spark):
     zero = N.constant_train(spark, sites, 0.0)
     form = S.Vidal.of(zero)
     assert np.allclose(dense(form.to_chain().to_tensor(), sites), 0) and X.Truncation().rank(np.zeros(2)) == 1
+
+
+# -- few lines, walkers, frames, both sides large --------------------------------------------------
+
+
+def test_rook_search_and_one_site_sweeps(spark):
+    sites = [Index("x", 60), Index("y", 40), Index("z", 5)]
+    f = lambda x, y, z: F.sin(x * 0.1) * F.cos(y * 0.05) + x * z * 0.01 + 1 / (1 + y + z)
+    net, ci = cross.cross_interpolate(spark, f, sites, rtol=1e-9, max_rank=15, sweeps=3, search="rook")
+    full, _ = cross.cross_interpolate(spark, f, sites, rtol=1e-9, max_rank=15, sweeps=2)
+    assert cross.estimate_error(net, ci, sites, 500) < 1e-6 and ci.f.evaluations < 60 * 40 * 5 / 2
+    assert all(abs(a - b) <= 1 for a, b in zip(net.link_dims(), full.link_dims(), strict=True))
+    ci.one_site(1e-12, True), ci.one_site(1e-12, False)
+    assert all(p[1:] in ci.right[2] for p in ci.right[1])  # nested
+    assert cross.estimate_error(ci.to_train(sites), ci, sites, 500) < 1e-5
+    with pytest.raises(ValueError):
+        ci.sweep(1e-9, 5, True, "other")
+
+
+def test_walkers(spark):
+    sites = [Index(f"z{k}", 4) for k in range(5)]
+    place = (3, 0, 2, 1, 3)
+    near = lambda x: sum((F.when(c == p, 1).otherwise(0) for c, p in zip(x, place, strict=True)), F.lit(0))
+    f = lambda *x: (F.when(near(x) == 5, 3.0).when(near(x) == 4, 0.01).otherwise(0.0), F.lit(1.0))
+    net = N.constant_train(spark, sites).scale(1j)
+    assert S.worst_points(net, f, sites, walkers=64, least=0.1) == [place]
+    assert S.first_pivot(spark, f, sites, walkers=64) == place
+    assert S.worst_points(net, lambda *x: (F.lit(0.0), F.lit(1.0)), sites, walkers=4, least=1e-9) == []
+    assert S.walk(spark, f, sites, net, walkers=2, sweeps=1, start=[place]).agg(F.max("off")).first()[0] == pytest.approx(3)
+
+
+def test_frames(spark):
+    sites = [Index(f"s{k}", d) for k, d in enumerate((3, 2, 4, 3))]
+    rng = np.random.default_rng(9)
+    (a, ta), (b, tb) = scattered(spark, rng, sites, 1.0), scattered(spark, rng, sites, 0.4)
+    trains = [N.train_of(ta, sites), N.train_of(tb, sites)]
+    net, info = K.elementwise_in_frames(lambda x, y: x * y + 1, trains, sites, rtol=1e-12, max_rank=40)
+    assert np.abs(dense(net.to_tensor(), sites) - (a * b + 1)).max() < 1e-10 and max(info.ranks()) <= 12
+    with pytest.raises(ValueError):
+        K.elementwise_in_frames(lambda x: x, [trains[0].map(T.Tensor.to_complex)], sites)
+
+
+def test_factors_when_both_sides_are_large(spark, monkeypatch):
+    monkeypatch.setattr(X, "SMALL_SIDE", 16)
+    monkeypatch.setattr(X, "PROBES", 4)
+    rng = np.random.default_rng(10)
+    a, c = Index("a", 60), Index("c", 50)
+    values = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 50))
+    t = T.from_dense(spark, [a, c], values.ravel(order="F").tolist())
+    u, s, v = X.svd(t, [a])
+    assert np.allclose(s, np.linalg.svd(values)[1][:5]) and len(s) == 5
+    (bond,) = [i for i in u.indices if i in v.indices]
+    left = dense(u, [a, bond])
+    assert np.allclose(left.conj().T @ left, np.eye(5)) and np.allclose((left * s) @ dense(v, [bond, c]), values)
+    q, r = X.qr(t, [a])
+    assert np.allclose(dense(T.contract_pair(q, r), [a, c]), values)
+    full = T.from_dense(spark, [a, c], rng.normal(size=3000).tolist())
+    with pytest.raises(ValueError):
+        X.svd(full, [a])
+    assert len(X.svd(full, [a], X.Truncation(max_dim=3))[1]) == 3

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..index import Index, new_link
 from ..plans.network import Network, train
 from ..session import cut_lineage
-from ..tensor import Tensor, contract_pair, from_dense, whole
+from ..tensor import Tensor, from_dense, whole
 
 Function = Callable[..., Column]
 
@@ -128,6 +128,29 @@ def chosen_pivots(values: DataFrame, n_rows: int, n_cols: int, rtol: float, max_
     return [r.i for r in found if r.i is not None], [r.j for r in found if r.j is not None], [r.error for r in found]
 
 
+def times_inverse(values: DataFrame, square: np.ndarray, block_values: int | None = None) -> DataFrame:
+    """values (i, j, re), a row i at a time, times the inverse of a small square: solved in blocks of rows, not multiplied.
+
+    With pivots chosen by size the solutions are of the size of 1, while the inverse itself may be huge.
+    """
+    n = square.shape[0]
+    block = max(1, (block_values or BLOCK_VALUES) // n)
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows, at = np.unique(np.asarray(table.column("i")), return_inverse=True)
+        a = np.zeros((len(rows), n))
+        a[at, np.asarray(table.column("j"))] = np.asarray(table.column("re"))
+        try:
+            x = np.linalg.solve(square.T, a.T).T
+        except np.linalg.LinAlgError:
+            x = np.linalg.lstsq(square.T, a.T, rcond=None)[0].T
+        k, j = np.divmod(np.arange(x.size), n)
+        return pa.table({"i": pa.array(rows[k], pa.int64()), "j": pa.array(j, pa.int64()), "re": pa.array(x.ravel())})
+
+    # a block is a run of rows, whose numbers are dense
+    return values.groupBy(F.floor(F.col("i") / block).alias("block")).applyInArrow(solve, "i long, j long, re double")
+
+
 @dataclass
 class CrossInterpolation:
     """Pivot lists of a tensor train: left[k] are values of the first k coordinates, right[k] of those after k."""
@@ -156,8 +179,75 @@ class CrossInterpolation:
         points = table.select("i", j.cast("long").alias("j"), *(x.alias(n) for x, n in zip(at, names, strict=True)))
         return self.f.eval(points).select("i", "j", "re")
 
-    def sweep(self, rtol: float, max_rank: int, forward: bool) -> float:
-        """Two-site updates of all bonds; the largest relative residual."""
+    def lines(self, k: int, rows: list | None = None, cols: list | None = None) -> DataFrame:
+        """i, j, re of bond k's matrix on the listed rows and all columns, or all rows and the listed columns.
+
+        What is listed is numbered by its place in the list; the other side is counted on the executors as in values.
+        """
+        dims, names, spark = self.f.dims, self.f.columns, self.f.spark
+        outer, inner, d = (self.left[k - 1], cols, dims[k - 1]) if rows is None else (self.right[k + 1], rows, dims[k])
+        kept = [list(map(int, x)) for x in inner]
+        table = spark.createDataFrame([(n, list(map(int, p))) for n, p in enumerate(outer)], "n long, own array<long>")
+        table = table.withColumn("kept", F.array(*(F.array(*(F.lit(c) for c in x)).cast("array<long>") for x in kept)))
+        table = table.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long")))).select("n", "own", "s", F.posexplode("kept").alias("m", "other"))
+        if rows is None:
+            place, at = F.col("n") * d + F.col("s"), [*(F.get("own", F.lit(x)) for x in range(k - 1)), F.col("s"), *(F.get("other", F.lit(x)) for x in range(len(dims) - k))]
+            i, j = place, F.col("m").cast("long")
+        else:
+            place, at = F.col("s") * len(outer) + F.col("n"), [*(F.get("other", F.lit(x)) for x in range(k)), F.col("s"), *(F.get("own", F.lit(x)) for x in range(len(dims) - k - 1))]
+            i, j = F.col("m").cast("long"), place
+        return self.f.eval(table.select(i.alias("i"), j.alias("j"), *(x.alias(n) for x, n in zip(at, names, strict=True)))).select("i", "j", "re")
+
+    def rook(self, k: int, rtol: float, max_rank: int, seed: int = 0, rounds: int = 8) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], float]:
+        """Pivot rows and columns of bond k from few of its lines: rows are chosen on some columns, columns on those rows, in turns.
+
+        Columns are the pivots there are and as many seeded ones; turns end when more columns are offered than pivots come of
+        them. Each turn evaluates at most 3 max_rank + 2 lines. The last item is the residual on the columns offered last,
+        relative to their largest value.
+        """
+        dims = self.f.dims
+        count_rows, count_cols = len(self.left[k - 1]) * dims[k - 1], dims[k] * len(self.right[k + 1])
+        row = lambda i: (*self.left[k - 1][i // dims[k - 1]], i % dims[k - 1])
+        col = lambda j: (j // len(self.right[k + 1]), *self.right[k + 1][j % len(self.right[k + 1])])
+        rng = np.random.default_rng([seed, k, len(self.right[k])])
+        some = lambda n: [col(int(j)) for j in rng.integers(count_cols, size=min(count_cols, n))]
+        cols, most = list(self.right[k]), min(max_rank, count_rows, count_cols)
+        for _ in range(rounds):
+            offered = list(dict.fromkeys([*cols, *some(len(cols) + 2)]))
+            i, _, errors = chosen_pivots(self.lines(k, cols=offered), count_rows, len(offered), rtol, max_rank)
+            rows, error = [row(x) for x in i] or [row(0)], errors[-1] / (errors[0] or 1.0)
+            flipped = self.lines(k, rows=rows).select(F.col("j").alias("i"), F.col("i").alias("j"), "re")
+            j, i, _ = chosen_pivots(flipped, count_cols, len(rows), rtol, max_rank)
+            rows, cols = [rows[x] for x in i] or rows[:1], [col(x) for x in j] or [col(0)]
+            if len(rows) < len(offered) or len(rows) == most:
+                break
+        return rows, cols, error
+
+    def one_site(self, rtol: float, forward: bool) -> None:
+        """Pivots of each bond chosen anew among those of the bond before and one coordinate: nested sets, and no larger ranks."""
+        n, dims = len(self.f.dims), self.f.dims
+        for k in range(1, n) if forward else range(n - 1, 0, -1):
+            if forward:
+                rows = [(*r, s) for r in self.left[k - 1] for s in range(dims[k - 1])]
+                i, j, _ = chosen_pivots(self.values(k - 1, k, False), len(rows), len(self.right[k]), rtol, len(self.right[k]))
+                self.left[k], self.right[k] = [rows[x] for x in i] or rows[:1], [self.right[k][x] for x in j] or self.right[k][:1]
+            else:
+                cols = [(s, *c) for s in range(dims[k]) for c in self.right[k + 1]]
+                flipped = self.lines(k, rows=self.left[k]).select(F.col("j").alias("i"), F.col("i").alias("j"), "re")
+                j, i, _ = chosen_pivots(flipped, len(cols), len(self.left[k]), rtol, len(self.left[k]))
+                self.left[k], self.right[k] = [self.left[k][x] for x in i] or self.left[k][:1], [cols[x] for x in j] or cols[:1]
+
+    def sweep(self, rtol: float, max_rank: int, forward: bool, search: str = "full") -> float:
+        """Two-site updates of all bonds; the largest relative residual. search: whole matrices, or few lines of each (rook)."""
+        if search == "rook":
+            worst = 0.0
+            for k in range(1, len(self.f.dims)) if forward else range(len(self.f.dims) - 1, 0, -1):
+                self.left[k], self.right[k], error = self.rook(k, rtol, max_rank, len(self.errors))
+                worst = max(worst, error)
+            self.errors.append(worst)
+            return worst
+        if search != "full":
+            raise ValueError(f"unknown search {search}")
         n, worst = len(self.f.dims), 0.0
         dims = self.f.dims
         for k in range(1, n) if forward else range(n - 1, 0, -1):
@@ -176,35 +266,36 @@ class CrossInterpolation:
                     self.left[k].append(tuple(p[:k])), self.right[k].append(tuple(p[k:]))
 
     def to_train(self, sites: Sequence[Index]) -> Network:
-        """Cores T_k P_k^-1: values at pivots stay tables; the square P_k of a bond, pivots by pivots, is inverted on the driver."""
+        """Cores T_k P_k^-1: values at pivots stay tables; the square P_k of a bond, pivots by pivots, goes to every task."""
         n, spark = len(self.f.dims), self.f.spark
         links = [new_link(len(self.left[k])) for k in range(1, n)]
         cores = []
         for k in range(n):
             around = [*links[max(0, k - 1) : k], sites[k], *links[k : k + 1]]
-            d, right = self.f.dims[k], new_link(len(self.right[k + 1]))
-            at = ([(links[k - 1], whole(F.col("i"), d))] if k else []) + [(sites[k], F.pmod(F.col("i"), F.lit(d)))] + [(right, F.col("j"))]
-            t = Tensor(self.values(k, k + 1, False).select(*(c.alias(x.column) for x, c in at), "re"), tuple(x for x, _ in at))
-            if k == n - 1:
-                cores.append(t.sum_over([right]))
-                continue
-            square = np.zeros((len(self.left[k + 1]), len(self.right[k + 1])))
-            for r in self.values(k + 1, k + 1, False).collect():  # max_rank squared at most
-                square[r.i, r.j] = r.re
-            t = contract_pair(t, from_dense(spark, [right, links[k]], np.linalg.pinv(square).ravel(order="F").tolist()))
-            cores.append(t.permute(around)._like(cut_lineage(t.permute(around).df)))
+            d, df = self.f.dims[k], self.values(k, k + 1, False)
+            if k < n - 1:
+                square = np.zeros((len(self.left[k + 1]), len(self.right[k + 1])))
+                for r in self.values(k + 1, k + 1, False).collect():  # max_rank squared at most
+                    square[r.i, r.j] = r.re
+                df = times_inverse(df, square)
+            at = ([(links[k - 1], whole(F.col("i"), d))] if k else []) + [(sites[k], F.pmod(F.col("i"), F.lit(d)))] + ([(links[k], F.col("j"))] if k < n - 1 else [])
+            cores.append(Tensor(cut_lineage(df.select(*(c.alias(x.column) for x, c in at), "re")), tuple(x for x, _ in at)).permute(around))
         return train(cores)
 
 
-def cross_interpolate(spark: SparkSession, function: Function | None, sites: Sequence[Index], rtol: float = 1e-10, max_rank: int = 200, sweeps: int = 8, start: Sequence[int] | None = None, batch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Network, CrossInterpolation]:
-    """A train for function(x0, x1, ...) by two-site cross interpolation, from a first pivot, until the residual is small."""
+def cross_interpolate(spark: SparkSession, function: Function | None, sites: Sequence[Index], rtol: float = 1e-10, max_rank: int = 200, sweeps: int = 8, start: Sequence[int] | None = None, batch: Callable[[DataFrame], DataFrame] | None = None, search: str = "full") -> tuple[Network, CrossInterpolation]:
+    """A train for function(x0, x1, ...) by two-site cross interpolation, from a first pivot, until the residual is small.
+
+    search is full, or rook: then a bond's matrix is seen on few of its lines only. Functions here are real; of complex ones
+    see treecross.tree_cross_interpolate, which takes chains as well.
+    """
     dims = [i.dim for i in sites]
     first = tuple(start or [0] * len(dims))
     f = CachedFunction(spark, function, dims, batch=batch)
     ci = CrossInterpolation(f, [[first[:k]] for k in range(len(dims) + 1)], [[first[k:]] for k in range(len(dims) + 1)])
     last = None
     for k in range(sweeps):
-        error = ci.sweep(rtol, max_rank, forward=k % 2 == 0)
+        error = ci.sweep(rtol, max_rank, k % 2 == 0, search)
         ranks = [len(x) for x in ci.left]
         if error <= rtol and ranks == last:
             break

@@ -143,9 +143,59 @@ def _isometric(t: Tensor, right: Sequence[Index], vectors: np.ndarray, s: np.nda
     return turned, skew
 
 
+#: Random columns that a range finder begins with, fresh ones that its residual is judged by, and what counts as exact.
+PROBES, FRESH, EXACT = 128, 8, 1e-13
+
+
+def range_finder(t: Tensor, left: Sequence[Index], tolerance: float = EXACT, most: int | None = None, seed: int = 0) -> tuple[Tensor, Tensor, float]:
+    """Q (left, bond) with orthonormal columns, B = Q* t (bond, right), and a bound of what t - Q B holds, relative to t.
+
+    For matrices of which neither side is small: t times random columns spans its range if there are more of them than its
+    rank; their number doubles until fresh random columns show no residual beyond tolerance (the bound fails with a chance
+    of 10^-FRESH). Only triangles of the number of columns squared leave Spark. With most, columns stop at that number and a
+    few; otherwise a matrix whose rank is over SMALL_SIDE is refused.
+    """
+    from ..tensor import random
+
+    left, right = _sides(t, left)
+    size, k = t.norm(), PROBES if most is None else most + 8
+    if size == 0:
+        bond = new_link(1)
+        return t.sum_over(right)._like(t.sum_over(right).df.where("false").withColumn(bond.column, F.lit(0).cast("long")), [*left, bond]), t.sum_over(left)._like(t.sum_over(left).df.where("false").withColumn(bond.column, F.lit(0).cast("long")), [*right, bond]), 0.0
+    probe = Index("weft_fresh", FRESH)
+    fresh = random(t.spark, [*right, probe], seed + 99)
+    fresh = fresh._like(cut_lineage(fresh.df))
+    seen = contract_pair(t, fresh)
+    seen = seen._like(cut_lineage(seen.df))
+    while True:
+        k = min(k, SMALL_SIDE)
+        y = contract_pair(t, random(t.spark, [*right, Index("weft_probe", k)], seed + k))
+        q, _ = qr(y._like(cut_lineage(y.df)), left)
+        q = q._like(cut_lineage(q.df))
+        b = contract_pair(q.conj(), t)
+        b = b._like(cut_lineage(b.df))
+        rest = seen.sub(contract_pair(q, contract_pair(b, fresh)).permute(seen.indices))
+        most_left = rest._like(rest.df.groupBy(probe.column).agg(F.sqrt(F.sum(rest.abs2())).alias("re")), [probe], False).maxabs()
+        # uniform columns in [-1/2, 1/2) have a variance of 1/12
+        bound = 10 * math.sqrt(2 / math.pi) * math.sqrt(12) * most_left / size
+        if bound <= 10 * tolerance or most is not None:
+            return q, b, bound
+        if k == SMALL_SIDE:
+            raise ValueError(f"neither side is below {SMALL_SIDE}, nor is the rank")
+        k *= 2
+
+
 def svd(t: Tensor, left: Sequence[Index], how: Truncation = Truncation()) -> tuple[Tensor, np.ndarray, Tensor]:
-    """U (left, bond), singular values, V (bond, right) with t = U diag(s) V; the smaller side is solved."""
+    """U (left, bond), singular values, V (bond, right) with t = U diag(s) V; the smaller side is solved.
+
+    Where both sides have over SMALL_SIDE entries, their ranges are found first (range_finder).
+    """
     left, right = _sides(t, left)
+    if min(math.prod(i.dim for i in left), math.prod(i.dim for i in right)) > SMALL_SIDE:
+        q, b, _ = range_finder(t, left, max(EXACT, how.rtol / 10, math.sqrt(how.cutoff) / 10), how.max_dim)
+        (bond,) = [i for i in q.indices if i not in left]
+        u, s, v = svd(b, [bond], how)
+        return contract_pair(q, u), s, v
     if math.prod(i.dim for i in left) < math.prod(i.dim for i in right):
         v, s, u = svd(t, right, how)
         return u, s, v
@@ -164,7 +214,8 @@ def svd(t: Tensor, left: Sequence[Index], how: Truncation = Truncation()) -> tup
 def qr(t: Tensor, left: Sequence[Index], rtol: float = 1e-15) -> tuple[Tensor, Tensor]:
     """Q (left, bond) with orthonormal columns and R (bond, right) with t = Q R; dependent columns are left out."""
     left, right = _sides(t, left)
-    if math.prod(i.dim for i in left) < math.prod(i.dim for i in right):
+    n, m = math.prod(i.dim for i in left), math.prod(i.dim for i in right)
+    if n < m or m > SMALL_SIDE:
         u, s, v = svd(t, left, Truncation(rtol=rtol))
         bond = next(i for i in u.indices if i in v.indices)
         return u, contract_pair(tensor_of(t, [bond.prime(), bond], np.diag(s)), v).replace_indices((bond.prime(), bond))

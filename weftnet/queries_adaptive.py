@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import encode as E, tensor as T
 from .encode import FLAG, MONTH, STATUS, table
-from .functions import adaptive as A, bitops as B, evaluate as V, quantics as Q, treecross as C
+from .functions import adaptive as A, bitops as B, cross, evaluate as V, framecross as K, quantics as Q, search as S, treecross as C
 from .index import Index
 from .operators import factorize as X
 from .plans import network as N, patches as P
@@ -99,7 +99,7 @@ def affine_rational_periodic(spark, d):
 
 # -- partitioned trains ------------------------------------------------------------------------------
 
-O, M, S = ([Index(f"{n}{k}", 4) for k in range(3)] for n in "oms")
+O, M, U = ([Index(f"{n}{k}", 4) for k in range(3)] for n in "oms")
 DIGITS = "(k // 16) % 4 AS {0}0, (k // 4) % 4 AS {0}1, k % 4 AS {0}2"
 PRODUCT = """WITH a AS (SELECT l_orderkey % 64 AS o, l_partkey % 64 AS m, sum(l_quantity) AS v FROM lineitem WHERE l_partkey % 64 <= l_orderkey % 64 + 20 GROUP BY ALL),
 b AS (SELECT l_partkey % 64 AS m, l_suppkey % 64 AS s, count(*) AS v FROM lineitem GROUP BY ALL),
@@ -121,7 +121,7 @@ def _order_parts(spark, d) -> T.Tensor:
 
 def _part_suppliers(spark, d) -> T.Tensor:
     m, s = Index("m", 64), Index("s", 64)
-    return _digits(T.from_table(table(spark, d, "lineitem"), {m: F.col("l_partkey") % 64, s: F.col("l_suppkey") % 64}, F.lit(1.0)), (m, M), (s, S))
+    return _digits(T.from_table(table(spark, d, "lineitem"), {m: F.col("l_partkey") % 64, s: F.col("l_suppkey") % 64}, F.lit(1.0)), (m, M), (s, U))
 
 
 def _pairs(x: list[Index], y: list[Index]) -> list[tuple[Index, Index]]:
@@ -136,11 +136,11 @@ def _order(x: list[Index], y: list[Index]) -> list[Index]:
 def patched_contract(spark, d):
     """Two operators in patches of different depth, multiplied, cut to a budget and kept in patches with bonds of 8 at most."""
     a = P.patched(_order_parts(spark, d), _pairs(O, M), _order(O, M), 1, 600)
-    b = P.patched(_part_suppliers(spark, d), _pairs(M, S), _order(M, S), 0, 900)
-    c = a.contract_adaptive(b, 1e-10, 8, _order(O, S))
+    b = P.patched(_part_suppliers(spark, d), _pairs(M, U), _order(M, U), 0, 900)
+    c = a.contract_adaptive(b, 1e-10, 8, _order(O, U))
     if c.rank() > 8:
         raise ValueError("a patch has larger bonds")
-    return rows(c.to_tensor().permute([*O, *S]))
+    return rows(c.to_tensor().permute([*O, *U]))
 
 
 @query(PRODUCT + "SELECT o * 64 + m AS point, (2 * v)::BIGINT AS re FROM a")
@@ -252,3 +252,84 @@ def tree_evaluation(spark, d):
     net = N.Network({"flag": hub[FLAG], "status": hub[STATUS], "month": month, "centre": centre})
     points = t.df.select("flag", "status", "month", (F.col("flag") * 168 + F.col("status") * 84 + F.col("month")).alias("point"))
     return V.evaluate_points(net, points).select("point", F.round("re").cast("long").alias("re"), F.round("im").cast("long").alias("im"))
+
+
+# -- few lines of large matrices, walkers, frames, both sides large ------------------------------------
+
+SIDE = 1000
+COUNTS = f"""WITH a AS (SELECT o_orderkey % {SIDE} AS k, 1 + sum(o_custkey % 7) AS a FROM orders GROUP BY ALL), b AS (SELECT o_custkey % {SIDE} AS k, 1 + sum(o_orderkey % 5) AS b FROM orders GROUP BY ALL),
+x AS (SELECT range AS k, coalesce(a, 1) AS a FROM range({SIDE}) LEFT JOIN a ON k = range), y AS (SELECT range AS k, coalesce(b, 1) AS b FROM range({SIDE}) LEFT JOIN b ON k = range) """
+
+
+@query(COUNTS + "SELECT o_orderkey AS point, round(0.7310585786::DOUBLE * (x.a * y.b + x.a * x.a / (1.0::DOUBLE + y.b) + y.b * y.b), 2) + 0.0 AS re FROM orders JOIN x ON x.k = o_orderkey % 1000 JOIN y ON y.k = o_custkey % 1000")
+def rook_interpolation(spark, d):
+    """A matrix of a million entries from weights of orders and customers, seen on few of its lines only, at all stored places."""
+    orders = table(spark, d, "orders")
+    side = lambda key, value: {r[0]: r[1] for r in orders.groupBy(F.col(key) % SIDE).agg(1 + F.sum(value)).collect()}  # noqa: E731  a thousand numbers
+    a, b = side("o_orderkey", F.col("o_custkey") % 7), side("o_custkey", F.col("o_orderkey") % 5)
+    weight = lambda w, x: F.get(F.lit([float(w.get(k, 1)) for k in range(SIDE)]), x.cast("int"))
+    sites = [Index("x", SIDE), Index("y", SIDE)]
+    f = lambda x, y: 0.7310585786 * (weight(a, x) * weight(b, y) + weight(a, x) * weight(a, x) / (1 + weight(b, y)) + weight(b, y) * weight(b, y))
+    net, ci = cross.cross_interpolate(spark, f, sites, rtol=1e-13, max_rank=12, sweeps=2, search="rook")
+    if ci.f.evaluations > SIDE * SIDE // 5:
+        raise ValueError("too many lines were evaluated")
+    points = orders.select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % SIDE).alias("x"), (F.col("o_custkey") % SIDE).alias("y"))
+    return V.evaluate_points(net, points).select("point", (F.round("re", 2) + 0.0).alias("re"))
+
+
+@query("SELECT (sum(o_custkey) % 4096) // 1024 AS z0, (sum(o_custkey) % 1024) // 256 AS z1, (sum(o_custkey) % 256) // 64 AS z2, (sum(o_custkey) % 64) // 16 AS z3, (sum(o_custkey) % 16) // 4 AS z4, sum(o_custkey) % 4 AS z5 FROM orders")
+def walkers_find_a_spike(spark, d):
+    """A smooth function has a spike at a place from the table, which its train doesn't know; walkers go there."""
+    at = int(table(spark, d, "orders").agg(F.sum("o_custkey") % 4096).first()[0])
+    sites = [Index(f"z{k}", 4) for k in range(6)]
+    place = [at // 4 ** (5 - k) % 4 for k in range(6)]
+
+    def f(*x: Column) -> Column:
+        near = sum((F.when(c == p, 1).otherwise(0) for c, p in zip(x, place, strict=True)), F.lit(0))
+        return F.cos(sum((c * 0.2 * (k + 1) for k, c in enumerate(x)), F.lit(0.0))) + F.when(near == 6, 5.0).when(near == 5, 1e-3).otherwise(0.0)
+
+    angle = lambda x: sum((c * 0.2 * (k + 1) for k, c in enumerate(x)), F.lit(0.0))
+    smooth, _ = C.tree_cross_interpolate(spark, lambda *x: F.cos(angle(x)), sites, [(k, k + 1) for k in range(5)], rtol=1e-9, sweeps=4)
+    found = S.worst_points(smooth, f, sites, most=1, least=1e-2, walkers=256, sweeps=2)
+    return spark.createDataFrame([tuple(found[0])], ", ".join(f"{s.id} long" for s in sites))
+
+
+TWELVE = [Index(f"e{k}", 2) for k in range(12)]
+
+
+@query("""WITH s AS (SELECT range AS x, coalesce(n, 0) AS n FROM range(4096) LEFT JOIN (SELECT o_custkey % 16 AS k, count(*) AS n FROM orders GROUP BY ALL) ON k = range // 256)
+SELECT x, round(sqrt(n + x), 4) + 0.0 AS re FROM s WHERE round(sqrt(n + x), 4) <> 0""")
+def elementwise_in_frames(spark, d):
+    """The square root of the sum of two trains of twelve bits: a step function of the table's counts, and a straight line."""
+    step = T.from_table(table(spark, d, "orders"), {Index("k", 16): F.col("o_custkey") % 16}, F.lit(1.0)).unfuse_index(Index("k", 16), TWELVE[:4][::-1]).permute(TWELVE[:4])
+    steps = B.exact_train(T.contract_pair(step, T.ones(spark, TWELVE[4:5])), TWELVE[:5])
+    tail = N.constant_train(spark, TWELVE[5:])
+    steps = N.train([*(steps.tensors[k] for k in range(4)), *_joined(spark, steps.tensors[4], [tail.tensors[k] for k in range(7)])])
+    line = B.interpolation_train(spark, lambda u: 4096 * u, TWELVE, 1)
+    net, _ = K.elementwise_in_frames(lambda a, b: F.sqrt(F.abs(a + b)), [steps, line], TWELVE, rtol=1e-10, max_rank=40, sweeps=6)
+    points = spark.range(4096).select(F.col("id").alias("point"), *(F.shiftright("id", 11 - k).bitwiseAND(F.lit(1)).cast("long").alias(s.column) for k, s in enumerate(TWELVE)))
+    out = V.evaluate_points(net, points).select(F.col("point").alias("x"), (F.round("re", 4) + 0.0).alias("re"))
+    return out.where("re <> 0")
+
+
+def _joined(spark, last: T.Tensor, rest: list[T.Tensor]) -> list[T.Tensor]:
+    """Two chains end to end, by a bond of dimension 1."""
+    link = Index("weft_joint", 1)
+    one = T.onehot(spark, {link: 0})
+    return [T.contract_pair(last, one), T.contract_pair(rest[0], one), *rest[1:]]
+
+
+WIDE_O, WIDE_P = Index("wo", 5000), Index("wp", 5000)
+
+
+@query("""WITH a AS (SELECT o_orderkey % 5000 AS o, sum(o_custkey % 11 + 1) AS a FROM orders GROUP BY ALL), b AS (SELECT p_partkey % 5000 AS p, sum(p_size) AS b FROM part GROUP BY ALL)
+SELECT o * 5000 + p AS point, (a * b)::BIGINT AS re FROM a JOIN b ON o % 100 = p % 100""")
+def svd_of_a_large_matrix(spark, d):
+    """5,000 orders by 5,000 parts, of rank 100: singular vectors and values multiply back to every stored entry."""
+    a = T.from_table(table(spark, d, "orders"), {WIDE_O: F.col("o_orderkey") % 5000}, F.col("o_custkey") % 11 + 1)
+    b = T.from_table(table(spark, d, "part"), {WIDE_P: F.col("p_partkey") % 5000}, F.col("p_size"))
+    pairs = a.df.withColumnRenamed("re", "a").join(b.df.withColumnRenamed("re", "b"), F.col("wo") % 100 == F.col("wp") % 100)
+    t = T.Tensor(pairs.select("wo", "wp", (F.col("a") * F.col("b")).alias("re")), (WIDE_O, WIDE_P))
+    u, v = X.factorize(t, [WIDE_O])
+    points = t.df.select("wo", "wp", (F.col("wo") * 5000 + F.col("wp")).alias("point"))
+    return V.evaluate_points(N.Network({"u": u, "v": v}), points).select("point", F.round("re").cast("long").alias("re"))
