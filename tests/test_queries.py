@@ -10,8 +10,9 @@ from weftnet import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-#: Many small jobs each; test_engine.py holds what they use against NumPy.
-SLOW = {"dmrg_ising", "elementwise_square_root", "quantics_cross_interpolation", "cross_interpolation", "gmres_diagonal", "cross_from_rows_and_columns", "integrate", "contract_zipup", "contract_fit", "growing_cross", "linear_operator_compose"}
+#: Many small jobs each; test_engine.py, test_networks.py and test_adaptive.py hold what they use against NumPy.
+SLOW = {"dmrg_ising", "elementwise_square_root", "quantics_cross_interpolation", "cross_interpolation", "gmres_diagonal", "cross_from_rows_and_columns", "integrate", "contract_zipup", "contract_fit", "growing_cross", "linear_operator_compose",
+        "adaptive_interpolation", "tree_cross_interpolation", "adaptive_patches", "rook_interpolation", "walkers_find_a_spike", "elementwise_in_frames", "svd_of_a_large_matrix"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 

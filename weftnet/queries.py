@@ -118,9 +118,24 @@ def onehot_projection(spark, d):
     return rows(T.contract([E.quantity(spark, d), T.onehot(spark, {FLAG: 1}), T.ones(spark, [STATUS])]))
 
 
-@query("WITH r AS (SELECT x, y FROM range(5) a(x), range(5) b(y)) SELECT x, y, 1 AS re FROM r WHERE x = y")
+@query("SELECT flag, month, flag AS other, sum(re)::BIGINT AS re FROM t GROUP BY ALL")
 def delta_tensor(spark, d):
-    return rows(T.delta(spark, [(Index("x", 5), Index("y", 5))]))
+    """The identity between two flags, on the quantity of each."""
+    t = E.quantity(spark, d).sum_over([STATUS])
+    return rows(T.contract_pair(t, T.delta(spark, [(FLAG, Index("other", 3))]), retain=[FLAG]))
+
+
+def _lines_by_month(spark, d) -> T.Tensor:
+    return E.lines(spark, d).sum_over([FLAG])
+
+
+def _weight(spark, d, most: int) -> int:
+    """A small whole number that depends on all lines."""
+    return table(spark, d, "lineitem").count() % most + 1
+
+
+#: The same weight in SQL.
+WEIGHT = "(SELECT count(*) % {} + 1 FROM lineitem)"
 
 
 # -- contraction ----------------------------------------------------------------------------------
@@ -295,17 +310,18 @@ def gmres_diagonal(spark, d):
     return rows(x, 4)
 
 
-@query("SELECT 1.0::DOUBLE AS re")
+@query("SELECT min(n % 3 + 1)::DOUBLE AS re FROM (SELECT month, sum(re) AS n FROM c GROUP BY ALL)")
 def lowest_eigenvalue(spark, d):
-    scale = T.from_function(spark, [MONTH], lambda m: (m % 3) + 1)
-    value, _ = K.lowest_eigenpair(lambda v: v.hadamard(scale), T.ones(spark, [MONTH]), steps=5)
+    """Of a diagonal that lines by month give."""
+    scale = _lines_by_month(spark, d).map_values(lambda v: F.pmod(v, F.lit(3.0)) + 1)
+    value, _ = K.lowest_eigenpair(lambda v: v.hadamard(scale), scale.map_values(lambda v: F.lit(1.0)), steps=5)
     return number(spark, value)
 
 
-@query("WITH r AS (SELECT month FROM range(84) a(month)) SELECT month, round(exp(-0.5 * (month % 3 + 1)), 6) + 0.0 AS re FROM r")
+@query("SELECT month, round(exp(-0.5 * (n % 3 + 1)), 6) + 0.0 AS re FROM (SELECT month, sum(re) AS n FROM c GROUP BY ALL)")
 def expm_multiply(spark, d):
-    scale = T.from_function(spark, [MONTH], lambda m: (m % 3) + 1)
-    return rows(K.expm_multiply(lambda v: v.hadamard(scale), T.ones(spark, [MONTH]), -0.5, steps=5), 6)
+    scale = _lines_by_month(spark, d).map_values(lambda v: F.pmod(v, F.lit(3.0)) + 1)
+    return rows(K.expm_multiply(lambda v: v.hadamard(scale), scale.map_values(lambda v: F.lit(1.0)), -0.5, steps=5), 6)
 
 
 # -- networks -------------------------------------------------------------------------------------
@@ -433,10 +449,10 @@ def argmax(spark, d):
     return rows(t.mask_index(t.argmax()))
 
 
-@query("SELECT round(-2.0, 5) + 0.0 AS re")
+@query(f"SELECT round(-2.0::DOUBLE * {WEIGHT.format(7)}, 5) + 0.0 AS re")
 def dmrg_ising(spark, d):
-    """-sum z z on a chain of three spins: the lowest energy is -2."""
-    z = np.diag([1.0, -1.0])
+    """-w sum z z on a chain of three spins, w from the table: the lowest energy is -2 w."""
+    z = np.diag([1.0, -1.0]) * float(_weight(spark, d, 7)) ** 0.5
     sites = N.fresh_sites([2] * 3)
     operator = S.sum_of_local_terms(spark, sites, np.zeros((2, 2)), [(-z, z)])
     start = N.train([T.random(spark, list(t.indices), 11 + k) for k, t in N.constant_train(spark, sites).tensors.items()])
@@ -538,36 +554,43 @@ def pullback(spark, d):
 # -- functions ------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT x, y, z FROM range(4) a(x), range(5) b(y), range(6) c(z)) SELECT x, y, z, (1 + x + 2 * y * z) AS re FROM r")
+@query("WITH r AS (SELECT x, y, z FROM range(4) a(x), range(5) b(y), range(6) c(z)), n AS (SELECT l_linenumber % 4 AS x, count(*) AS n FROM lineitem GROUP BY ALL) SELECT x, y, z, n + x + 2 * y * z AS re FROM r JOIN n USING (x)")
 def cross_interpolation(spark, d):
+    """Lines by their number modulo 4, and a product of two other coordinates."""
     sites = [Index("x", 4), Index("y", 5), Index("z", 6)]
-    net, _ = cross.cross_interpolate(spark, lambda x, y, z: 1 + x + 2 * y * z, sites)
+    found = {r[0]: r[1] for r in table(spark, d, "lineitem").groupBy(F.col("l_linenumber") % 4).count().collect()}
+    lines = F.array(*(F.lit(float(found.get(k, 0))) for k in range(4)))
+    net, _ = cross.cross_interpolate(spark, lambda x, y, z: F.get(lines, x.cast("int")) + x + 2 * y * z, sites)
     return rows(net.to_tensor().permute(sites))
 
 
-@query("SELECT 30 AS evaluations, 42 AS n, 30 AS cached")
+@query("SELECT count(DISTINCT (x0, x1)) AS evaluations, count(*) AS n, count(DISTINCT (x0, x1)) AS cached FROM (SELECT l_linenumber % 10 AS x0, l_quantity % 10 AS x1 FROM lineitem)")
 def cached_function(spark, d):
+    """A function of two columns at every line: evaluated once for each pair that occurs."""
     f = cross.CachedFunction(spark, lambda x, y: x * y, [10, 10])
-    points = spark.range(12).selectExpr("id % 6 AS x0", "id % 5 AS x1").unionByName(spark.range(30).selectExpr("id % 6 AS x0", "id % 5 AS x1"))
+    points = table(spark, d, "lineitem").select((F.col("l_linenumber") % 10).cast("long").alias("x0"), (F.col("l_quantity") % 10).cast("long").alias("x1"))
     n = f.eval(points).count()
     f.eval(points.limit(7)).count()
     return spark.range(1).select(F.lit(f.evaluations).alias("evaluations"), F.lit(n).alias("n"), F.lit(f.is_cached(points.distinct()).where("cached").count()).alias("cached"))
 
 
-@query("WITH r AS (SELECT x FROM range(64) a(x)) SELECT x AS point, round(cos(3 * (x / 64.0)) + (x / 64.0), 5) + 0.0 AS re FROM r")
+@query(f"WITH r AS (SELECT x FROM range(64) a(x)) SELECT x AS point, round(cos(3 * (x / 64.0)) + {WEIGHT.format(5)} * (x / 64.0), 5) + 0.0 AS re FROM r")
 def quantics_cross_interpolation(spark, d):
-    q = cross.quantics_cross_interpolate(spark, lambda x: F.cos(3 * x) + x, 6)
+    w = _weight(spark, d, 5)
+    q = cross.quantics_cross_interpolate(spark, lambda x: F.cos(3 * x) + w * x, 6)
     return q.evaluate(spark.range(64).select(F.col("id").alias("point"), F.col("id").alias("x"))).select("point", (F.round("re", 5) + 0.0).alias("re"))
 
 
-@query("SELECT round((exp(1) - 1) ** 2 * 0.5, 6) + 0.0 AS re")
+@query(f"SELECT round((exp(1) - 1) ** 2 * 0.5 * {WEIGHT.format(5)}, 6) + 0.0 AS re")
 def integrate(spark, d):
-    return number(spark, cross.integrate(spark, lambda x, y, z: F.exp(x) * F.exp(y) * z, 3, order=6))
+    w = _weight(spark, d, 5)
+    return number(spark, cross.integrate(spark, lambda x, y, z: w * F.exp(x) * F.exp(y) * z, 3, order=6))
 
 
-@query("WITH r AS (SELECT x FROM range(64) a(x)) SELECT * FROM (SELECT x, round((x / 64.0) ** 3 - (x / 64.0), 6) + 0.0 AS re FROM r) WHERE re <> 0")
+@query("WITH r AS (SELECT x FROM range(64) a(x)) SELECT * FROM (SELECT x, round(" + WEIGHT.format(9) + " * ((x / 64.0) ** 3 - (x / 64.0)), 6) + 0.0 AS re FROM r) WHERE re <> 0")
 def chebyshev_interpolation(spark, d):
-    return rows(cross.interpolate_grid(spark, lambda x: x**3 - x, Index("x", 64), 4), 6)
+    w = _weight(spark, d, 9)
+    return rows(cross.interpolate_grid(spark, lambda x: w * (x**3 - x), Index("x", 64), 4), 6)
 
 
 # -- partitions, storage, streams -----------------------------------------------------------------

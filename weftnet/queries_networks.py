@@ -17,7 +17,7 @@ from .functions import bitops as B, evaluate as V, quantics as Q
 from .index import Index
 from .operators import aca, factorize as X, krylov as K
 from .plans import forms as S, linear as L, network as N, partition as P, products as R
-from .queries import BASE, number, query, rows
+from .queries import BASE, WEIGHT, _weight, number, query, rows
 from .session import shared_dir
 from .sources import store
 
@@ -203,14 +203,16 @@ def embedded_operator(spark, d):
     return rows(out.permute([x, y]))
 
 
-@query("WITH r AS (SELECT x FROM range(256) a(x)) SELECT * FROM (SELECT x AS w, round(1000 * ((x / 256.0) ** 3 - (x / 256.0)), 4) + 0.0 AS re FROM r) WHERE re <> 0")
+@query("WITH r AS (SELECT x FROM range(256) a(x)) SELECT * FROM (SELECT x AS w, round(100 * " + WEIGHT.format(9) + " * ((x / 256.0) ** 3 - (x / 256.0)), 4) + 0.0 AS re FROM r) WHERE re <> 0")
 def interpolation_train(spark, d):
-    return _grid(B.interpolation_train(spark, lambda x: 1000 * (x**3 - x), BITS, 4), BITS, 4)
+    w = 100 * _weight(spark, d, 9)
+    return _grid(B.interpolation_train(spark, lambda x: w * (x**3 - x), BITS, 4), BITS, 4)
 
 
-@query("WITH r AS (SELECT x FROM range(256) a(x)) SELECT * FROM (SELECT x AS w, round(1000 * abs(x / 256.0 - 0.5), 4) + 0.0 AS re FROM r) WHERE re <> 0")
+@query("WITH r AS (SELECT x FROM range(256) a(x)) SELECT * FROM (SELECT x AS w, round(100 * " + WEIGHT.format(9) + " * abs(x / 256.0 - 0.5), 4) + 0.0 AS re FROM r) WHERE re <> 0")
 def interpolation_train_pieces(spark, d):
-    return _grid(B.interpolation_train_pieces(spark, lambda x: 1000 * abs(x - 0.5), BITS, 1, 1), BITS, 4)
+    w = 100 * _weight(spark, d, 9)
+    return _grid(B.interpolation_train_pieces(spark, lambda x: w * abs(x - 0.5), BITS, 1, 1), BITS, 4)
 
 
 # -- products with cut bonds, linear operators ----------------------------------------------------
@@ -375,8 +377,9 @@ def save_and_load_network(spark, d):
     return rows(store.load_network(spark, path, "twice").axpby(1, store.load_network(spark, path, "quantity"), -1).to_tensor().permute([FLAG, STATUS, MONTH]))
 
 
-@query(BASE + "SELECT count(*) AS n_nodes, 2 AS n_bonds, 252 AS rank FROM (VALUES (1), (2), (3)) v(x), (SELECT 1 FROM t LIMIT 1)")
+@query(BASE + "SELECT 3 AS n_nodes, 2 AS n_bonds, count(DISTINCT (month, flag)) AS rank FROM t")
 def chain_shape(spark, d):
+    """A bond numbers the stored beginnings to its left."""
     chain = B.exact_train(E.quantity(spark, d), [MONTH, FLAG, STATUS])
     chain.validate_tree()
     return spark.range(1).select(F.lit(len(chain.nodes)).cast("long").alias("n_nodes"), F.lit(len(chain.link_dims())).alias("n_bonds"), F.lit(chain.rank()).alias("rank"))
