@@ -9,7 +9,7 @@ from .encode import FLAG, MONTH, STATUS, table
 from .functions import adaptive as A, bitops as B, cross, evaluate as V, framecross as K, quantics as Q, search as S, treecross as C
 from .index import Index
 from .operators import factorize as X
-from .plans import network as N, patches as P
+from .plans import network as N, patches as P, tape
 from .queries import query, rows
 
 # -- trains that refine where a function needs it --------------------------------------------------
@@ -333,3 +333,15 @@ def svd_of_a_large_matrix(spark, d):
     u, v = X.factorize(t, [WIDE_O])
     points = t.df.select("wo", "wp", (F.col("wo") * 5000 + F.col("wp")).alias("point"))
     return V.evaluate_points(N.Network({"u": u, "v": v}), points).select("point", F.round("re").cast("long").alias("re"))
+
+
+# -- gradients ----------------------------------------------------------------------------------------
+
+
+@query("SELECT flag, status, month, (2 * re)::BIGINT AS re FROM t WHERE re <> 0")
+def gradient_through_factors(spark, d):
+    """The squared norm of a product of singular vectors and values, by the tensor that they were made of."""
+    a = tape.leaf(E.quantity(spark, d))
+    u, s, v = tape.svd(a, [MONTH])
+    (gradient,) = tape.gradients(u.contract(s, list(s.value.indices)).contract(v).norm_squared(), [a])
+    return rows(gradient.permute([FLAG, STATUS, MONTH]))
