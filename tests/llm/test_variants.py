@@ -208,3 +208,24 @@ def test_streamed_events_fold_back(spark):
     plain, through = (sorted(chat.format_chats(turns, of).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0)) for of in (chat.events_of, chat.streamed))
     assert plain == through
     assert chat.format_chats(turns.limit(0), chat.streamed).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["op11_spelling", "op12_structure", "op13_fingerprints"])
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from weftnet.llm import queries
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got, expected = queries.queries()[name](spark, folder), con.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert names == sorted(expected.columns)
+    rows = Counter(tuple(r[c] for c in names) for r in got.collect())
+    assert rows == Counter(tuple(r[expected.columns.index(c)] for c in names) for r in expected.fetchall()) and rows
