@@ -101,6 +101,21 @@ def test_adaptive_train_edges(spark):
         A.adaptive_train(spark, lambda u: u, sites, 2, 1e-3, (0.0, 0.0), (1.0, 1.0))
 
 
+def test_single_scale_and_sparse_trains(spark):
+    sites = [Index(f"q{k}", 4) for k in range(4)]
+    u, v = np.meshgrid(np.arange(16) / 16 + 1, np.arange(16) / 8, indexing="ij")
+    net = A.single_scale_train(spark, lambda x, y: F.exp(-x * y) + x, sites, 9, (1.0, 0.0), (2.0, 2.0))
+    assert np.abs(values_on_grid(spark, net, sites, 2) - np.exp(-u * v) - u).max() < 1e-5
+    bits = [Index(f"b{k}", 2) for k in range(7)]
+    x = np.arange(128) / 128
+    local = A.single_scale_train(spark, lambda t: F.cos(3 * t), bits, 24, window=6)
+    assert np.abs(values_on_grid(spark, local, bits, 1) - np.cos(3 * x)).max() < 1e-6
+    assert max(t.df.groupBy("b3", next(i.column for i in t.indices if i.has_tag("Link"))).count().agg(F.max("count")).first()[0] for t in [local.tensors[3]]) <= 25
+    assert np.count_nonzero(A.local_basis(24, [0.3], 6)) <= 12 and np.allclose(A.local_basis(24, [0.0, 0.123, 1.0], 6).sum(1), 1)
+    with pytest.raises(ValueError):
+        A.local_basis(4, [0.5], 3)
+
+
 # -- evaluation -----------------------------------------------------------------------------------
 
 

@@ -38,6 +38,24 @@ def basis(nodes: Sequence[float], at: Sequence[float]) -> np.ndarray:
     return out
 
 
+def local_basis(order: int, at: Sequence[float], window: int) -> np.ndarray:
+    """[point, k]: weights of Chebyshev nodes by interpolation in the angle, from window nodes on either side of a point.
+
+    In the angle nodes are evenly spaced and a function is even at both ends, so a window that reaches over an end takes the
+    nodes that lie there in a mirror. At most 2 window weights of a point are not zero.
+    """
+    if window < 1 or 2 * window > order + 1:
+        raise ValueError("a window takes from 1 to (order + 1) / 2 nodes on either side")
+    out = np.zeros((len(at), order + 1))
+    for row, x in enumerate(at):
+        place = math.acos(max(-1.0, min(1.0, 1 - 2 * x))) * order / math.pi
+        own = [int(math.floor(place)) + k for k in range(1 - window, window + 1)]
+        for k in own:
+            weight = math.prod((place - j) / (k - j) for j in own if j != k)
+            out[row, order - abs(order - abs(k))] += weight
+    return out
+
+
 def _grid(axis: Sequence[float], n: int) -> list[list[float]]:
     """Coordinates of the product of an axis with itself, a list for each dimension, the first fastest."""
     return [[axis[(p // len(axis) ** d) % len(axis)] for p in range(len(axis) ** n)] for d in range(n)]
@@ -113,15 +131,16 @@ def _table(spark: SparkSession, values: np.ndarray, names: Sequence[str]) -> Dat
     return spark.createDataFrame(pa.table({**{c: pa.array(x, pa.int64()) for c, x in zip(names, at, strict=True)}, "re": pa.array(values[at])}))
 
 
-def leaf_train(found: DataFrame, sites: Sequence[Index], n: int, degree: int) -> Network:
+def leaf_train(found: DataFrame, sites: Sequence[Index], n: int, degree: int, window: int | None = None) -> Network:
     """The train of leaves over sites of dimension 2^n, most significant first; a site's digit holds the first dimension's bit lowest.
 
     A bond's first (degree + 1)^n states are the polynomial's nodes, the others number the boxes that are not settled yet.
     """
     spark, r, nodes = found.sparkSession, len(sites), chebyshev_nodes(degree)
     m = len(nodes) ** n
-    half = basis(nodes, _halves(nodes)).reshape(2, len(nodes), len(nodes))  # bit, node of the half, node
-    end = basis(nodes, [0.0, 0.5])  # bit, node
+    weights = (lambda at: basis(nodes, at)) if window is None else (lambda at: local_basis(degree, at, window))
+    half = weights(_halves(nodes)).reshape(2, len(nodes), len(nodes))  # bit, node of the half, node
+    end = weights([0.0, 0.5])  # bit, node
     step, stop = np.zeros((m, 2**n, m)), np.zeros((m, 2**n))
     for digit in range(2**n):
         bits = [digit >> d & 1 for d in range(n)]
@@ -173,3 +192,17 @@ def adaptive_train(spark: SparkSession, function: Callable[..., Column], sites:
 def multiscale_train(spark: SparkSession, function: Callable[..., Column], sites: Sequence[Index], degree: int, cusps: Sequence[Box], lower: Box = (0.0,), upper: Box = (1.0,)) -> Network:
     """The same with boxes that are refined around known cusps only, whatever the error."""
     return adaptive_train(spark, function, sites, degree, math.inf, lower, upper, cusps)
+
+
+def single_scale_train(spark: SparkSession, function: Callable[..., Column], sites: Sequence[Index], degree: int, lower: Box = (0.0,), upper: Box = (1.0,), window: int | None = None) -> Network:
+    """function by one polynomial on the whole box: only its values at (degree + 1)^n nodes are taken.
+
+    With window, cores hold local weights only, so that they are sparse however large degree is.
+    """
+    n, nodes = len(lower), chebyshev_nodes(degree)
+    at = _grid(nodes, n)
+    points = spark.range(len(at[0])).select(F.col("id").alias("p"), *((F.lit(lo) + (hi - lo) * F.get(F.lit(u), F.col("id").cast("int"))).alias(f"u{d}") for d, (lo, hi, u) in enumerate(zip(lower, upper, at, strict=True))))
+    valued = points.select("p", function(*(F.col(f"u{d}") for d in range(n))).cast("double").alias("v"))
+    values = valued.agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("l")).select(F.col("l.v").alias("values"))  # as many as nodes
+    whole = values.select(F.lit(0).cast("long").alias("level"), *(F.lit(0).cast("long").alias(f"k{d}") for d in range(n)), "values", F.lit(0.0).alias("error"))
+    return leaf_train(whole, sites, n, degree, window)

@@ -53,6 +53,15 @@ def adaptive_interpolation_plane(spark, d):
     return V.evaluate_points(net, at).select("point", (F.round("re", 3) + 0.0).alias("re"))
 
 
+@query(SPREAD + f"""SELECT point, round(cos(3 * u) + c * exp(-u), 3) + 0.0 AS re FROM (SELECT point, x::DOUBLE / {FINE} AS u FROM p), c""")
+def sparse_interpolation(spark, d):
+    """A smooth function on 2^20 points by one polynomial of local weights: cores are sparse, and values right to 1e-9."""
+    c, _ = _places(spark, d)
+    net = A.single_scale_train(spark, lambda u: F.cos(3 * u) + c * F.exp(-u), FINE_BITS, 40, window=8)
+    at = _spread(spark, d).select("point", *(F.shiftright("x", N_FINE - 1 - k).bitwiseAND(F.lit(1)).alias(s.column) for k, s in enumerate(FINE_BITS)))
+    return V.evaluate_points(net, at).select("point", (F.round("re", 3) + 0.0).alias("re"))
+
+
 @query(f"WITH p AS (SELECT (o_orderkey * 7919 + o_custkey) % {FINE} AS x, count(*) AS re FROM orders GROUP BY ALL) SELECT (x - 12345 + {FINE}) % {FINE} AS w, re::BIGINT AS re FROM p")
 def shift_operator_million(spark, d):
     """An operator on a train of 20 bits that holds every order; no core has more rows than there are orders."""
