@@ -228,10 +228,9 @@ def contract_zipup(spark, d):
 
 @query(SPANS + PREFIX)
 def contract_fit(spark, d):
-    """From the state itself, carried over to the output sites, by one sweep with bonds of the state's size."""
-    state = _bits(spark, d)
-    start = S.random_network(spark, state.replace_site_indices(*zip(BITS, OUTS, strict=True)), 3)
-    return _grid(R.contract_fit(B.cumsum_operator(spark, PAIRS), state, start, sweeps=1), digits=2)
+    """From random values, by one sweep with bonds of the plain product's size: those of a sparse state would be too few."""
+    state, op = _bits(spark, d), B.cumsum_operator(spark, PAIRS)
+    return _grid(R.contract_fit(op, state, S.random_network(spark, op.apply(state), 3), sweeps=1), digits=2)
 
 
 @query("SELECT flag, status, month, (3 * re)::BIGINT AS re FROM t")
