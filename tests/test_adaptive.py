@@ -10,7 +10,7 @@ from weftnet import tensor as T
 from weftnet.functions import adaptive as A, bitops as B, cross, evaluate as V, framecross as K, quantics as Q, search as S, treecross as C
 from weftnet.index import Index
 from weftnet.operators import factorize as X
-from weftnet.plans import network as N, patches as P
+from weftnet.plans import iterative as Y, network as N, patches as P
 
 
 def dense(t, indices):
@@ -410,3 +410,47 @@ def test_gradients_through_factorizations(spark):
     assert tape.gradients(top, [tape.leaf(tensor(w, [k]))])[0].norm() == 0 and ga.indices == va.value.indices
     with pytest.raises(ValueError):
         tape.gradients(va, [vb])
+
+
+# -- Krylov steps on trains that are cut ----------------------------------------------------------
+
+LINE, LINE_OUT = [Index(f"l{k}", 2) for k in range(6)], [Index(f"k{k}", 2) for k in range(6)]
+
+
+def diffusion(spark, c, depth):
+    """(1 + 2c) x - c (both neighbours) around a ring of 64, as a matrix and as a split operator."""
+    pairs = list(zip(LINE_OUT, LINE, strict=True))
+    net = N.identity_operator(spark, pairs).scale(1 + 2 * c)
+    for way in (1, -1):
+        net = net.add(B.shift_operator(spark, pairs, way).scale(-c))
+    order = [i for p in pairs for i in p]
+    op = P.of_network(net, pairs, order).split(2 * depth)
+    ring = np.roll(np.eye(64), 1, 0)
+    return (1 + 2 * c) * np.eye(64) - c * (ring + ring.T), Y.operator(op, pairs, LINE), op
+
+
+def test_krylov_on_cut_trains(spark):
+    rng = np.random.default_rng(12)
+    a, apply, op = diffusion(spark, 0.3, 2)
+    assert op.df.count() == 12 and op.rank() <= 3  # a diagonal block and its neighbours for each of four
+    values, t = scattered(spark, rng, LINE, 0.4, True)
+    flat = values.ravel()
+    b = P.patched(t, [[i] for i in LINE], LINE, 2)
+    rtol = 1e-2
+    got = Y.gmres(apply, b, rtol=rtol, restart=2)
+    assert got.converged and got.residual <= rtol and got.cycles > 1
+    x = dense(got.x.to_tensor(), LINE).ravel()
+    assert np.linalg.norm(a @ x - flat) <= 1.01 * rtol * np.linalg.norm(flat)
+    assert Y.gmres(apply, b, got.x, rtol=10 * rtol).steps == 0
+
+
+def test_krylov_edges(spark):
+    _, apply, _ = diffusion(spark, 0.3, 1)
+    zero = P.patched(T.zeros(spark, LINE), [[i] for i in LINE], LINE, 1)
+    got = Y.gmres(apply, zero)
+    assert got.converged and got.x.norm() == 0
+    one = P.patched(T.onehot(spark, {i: 0 for i in LINE}), [[i] for i in LINE], LINE, 1)
+    none = Y.gmres(apply, one, max_steps=0)
+    assert not none.converged and none.residual == 1 and none.x.norm() == 0
+    with pytest.raises(ValueError):
+        Y.gmres(apply, one, restart=0)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..index import Index
 from ..session import cut_lineage
 from ..tensor import Tensor
+from .network import Network
 
 FREE = -1
 #: Pieces that are added up in a call, values that a task unpacks at a time, stored rows that become one patch, points of a block.
@@ -62,6 +63,14 @@ def squared_norm(cores: Cores) -> float:
     return float(np.linalg.norm(sweep(cores)[-1]) ** 2)
 
 
+def dot(a: Cores, b: Cores) -> complex:
+    """Sum of conj(a) * b."""
+    held = np.ones((1, 1))
+    for p, q in zip(a, b, strict=True):
+        held = np.einsum("ab,adc,bde->ce", held, p.conj(), q, optimize=True)
+    return held[0, 0]
+
+
 def total(a: Cores, b: Cores) -> Cores:
     """Bonds add up."""
     if len(a) == 1:
@@ -322,6 +331,31 @@ class PatchedTrain:
             if now.df.isEmpty():
                 return replace(self, df=done)
 
+    def split(self, depth: int) -> PatchedTrain:
+        """Regions that fix at least depth indices of order, one job for each; parts of zeros, and of what rounding leaves of them, are left out."""
+        layout, dims = self.layout, [i.dim for i in self.layout.flat]
+
+        def parted(at: int) -> Callable[[list[int], Cores], Iterable[dict]]:
+            def run(fixed: list[int], cores: Cores) -> Iterable[dict]:
+                if fixed[at] != FREE:
+                    return [layout.pack(fixed, cores)]
+                parts, least = (layout.sliced(fixed, cores, at, c) for c in range(dims[at])), TIDY * squared_norm(cores)
+                return [layout.pack(f, compress(c, 0.0)[0]) for f, c in parts if squared_norm(c) > least]
+
+            return run
+
+        out = self
+        for at in layout.places[:depth]:
+            out = replace(self, df=cut_lineage(out._map(parted(at))))
+        return out
+
+    def relabelled(self, names: dict[Index, Index]) -> PatchedTrain:
+        """Other indices of the same dimensions in their places."""
+        new = lambda own: tuple(names.get(i, i) for i in own)
+        if any(a.dim != b.dim for a, b in names.items()):
+            raise ValueError("dimensions differ")
+        return replace(self, layout=replace(self.layout, sites=tuple(map(new, self.sites)), order=new(self.order)))
+
     def restrict(self, at: dict[Index, int]) -> PatchedTrain:
         """Only what lies at fixed coordinates; the indices stay. Patches elsewhere are not unpacked."""
         layout = self.layout
@@ -401,6 +435,10 @@ class PatchedTrain:
         Regions of the result fix a beginning of order (that of self's and other's remaining indices unless given); a product
         that fixes a later index is split along those before it. Products are added up where they meet.
         """
+        return self.pieces(other, order).summed()
+
+    def pieces(self, other: PatchedTrain, order: Sequence[Index] | None = None) -> PatchedTrain:
+        """The products of patches that contract adds up, still apart: regions may meet."""
         shared = [i for i in self.flat if i in other.flat]
         sites = tuple(tuple([i for i in a if i not in shared] + [i for i in b if i not in shared]) for a, b in zip(self.sites, other.sites, strict=True))
         order = tuple(order or [i for i in [*self.order, *other.order] if i not in shared])
@@ -418,7 +456,7 @@ class PatchedTrain:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-        return PatchedTrain(out, pairs.mapInArrow(run, SCHEMA)).summed()
+        return PatchedTrain(out, pairs.mapInArrow(run, SCHEMA))
 
     def contract_adaptive(self, other: PatchedTrain, rtol: float, max_bond: int | None = None, order: Sequence[Index] | None = None) -> PatchedTrain:
         """The product, cut so that it loses at most rtol of its own norm, in patches whose bonds are at most max_bond."""
@@ -433,15 +471,58 @@ class PatchedTrain:
             for batch in batches:
                 for r in batch.to_pylist():
                     x, y = _common(left, right, shared, r)
-                    held = np.ones((1, 1))
-                    for p, q in zip(x[1], y[1], strict=True):
-                        held = np.einsum("ab,adc,bde->ce", held, p.conj(), q, optimize=True)
-                    yield pa.RecordBatch.from_pydict({"re": [float(held[0, 0].real)], "im": [float(np.imag(held[0, 0]))]})
+                    value = dot(x[1], y[1])
+                    yield pa.RecordBatch.from_pydict({"re": [float(value.real)], "im": [float(np.imag(value))]})
 
         row = _meeting(a, b, shared).mapInArrow(run, "re double, im double").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("re", "im"))).first()
         return complex(row.re, row.im) if a.is_complex else row.re
 
 
+def stacked(parts: Sequence[PatchedTrain], index: Index) -> PatchedTrain:
+    """Trains side by side along an index in front, which all patches fix."""
+    if any(p.sites != parts[0].sites or p.order != parts[0].order for p in parts):
+        raise ValueError("sites or orders differ")
+    rich = any(p.is_complex for p in parts)
+    first, df = parts[0].layout, None
+    for k, p in enumerate(parts):
+        part = (p.to_complex() if rich else p).df.select(F.concat(F.array(F.lit(k).cast("bigint")), "fixed").alias("fixed"), "bonds", "cores")
+        df = part if df is None else df.unionByName(part)
+    return PatchedTrain(Layout(((index, *first.sites[0]), *first.sites[1:]), (index, *first.order), rich), df)
+
+
+def inner_each(stack: PatchedTrain, other: PatchedTrain) -> np.ndarray:
+    """The inner products of a stack's trains with another one, in one job: a number for each train."""
+    a, b = (stack.to_complex(), other.to_complex()) if stack.is_complex != other.is_complex else (stack, other)
+    shared, left, right = b.flat, a.layout, b.layout
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            values = np.array([dot(x[1], y[1]) for x, y in (_common(left, right, shared, r) for r in rows)], complex)
+            yield pa.RecordBatch.from_arrays([pa.array([r["a_fixed"][0] for r in rows], pa.int64()), pa.array(values.real.copy()), pa.array(values.imag.copy())], names=["k", "re", "im"])
+
+    out = np.zeros(stack.order[0].dim, complex)
+    for r in _meeting(a, b, shared).mapInArrow(run, "k bigint, re double, im double").groupBy("k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect():  # a row a train
+        out[r.k] = complex(r.re, r.im)
+    return out
+
+
+def weighted(stack: PatchedTrain, weights: Sequence[complex], more: PatchedTrain | None = None) -> PatchedTrain:
+    """A stack's trains times weights, and more, still apart: regions may meet."""
+    w = np.asarray(weights)
+    if np.iscomplexobj(w) and not np.any(w.imag):
+        w = w.real
+    rich = np.iscomplexobj(w) or stack.is_complex or (more is not None and more.is_complex)
+    sites, order = (stack.sites[0][1:], *stack.sites[1:]), stack.order[1:]
+    if more is not None and (more.sites != sites or more.order != order):
+        raise ValueError("sites or orders differ")
+    out = Layout(sites, order, rich)
+    df = stack._map(lambda fixed, cores: [out.pack(fixed[1:], [cores[0] * w[fixed[0]], *cores[1:]])] if w[fixed[0]] else [])
+    if more is not None:
+        df = df.unionByName((more.to_complex() if rich else more).df.select("fixed", "bonds", "cores"))
+    return PatchedTrain(out, df)
+
+
 def _meeting(a: PatchedTrain, b: PatchedTrain, shared: Sequence[Index]) -> DataFrame:
     """Pairs of patches (a_fixed, ..., b_fixed, ...) that agree wherever both fix a shared index: an equi-join.
 
@@ -555,3 +636,46 @@ def patched(t: Tensor, sites: Sequence[Sequence[Index]], order: Sequence[Index],
         return pa.Table.from_pylist([out.pack(fixed, cores)], schema=pa.schema([("fixed", pa.list_(pa.int64())), ("bonds", pa.list_(pa.int64())), ("cores", pa.binary())]))
 
     return PatchedTrain(out, cut_lineage(done.groupBy("prefix").applyInArrow(build, SCHEMA)))
+
+
+#: Values that the cores of a train may have together to become one patch.
+PATCH_VALUES = 1 << 24
+
+
+def of_network(net: Network, sites: Sequence[Sequence[Index]], order: Sequence[Index]) -> PatchedTrain:
+    """A chain as one patch, whose nodes hold the indices of sites; its cores meet in one task, so that their size is checked first."""
+    sites = tuple(tuple(s) for s in sites)
+    nodes = [net.find_node(s[0]) for s in sites]
+    if len(set(nodes)) < len(nodes) or set(nodes) != set(net.tensors) or any(set(net.site_indices(n)) != set(s) for n, s in zip(nodes, sites, strict=True)):
+        raise ValueError("nodes and sites differ")
+    links, edges = [], net.edges()
+    for a, b in zip(nodes[:-1], nodes[1:], strict=True):
+        link = edges.get((a, b)) or edges.get((b, a))
+        if link is None:
+            raise ValueError("not a chain in the order of sites")
+        links.append(link)
+    rich = any(t.is_complex for t in net.tensors.values())
+    out, bonds = Layout(sites, tuple(order), rich), [1, *(i.dim for i in links), 1]
+    shapes = [(bonds[k], math.prod(i.dim for i in s), bonds[k + 1]) for k, s in enumerate(sites)]
+    if sum(map(math.prod, shapes)) > PATCH_VALUES:
+        raise ValueError("too large for one patch: truncate first")
+    df = None
+    for k, (node, own) in enumerate(zip(nodes, sites, strict=True)):
+        t, code = net.tensors[node], F.lit(0).cast("bigint")
+        for i in own:
+            code = code * i.dim + F.col(i.column)
+        ends = [F.col(links[j].column) if 0 <= j < len(links) else F.lit(0).cast("bigint") for j in (k - 1, k)]
+        part = t.df.select(F.lit(k).alias("site"), ends[0].alias("l"), code.alias("c"), ends[1].alias("r"), F.col("re"), F.col("im") if t.is_complex else F.lit(0.0).alias("im"))
+        df = part if df is None else df.unionByName(part)
+
+    def build(table: pa.Table) -> pa.Table:
+        at = [np.asarray(table.column(c)) for c in ("site", "l", "c", "r")]
+        values = np.asarray(table.column("re")) + (1j * np.asarray(table.column("im")) if rich else 0)
+        cores = []
+        for k, shape in enumerate(shapes):
+            mine, core = at[0] == k, np.zeros(shape, values.dtype)
+            np.add.at(core, tuple(x[mine] for x in at[1:]), values[mine])
+            cores.append(core)
+        return pa.Table.from_pylist([out.pack([FREE] * len(out.flat), cores)], schema=pa.schema([("fixed", pa.list_(pa.int64())), ("bonds", pa.list_(pa.int64())), ("cores", pa.binary())]))
+
+    return PatchedTrain(out, cut_lineage(df.withColumn("one", F.col("site") * 0).groupBy("one").applyInArrow(build, SCHEMA)))
