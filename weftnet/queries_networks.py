@@ -17,7 +17,7 @@ from .functions import bitops as B, evaluate as V, quantics as Q
 from .index import Index
 from .operators import aca, factorize as X, krylov as K
 from .plans import forms as S, linear as L, network as N, partition as P, products as R
-from .queries import BASE, WEIGHT, _weight, number, query, rows
+from .queries import BASE, ORDER, WEIGHT, _weight, number, query, rows
 from .session import shared_dir
 from .sources import store
 
@@ -96,11 +96,18 @@ LARGE = Index("x", 1 << 60)
 
 @query("SELECT (((o_orderkey::BIGINT << 40) + (o_custkey << 8) + 1 - 987654321987654321) % 1152921504606846976 + 1152921504606846976) % 1152921504606846976 AS x, 1 AS re FROM orders")
 def quantics_bits_large(spark, d):
-    """Sixty bits and back, and a shift around the end of the grid: exact where doubles are not."""
-    at = F.shiftleft(F.col("o_orderkey"), 40) + F.shiftleft(F.col("o_custkey"), 8) + 1
-    t = Q.shift(T.from_table(table(spark, d, "orders"), {LARGE: at}, F.lit(1.0)), {LARGE: 987654321987654321})
+    """Sixty bits and back, and a shift around the end of the grid: exact where doubles are not.
+
+    Keys of any size are taken around the grid before they are added. An order's key stays beside its point, so that orders
+    which meet on a point stay apart.
+    """
+    part = lambda c, by: F.pmod(F.shiftleft(F.col(c), by), F.lit(LARGE.dim))  # noqa: E731  (the grid divides 2^64)
+    at = F.pmod(part("o_orderkey", 40) + part("o_custkey", 8) + 1, F.lit(LARGE.dim))
+    points = table(spark, d, "orders").select(at.alias(LARGE.column), F.col("o_orderkey").alias(ORDER.column), F.lit(1.0).alias("re"))
+    points = points.repartition(ORDER.column)  # sixty bits a row are work for all cores, however few splits the file has
+    t = Q.shift(T.Tensor(points, (LARGE, ORDER)), {LARGE: 987654321987654321})
     split, group = Q.bits(t, LARGE)
-    return rows(Q.number(split, group, LARGE)[0])
+    return rows(Q.number(split, group, LARGE)[0]).select(LARGE.id, "re")
 
 
 # -- maps of grids as operators on trains of bits -------------------------------------------------
