@@ -179,8 +179,10 @@ def tensordot(spark, d):
 
 @query("SELECT a.flag, b.status, a.re * b.re AS re FROM (SELECT flag, sum(re)::BIGINT AS re FROM t GROUP BY ALL) a, (SELECT status, sum(re)::BIGINT AS re FROM t GROUP BY ALL) b")
 def outer_product(spark, d):
+    """Sums become 64-bit whole numbers before they are multiplied: products of large tables' sums are not exact as doubles."""
     t = E.quantity(spark, d)
-    return rows(T.outer_product(t.sum_over([STATUS, MONTH]), t.sum_over([FLAG, MONTH])))
+    a, b = (t.sum_over(gone).map_values(lambda v: F.rint(v).cast("long")) for gone in ([STATUS, MONTH], [FLAG, MONTH]))
+    return rows(T.outer_product(a, b))
 
 
 @query("SELECT flag, status, sum(re * (month + 1))::BIGINT AS re FROM t GROUP BY ALL")
