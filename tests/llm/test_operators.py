@@ -452,6 +452,56 @@ def test_near_duplicates_in_hot_buckets(spark, monkeypatch, hot):
     assert got == plain_components(list(enumerate(texts)), 3, 85)
 
 
+def test_near_duplicates_of_few_rows_take_few_tasks(spark):
+    """Small steps over many shuffle partitions: an empty partition is a task, too, so joins and shuffles are counted by tasks."""
+    rnd = random.Random(8)
+    texts = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rnd.choice([1, 2])):
+                copy[rnd.randrange(60)] = f"n{rnd.randrange(4)}"
+            texts.append(" ".join(copy))
+    docs, partitions, was = documents(spark, texts).coalesce(1), 24, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.sparkContext.setJobGroup("few", "near duplicates of few rows")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == plain_components(list(enumerate(texts)), 3, 85)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+    ran = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert ran < 80 * partitions
+
+
+@pytest.mark.parametrize("whole", [0, 100_000])
+def test_near_duplicates_by_either_join(spark, monkeypatch, whole):
+    """Few keys are broadcast whole; of many, hot ones, and the others are joined by shuffle. Repeated ids and texts besides."""
+    for name, value in (("WHOLE_KEYS", whole), ("HOT_ROWS", 4)):
+        monkeypatch.setattr(components, name, value)
+    for name, value in (("BUCKET_BLOCK", 6), ("SET_BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for group in range(4):
+        own = list(base)
+        own[3 + 9 * group : 6 + 9 * group] = [f"g{group}a", f"g{group}b", f"g{group}c"]
+        rows += [(20 * group + i, " ".join([*own[:50], f"n{i % 7}", *own[51:]])) for i in range(12)]
+    plain = plain_components(rows, 3, 85)
+    rows += [rows[5]] * 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain
+    edges = [(i, i + 1) for i in range(30)] + [(50, 60 + i) for i in range(20)] + [(7, 7), (500, 500), (None, 3)]
+    found = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(31)} | {50: 50, 500: 500} | {60 + i: 50 for i in range(20)}
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and neardup.near_duplicates(odd.limit(0)).count() == 0

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, cut_lineage, slices, stored
-from .components import HOT_KEYS, connected, with_totals
+from .components import HOT_KEYS, connected, whole_if_few, with_totals
 
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -109,10 +109,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class Forest:
-    """Union-find over the rows of one unit; keeps only links that join two trees."""
+    """Union-find over the rows of one unit."""
 
     def __init__(self, ids: list[int]) -> None:
-        self.ids, self.up, self.kept = ids, list(range(len(ids))), []
+        self.ids, self.up = ids, list(range(len(ids)))
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -124,7 +124,10 @@ class Forest:
         a, b = self.root(i), self.root(j)
         if a != b:
             self.up[max(a, b)] = min(a, b)
-            self.kept.append((self.ids[i], self.ids[j]))
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Each tree as links of its first row with the others, so that few rounds hold trees of several units together."""
+        return [(self.ids[r], self.ids[i]) for i in range(len(self.ids)) if (r := self.root(i)) != i]
 
     def link_where(self, near: np.ndarray) -> None:
         """near[i, j] for the rows of the unit: links, as few as hold them together."""
@@ -175,27 +178,28 @@ def _blocks(n: str, size: str, block: int) -> F.Column:
     return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
 
-def units(rows: DataFrame, block: int, per_pack: int) -> DataFrame:
+def units(rows: DataFrame, block: int, per_pack: int, n_rows: int | None = None) -> DataFrame:
     """rows (key, id, comp, value) dealt into packs of units: pack, alone, key, low, high, id, comp, value.
 
     Only rows of different comp need to meet. A key with up to block rows and BLOCK_BYTES of values is one unit; small
     units share packs of about per_pack rows and BLOCK_BYTES. A larger key is split: the rows of its main comp (that of
     its smallest id) and the others each into blocks by a hash, and each block of others with each other block is a
     unit and a pack of its own. Main rows don't meet each other, so that what is compared grows with main times others.
+    n_rows: rows at most, where that is known and each key has two at least.
     """
-    size, n = F.octet_length("value"), rows.count()
-    keyed = with_totals(rows, "key", n, main=F.min_by("comp", "id"), lo=F.min("comp"), hi=F.max("comp"), all_rows=F.count("*"), all_bytes=F.sum(size)).where("lo <> hi")
+    size, n = F.octet_length("value"), rows.count() if n_rows is None else n_rows
+    keyed = with_totals(rows, "key", n, n_keys=n if n_rows is None else n // 2, main=F.min_by("comp", "id"), lo=F.min("comp"), hi=F.max("comp"), all_rows=F.count("*"), all_bytes=F.sum(size)).where("lo <> hi")
     keyed = cut_lineage(keyed.withColumn("is_main", F.col("comp") == F.col("main")).drop("main", "lo", "hi"))
     large = _blocks("all_rows", "all_bytes", block) > 1
-    small = keyed.where(~large).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-    n_packs = max(1, -(-(small.n or 0) // per_pack), -(-(small.bytes or 0) // BLOCK_BYTES))
+    known = keyed.agg(F.count_if(~large).alias("n"), F.sum(F.when(~large, size)).alias("bytes"), F.count_if(large).alias("n_large")).first()
+    n_packs = max(1, -(-known.n // per_pack), -(-(known.bytes or 0) // BLOCK_BYTES))
     pack = lambda *by: F.pmod(F.xxhash64(*by), F.lit(n_packs))
     zero = F.lit(0).cast("int")
     dealt = keyed.where(~large).select(pack("key").alias("pack"), F.lit(False).alias("alone"), "key", zero.alias("low"), zero.alias("high"), "id", "comp", "value")
-    if not (n_large := keyed.where(large).count()):
+    if not known.n_large:
         return dealt
     parts = with_totals(
-        keyed.where(large).select("key", "id", "comp", "value", "is_main"), "key", n_large,
+        keyed.where(large).select("key", "id", "comp", "value", "is_main"), "key", known.n_large,
         n_main=F.count_if("is_main"), n_other=F.count_if(~F.col("is_main")), b_main=F.coalesce(F.sum(F.when(F.col("is_main"), size)), F.lit(0)), b_other=F.coalesce(F.sum(F.when(~F.col("is_main"), size)), F.lit(0)),
     ).withColumns({"mains": F.greatest(F.lit(1), _blocks("n_main", "b_main", block)), "others": F.greatest(F.lit(1), _blocks("n_other", "b_other", block))})
     hashed = F.xxhash64("id", "value", F.lit(1))
@@ -207,7 +211,7 @@ def units(rows: DataFrame, block: int, per_pack: int) -> DataFrame:
 
 
 def linked(dealt: DataFrame, near) -> DataFrame:
-    """Links (a, b) that hold together what near(values) finds similar within each unit, between different comps."""
+    """Links (a, b) that hold together, within each unit, what near(values) finds similar between different comps."""
 
     def run(table: pa.Table) -> pa.Table:
         frame = table.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
@@ -221,14 +225,17 @@ def linked(dealt: DataFrame, near) -> DataFrame:
             if b - a > 1:
                 forest = Forest(ids[a:b].tolist())
                 forest.link_where(near(values.slice(a, b - a).to_pylist()) & (comp[a:b, None] != comp[None, a:b]))
-                pairs += forest.kept
+                pairs += forest.stars()
         return pa.Table.from_batches([_edges(pairs)])
 
     return dealt.groupBy("pack", "alone").applyInArrow(run, "a long, b long")
 
 
-def agreeing_hubs(signed: DataFrame, least: int) -> DataFrame:
-    """Pairs (hub, id) of a bucket's smallest class and others whose signature agrees with it in so many bytes."""
+def agreeing_hubs(signed: DataFrame, least: int, n_rows: int) -> DataFrame:
+    """Pairs (hub, id) of a bucket's smallest class and others whose signature agrees with it in so many bytes.
+
+    n_rows: rows of signed, two at least in each bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +243,7 @@ def agreeing_hubs(signed: DataFrame, least: int) -> DataFrame:
             near = pa.array((sides[0] == sides[1]).sum(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("hub").filter(near), batch.column("id").filter(near)], names=["hub", "id"])
 
-    met = with_totals(signed, "bucket", signed.count(), first=F.min(F.struct("id", "signature"))).where("id <> first.id")
+    met = with_totals(signed, "bucket", n_rows, n_keys=n_rows // 2, first=F.min(F.struct("id", "signature"))).where("id <> first.id")
     return met.select(F.col("first.id").alias("hub"), F.col("first.signature").alias("hub_signature"), "id", "signature").mapInArrow(run, "hub long, id long").distinct()
 
 
@@ -246,7 +253,8 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A hub's partners are split into blocks by a hash if they are many, and the hub's own sets go to each block, so that
     the work grows with the number of pairs.
     """
-    sized = pairs.join(sets.select("id", "n_bytes"), "id").groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    pairs = whole_if_few(pairs, n_pairs := pairs.count())
+    sized = sets.select("id", "n_bytes").join(pairs, "id").groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     sized = cut_lineage(sized)
     known = sized.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     n, size = known.n or 0, known.bytes or 0
@@ -261,8 +269,8 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return some.select(F.when(alone, unit).otherwise(F.pmod(unit, F.lit(n_packs))).alias("pack"), alone.alias("alone"), *(F.col(c).alias(c) for c in ("hub", "id", "value")))
 
     values = sets.select("id", "value")
-    left = placed(pairs.join(values, "id"), lambda k: F.pmod(F.xxhash64("id", F.lit(2)), k).cast("int"))
-    hubs = sized.select("hub").join(values.withColumnRenamed("id", "hub"), "hub").withColumn("id", F.col("hub"))
+    left = placed(values.join(pairs, "id"), lambda k: F.pmod(F.xxhash64("id", F.lit(2)), k).cast("int"))
+    hubs = values.withColumnRenamed("id", "hub").join(whole_if_few(sized.select("hub"), n_pairs), "hub").withColumn("id", F.col("hub"))
     right = placed(hubs, lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
 
     def run(others: pa.Table, hubs: pa.Table) -> pa.Table:
@@ -331,8 +339,8 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     known = sketches.where("print is not null and doc_id is not null")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")).select("id", "print", "s.*"), "classes")
     rows = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    signed = stored(rows.join(shared, "bucket").join(classes.select("id", "signature"), "id").select("bucket", "id", "signature"), "signed")
+    shared = cut_lineage(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    signed = stored(rows.join(whole_if_few(shared, shared.count()), "bucket").join(classes.select("id", "signature"), "id").select("bucket", "id", "signature"), "signed")
     least = -(-how.minima * (how.percent - SLACK) // 100)
     words, percent = how.words, how.percent
 
@@ -344,24 +352,32 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(members, pa.binary())], names=["id", "n_bytes", "value"])
 
     candidates = cut_lineage(signed.select("id").distinct())
-    some = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id", "left_semi").dropDuplicates(["id", "text"])
+    n_ids = candidates.count()
+    some = F.broadcast(candidates) if n_ids <= BROADCAST_IDS else candidates
+    repeated = cut_lineage(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("print").alias("least"), F.max("print").alias("most")).where("n > 1").select("doc_id", (F.col("least") != F.col("most")).alias("several")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id", "left_semi")
+    if not (once := repeated.isEmpty()):
+        texts = texts.dropDuplicates(["id", "text"])
     full = stored(texts.mapInArrow(sets, "id long, n_bytes long, value binary").where("n_bytes > 0"), "sets")
-    several = known.groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most").select("doc_id")
-    same = known.select("doc_id", "print").distinct().join(several, "doc_id", "left_semi").join(classes.select("print", "id"), "print").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    pairs = cut_lineage(agreeing_hubs(signed, least))
-    links = cut_lineage(connected(hub_links(pairs, full, percent).unionByName(same)))
-    component = links.select(F.col("node").alias("id"), F.col("root").alias("comp"))
+    n_signed = signed.count()
+    pairs = cut_lineage(agreeing_hubs(signed, least, n_signed))
+    found, n_nodes = hub_links(pairs, full, percent), n_ids
+    if not once:
+        several = repeated.where("several").select("doc_id")
+        same = cut_lineage(known.select("doc_id", "print").distinct().join(several, "doc_id", "left_semi").join(classes.select("print", "id"), "print").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+        found, n_nodes = found.unionByName(same), n_ids + 2 * same.count()
+    links = cut_lineage(connected(found))
+    component = whole_if_few(links.select(F.col("node").alias("id"), F.col("root").alias("comp")), n_nodes)
     placed = signed.join(component, "id", "left").select(F.col("bucket").alias("key"), "id", F.coalesce("comp", "id").alias("comp"), F.col("signature").alias("value"))
     by_signature = lambda values: agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), least)
-    maybe = cut_lineage(linked(units(placed, BUCKET_BLOCK, 4000), by_signature))
+    maybe = cut_lineage(linked(units(placed, BUCKET_BLOCK, 4000, n_signed), by_signature))
     if not maybe.isEmpty():
-        groups = cut_lineage(connected(maybe)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+        groups = whole_if_few(cut_lineage(connected(maybe)).select(F.col("node").alias("id"), F.col("root").alias("key")), n_ids)
         grouped = full.join(groups, "id").join(component, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "value")
         by_sets = lambda values: similar([np.frombuffer(v, U) for v in values], percent)
-        more = linked(units(grouped, SET_BLOCK, 1000), by_sets)
+        more = linked(units(grouped, SET_BLOCK, 1000, full.count()), by_sets)
         links = connected(more.unionByName(links.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    member = classes.select("print", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component"))
+    member = classes.select("print", "id").join(whole_if_few(links.withColumnRenamed("node", "id"), n_nodes), "id", "left").select("print", F.coalesce("root", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print").join(member, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
