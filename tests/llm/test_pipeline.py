@@ -1,14 +1,18 @@
 """The corpus pipeline on a small fixture: each stage against what brute force says, and the chain as a whole."""
 
 import random
+import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, WORD, plain_components, plain_spans, random_texts
 
 import corpus_pipeline
-from weftnet.llm import packing, quality
+from weftnet.llm import mixing, packing, quality
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +86,41 @@ def test_stages_with_odd_rows(spark, sf_dir):
             assert out.columns == docs.columns and (out.count() > 0) == (rows is odd)
         pieces = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir)
         assert (pieces.count() > 0) == (rows is odd)
+
+
+def own_mb() -> float:
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+@pytest.mark.parametrize("name", ["quality rules", "personal data", "source mix", "packing"])
+def test_stages_give_memory_back(spark, sf_dir, monkeypatch, name):
+    """What a stage's last pass over texts has freed doesn't stay in Arrow's pool, as its Python worker goes on to the next stage."""
+    passes = []
+    kind = type(spark.range(0))
+    through = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: (passes.append((self, f)), through(self, f, *a, **b))[1])
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").withColumn("text", F.repeat(F.concat("text", F.lit("\n")), 400))
+    dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    rows, run = passes[-1]
+    batches = rows.toArrow().to_batches()
+    assert sum(b.nbytes for b in batches) > 20e6
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    n = sum(len(out) for out in run(iter(batches)))
+    held = own_mb()
+    pool.release_unused()
+    assert n and held - own_mb() < 8
+
+
+def test_mix_starts_no_workers_of_another_kind(spark, monkeypatch):
+    """Python workers of RDDs are others than those of DataFrames, and would stay beside them."""
+
+    def refused(self, *_, **__):
+        raise AssertionError("an RDD with a Python function")
+
+    sources = spark.range(40).selectExpr("cast(id as string) as source").repartition(4)
+    monkeypatch.setattr("pyspark.core.rdd.PipelinedRDD.__init__", refused)
+    found = {r.source: r.source_id for r in mixing.numbered(sources).collect()}
+    assert found == {s: i for i, s in enumerate(sorted(map(str, range(40))))}
+    assert mixing.numbered(sources.limit(0)).count() == 0

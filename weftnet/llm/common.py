@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,6 +103,27 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with what Arrow has freed given back to the system after each batch and at the end.
+
+    Arrow's pool keeps freed memory for itself, and a Python worker lives on after its task, so that steps that come later would
+    find it taken.
+    """
+
+    @wraps(run)
+    def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                pool.release_unused()
+        finally:
+            pool.release_unused()
+
+    return given_back
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """fn over slices of Arrow batches; fn gets and returns a record batch."""
 

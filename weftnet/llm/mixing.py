@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, bounded_batches, cut_lineage, word_count
+from .common import WORD, bounded_batches, cut_lineage, releasing, word_count
 
 WORDS = re.compile(WORD)
 
@@ -41,11 +41,10 @@ def numbered(sources: DataFrame, name: str = "source") -> DataFrame:
     """sources with source_id, their place in code-point order from 0, null last; ordered in parallel."""
     parts = cut_lineage(sources.orderBy(F.col(name).asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     within = parts.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(F.col(name).asc_nulls_last())))
-    before, offsets = 0, []
-    for r in parts.groupBy("part").count().orderBy("part").collect():  # one row for each partition
-        offsets.append((r.part, before))
-        before += r["count"]
-    offset = F.broadcast(sources.sparkSession.createDataFrame(offsets, "part int, before long"))
+    counts = parts.groupBy("part").count().orderBy("part").toArrow()  # one row for each partition
+    n = np.asarray(counts["count"])
+    # a list of rows would start Python workers of another kind, which stay beside those that read texts
+    offset = F.broadcast(sources.sparkSession.createDataFrame(pa.table({"part": counts["part"], "before": n.cumsum() - n})))
     return within.join(offset, "part").withColumn("source_id", F.col("before") + F.col("nth") - 1).drop("part", "nth", "before")
 
 
@@ -219,5 +218,5 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
             columns = {f.name: row.field(j) for j, f in enumerate(row.type)} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    out = mixed.mapInArrow(run, docs.schema)
+    out = mixed.mapInArrow(releasing(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

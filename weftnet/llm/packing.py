@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, releasing, slices
 
 WINDOW = 4096
 END = 2
@@ -321,4 +321,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         packer.close()
         yield packer.batch()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), ", ".join(f"{c} long" for c in COLUMNS))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, cut_lineage, slices, stored
+from .common import bounded_batches, cut_lineage, releasing, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The fixed rules, each in a form that reads a text once.
@@ -285,9 +285,9 @@ def masked(docs: DataFrame) -> DataFrame:
     found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     kind = rows.schema["row"].dataType
-    hashed = rows.mapInArrow(_hash_texts, StructType([StructField("row", kind), StructField("row_hash", LongType())]))
+    hashed = rows.mapInArrow(releasing(_hash_texts), StructType([StructField("row", kind), StructField("row_hash", LongType())]))
     wide = hashed.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
-    out = wide.select("row", "spans").mapInArrow(_mask_texts, StructType([StructField("row", kind)])).select("row.*")
+    out = wide.select("row", "spans").mapInArrow(releasing(_mask_texts), StructType([StructField("row", kind)])).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, map_arrow
+from .common import bounded_batches, map_arrow, releasing
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_digits", "n_letters")
 SYMBOLS = b"#*$%&|<>"
@@ -166,4 +166,4 @@ def keep(docs: DataFrame, version: str = "v1") -> DataFrame:
             columns = list(zip(*measured, strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, pa.int64()) for c in columns)], names=["row", *MEASURES])
 
-    return rows.mapInArrow(run, schema).withColumn("fail_bits", fail_bits()).where(passes(version)).select("row.*")
+    return rows.mapInArrow(releasing(run), schema).withColumn("fail_bits", fail_bits()).where(passes(version)).select("row.*")
